@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
+from tidegauge.llm.near_dedup import near_duplicates
 from tidegauge.llm.perplexity_rules import VERDICT, quality_verdicts
+from tidegauge.llm.substring_dedup import substring_duplicates
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +20,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(docs).select("doc_id", *[f.name for f in VERDICT], "kept", "log_ppl")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
