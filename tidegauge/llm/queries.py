@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
 from tidegauge.llm.near_dedup import near_duplicates
+from tidegauge.llm.neural_lm import score_texts
 from tidegauge.llm.packing import pack
 from tidegauge.llm.perplexity_rules import VERDICT, quality_verdicts
 from tidegauge.llm.substring_dedup import substring_duplicates
@@ -25,9 +26,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
