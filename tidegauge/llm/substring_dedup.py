@@ -1,16 +1,21 @@
 """Substring dedup by relative Lempel-Ziv parsing against routed reference blocks.
 
-A window is WINDOW consecutive words. A document is factored greedily against reference blocks, which hold the
-windows of all documents with their earliest source: a factor goes on while the next window has an earlier source,
-and at a factor boundary the next window is looked up afresh, so no window that straddles two factors is missed.
+A window is WINDOW consecutive words. A document is factored against reference blocks, which hold what all documents
+contain with the smallest document that contains it: a factor goes on while its windows have an earlier source, and
+at a factor's boundary the windows that reach over it are looked up one by one, so that none is missed.
 
-Parsing every document against every block would be quadratic. Two exact steps route the work instead:
+Parsing every document against every block would be quadratic. The parse is routed instead, without loss:
 
-1. Anchors. Of each ANCHOR_SPAN consecutive ANCHOR_WORDS-grams the one with the smallest hash is an anchor, so a
-   window of WINDOW words always holds one, the same in every document. Only windows that hold an anchor which also
-   occurs in another document can have an earlier source.
-2. Blocks. Those windows are dealt to reference blocks by a 128-bit hash of their words. A task first settles what
-   its own rows show, and sends one row a window, so no block receives more than one row of a window from each step.
+1. Of each ANCHOR_SPAN consecutive ANCHOR_WORDS-grams the one with the smallest hash is an anchor. A window of WINDOW
+   words holds ANCHOR_SPAN of them, so its anchor is the same in every document. The windows of one anchor follow
+   each other, and the words they cover are a phrase.
+2. Reference blocks are dealt by anchor. A phrase that a smaller document has too is a factor: all its windows have
+   an earlier source. An anchor with one phrase needs no more.
+3. Where documents have different phrases for an anchor, a factor begins or ends nearby. The windows of the first
+   document of each phrase are then compared by a 128-bit hash of their words.
+
+A task first settles what its own rows show and sends one row for a phrase or window, so that no block receives more
+than one row for it from each step, however common it is.
 
 Edge cases: a null text has no words; fewer than WINDOW words have no window; rows with equal doc_id do not remove
 from each other; a null doc_id counts after every other id; an empty table gives an empty result.
@@ -34,6 +39,8 @@ from tidegauge.llm.common import appended, splitmix, steps, texts_of
 WINDOW, ANCHOR_WORDS = 13, 5
 ANCHOR_SPAN = WINDOW - ANCHOR_WORDS + 1
 LAST = (1 << 63) - 1
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = splitmix(np.arange(100, 100 + ANCHOR_WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -55,27 +62,38 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the first word, hash) of each anchor, positions over the whole step."""
+def powers(n: int) -> np.ndarray:
+    """BASE ** i modulo 2**64 for i < n."""
+    out = np.full(n, BASE, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def phrases(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, phrase hash, first window, windows) of each anchor, windows numbered over the whole step."""
     n = len(words.flat)
-    if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    k = n - WINDOW + 1
+    row = words.row_of()
+    if k < 1 or not (inside := row[:k] == row[WINDOW - 1 :]).any():
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     memo: dict[bytes, int] = {}
     digest = xxhash.xxh3_64_intdigest
     h = np.fromiter((memo[w] if w in memo else memo.setdefault(w, digest(w)) for w in words.flat), np.uint64, n)
     m = n - ANCHOR_WORDS + 1
-    gram = sum(h[j : j + m] * _MULTIPLIERS[j] for j in range(ANCHOR_WORDS))
-    gram = splitmix(gram)
-    # least gram of each window, the first of equals; windows that cross into another document are left out
-    k = n - WINDOW + 1
-    best, where = gram[:k].copy(), np.arange(k)
+    gram = splitmix(sum(h[j : j + m] * _MULTIPLIERS[j] for j in range(ANCHOR_WORDS)))
+    best, where = gram[:k].copy(), np.arange(k)  # least gram of each window, the first of equals
     for j in range(1, ANCHOR_SPAN):
-        less = gram[j : j + k] < best
-        best[less], where[less] = gram[j : j + k][less], np.flatnonzero(less) + j
-    row = words.row_of()
-    inside = row[:k] == row[WINDOW - 1 :]
-    at = np.unique(where[inside])
-    return at, gram[at]
+        less = np.flatnonzero(gram[j : j + k] < best)
+        best[less], where[less] = gram[less + j], less + j
+    windows = np.flatnonzero(inside)  # the others reach over into the next document
+    where = where[windows]
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    start, count = windows[first], np.diff(np.append(first, len(windows)))
+    power, inverse = powers(n), np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, INVERSE, np.uint64))))
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)))
+    size = count + WINDOW - 1
+    phrase = splitmix((upto[start + size] - upto[start]) * inverse[start] + splitmix(size.astype(np.uint64)))
+    return gram[where[first]], phrase, start, count
 
 
 def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -85,91 +103,92 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _anchor_rows(batches):
-    """Rows (anchor, salt, key, doc, low, high). A step settles the anchors that two of its documents share: those
-    rows keep to themselves (salt is their key) and one row without a key stands for them where the steps meet."""
+def _lists(values: np.ndarray, new: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(values)), pa.int32()), pa.array(values))
+
+
+def _phrase_rows(batches):
+    """Rows (anchor, phrase, settled, key, doc, place, more). `place` is first window << 8 | windows; `more` has
+    further places of the same phrase in the document. A settled row lists, in `more`, places of a document whose
+    phrase a smaller document of the step has."""
+    names = ["anchor", "phrase", "settled", "key", "doc", "place", "more"]
     for batch in steps(batches):
         words = Words(texts_of(batch.column("text")))
-        at, h = anchors(words)
-        if not len(at):
+        anchor, phrase, start, count = phrases(words)
+        if not len(anchor):
             continue
-        row = words.row_of()[at]
+        row = words.row_of()[start]
+        place = (start - words.starts_of[row]) << 8 | count
         doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row]
-        order = np.lexsort((key, doc, h))
-        h, doc, key = h[order], doc[order], key[order]
-        once = _starts(h, doc, key)
-        h, doc, key = h[once], doc[once], key[once]
-        new = _starts(h)
-        group = np.cumsum(new) - 1
-        low, high = doc[new], doc[np.append(np.flatnonzero(new)[1:] - 1, len(h) - 1)]
-        settled = low != high
-        mine = settled[group]
-        first = np.flatnonzero(new)[settled]
-        h = np.concatenate((h, h[first])).view(np.int64)
-        salt = np.concatenate((np.where(mine, key, 0), np.zeros(len(first), np.int64)))
-        keys = pa.array(np.concatenate((key, key[first])), mask=np.concatenate((np.zeros(len(key), bool), np.ones(len(first), bool))))
-        columns = [pa.array(h), pa.array(salt), keys, pa.array(np.concatenate((doc, doc[first]))), pa.array(np.concatenate((low[group], low[settled]))), pa.array(np.concatenate((high[group], high[settled])))]
-        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "salt", "key", "doc", "low", "high"])
+        order = np.lexsort((place, key, doc, phrase, anchor))
+        anchor, phrase, key, doc, place = anchor[order].view(np.int64), phrase[order].view(np.int64), key[order], doc[order], place[order]
+        new = _starts(anchor, phrase)
+        later = doc > doc[new][np.cumsum(new) - 1]
+        a, f, k, d, p = (c[~later] for c in (anchor, phrase, key, doc, place))
+        new = _starts(a, f, k, d)
+        sizes = np.diff(np.append(np.flatnonzero(new), len(a))) - 1
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(sizes == 0, False)), pa.array(p[~new]))
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(f[new]), pa.array(np.zeros(len(sizes), bool)), pa.array(k[new]), pa.array(d[new]), pa.array(p[new]), more], names=names)
+        if later.any():
+            k, d, p = key[later], doc[later], place[later]
+            order = np.lexsort((d, k))
+            k, d, p = k[order], d[order], p[order]
+            new = _starts(k, d)
+            n = int(new.sum())
+            spread = splitmix(k[new].view(np.uint32).astype(np.uint64) << np.uint64(32) ^ d[new].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(n, bool)), pa.array(k[new]), pa.array(d[new]), pa.nulls(n, pa.int64()), _lists(p, new)], names=names)
 
 
-def _lists(values: np.ndarray, new: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(values)), pa.int32()), pa.array(values, pa.int32()))
+def _window_rows(batches):
+    """Rows (h1, h2, settled, key, doc, places). Windows of the places in `open` go to their blocks, one row for a
+    window from each step; those that a smaller document of the step has, and the places in `done`, are settled."""
+    names = ["h1", "h2", "settled", "key", "doc", "places"]
 
+    def settled(key, doc, place):
+        order = np.lexsort((doc, key))
+        key, doc, place = key[order], doc[order], place[order]
+        new = _starts(key, doc)
+        spread = splitmix(key[new].view(np.uint32).astype(np.uint64) << np.uint64(32) ^ doc[new].astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(len(spread), bool)), pa.array(key[new]), pa.array(doc[new]), _lists(place, new)], names=names)
 
-def _window_rows(batches):
-    """Rows (h1, h2, salt, key, doc, places) of the windows that hold a shared anchor. Of a window in several
-    documents of a step, the smallest document's places go to its block (salt 0); the places of the others have an
-    earlier source already and go on by document (salt 1)."""
-    names = ["h1", "h2", "salt", "key", "doc", "places"]
     for batch in steps(batches):
-        words = Words(texts_of(batch.column("text")))
-        at, h = anchors(words)
-        lists = batch.column("anchors")
-        flat = np.asarray(pc.list_flatten(lists)).view(np.uint64)
-        if not len(at) or not len(flat):
-            continue
-        row_of = words.row_of()
-        owner = np.asarray(pc.list_parent_indices(lists)).astype(np.uint64)
-        known = np.sort(splitmix(flat ^ splitmix(owner)))
-        mine = splitmix(h ^ splitmix(row_of[at].astype(np.uint64)))
-        at = at[known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine]
-        k = len(words.flat) - WINDOW + 1
-        cover = np.zeros(len(words.flat) + 1, np.int64)  # windows that hold a shared anchor
-        np.add.at(cover, np.maximum(at - (ANCHOR_SPAN - 1), 0), 1)
-        np.add.at(cover, at + 1, -1)
-        wanted = np.flatnonzero((np.cumsum(cover)[:k] > 0) & (row_of[:k] == row_of[WINDOW - 1 :]))
-        if not len(wanted):
+        docs, keys = np.asarray(batch.column("doc")), np.asarray(batch.column("key"))
+        done, owner = np.asarray(pc.list_flatten(batch.column("done"))), np.asarray(pc.list_parent_indices(batch.column("done")))
+        if len(done):
+            yield settled(keys[owner], docs[owner], done)
+        places, owner = np.asarray(pc.list_flatten(batch.column("open"))), np.asarray(pc.list_parent_indices(batch.column("open")))
+        if not len(places):
             continue
+        words = Words([t if n else b"" for t, n in zip(texts_of(batch.column("text")), pc.list_value_length(batch.column("open")).to_pylist())])
+        count = places & 255
+        row = np.repeat(owner, count)
+        pos = np.repeat(places >> 8, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = words.starts_of[row] + pos
         buf, digest = words.buf, xxhash.xxh3_128_digest
-        raw = b"".join([digest(buf[a:b]) for a, b in zip(words.start[wanted].tolist(), words.end[wanted + WINDOW - 1].tolist())])
+        raw = b"".join([digest(buf[a:b]) for a, b in zip(words.start[at].tolist(), words.end[at + WINDOW - 1].tolist())])
         h1, h2 = np.frombuffer(raw, np.int64).reshape(-1, 2).T
-        row = row_of[wanted]
-        doc, key, pos = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row], wanted - words.starts_of[row]
-        order = np.lexsort((pos, key, doc, h2, h1))
-        h1, h2, doc, key, pos = h1[order], h2[order], doc[order], key[order], pos[order]
+        doc, key, place = docs[row], keys[row], pos << 8 | 1
+        order = np.lexsort((place, key, doc, h2, h1))
+        h1, h2, doc, key, place = h1[order], h2[order], doc[order], key[order], place[order]
         new = _starts(h1, h2)
         later = doc > doc[new][np.cumsum(new) - 1]
-
-        first = ~later
-        a = [c[first] for c in (h1, h2, key, doc, pos)]
-        new = _starts(*a[:4])
-        yield pa.RecordBatch.from_arrays([pa.array(a[0][new]), pa.array(a[1][new]), pa.array(np.zeros(new.sum(), np.int32)), pa.array(a[2][new]), pa.array(a[3][new]), _lists(a[4], new)], names=names)
+        a, b, k, d, p = (c[~later] for c in (h1, h2, key, doc, place))
+        new = _starts(a, b, k, d)
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(int(new.sum()), bool)), pa.array(k[new]), pa.array(d[new]), _lists(p, new)], names=names)
         if later.any():
-            key, doc, pos = key[later], doc[later], pos[later]
-            order = np.lexsort((pos, doc, key))
-            key, doc, pos = key[order], doc[order], pos[order]
-            new = _starts(key, doc)
-            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(doc[new]), pa.array(np.ones(new.sum(), np.int32)), pa.array(key[new]), pa.array(doc[new]), _lists(pos, new)], names=names)
+            yield settled(key[later], doc[later], place[later])
 
 
-def _spans(positions: list[int]) -> list[tuple[int, int]]:
+def _spans(places: list[int]) -> list[tuple[int, int]]:
     """Factors: maximal runs of words under windows with an earlier source, as (first word, words)."""
     out: list[list[int]] = []
-    for p in sorted(set(positions)):
-        if out and p <= out[-1][1]:
-            out[-1][1] = p + WINDOW
+    for p in sorted(places):
+        start, end = p >> 8, (p >> 8) + (p & 255) + WINDOW - 1
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([p, p + WINDOW])
+            out.append([start, end])
     return [(a, b - a) for a, b in out]
 
 
@@ -197,17 +216,21 @@ CUT = T.StructType().add("n_words", "long").add("n_removed", "long").add("spans"
 def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's doc_id, carried columns, text, word counts, removed spans, kept text and its SHA-256."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), *carry)
-    base = base.withColumn("key", F.xxhash64("doc", "text"))
-
-    # Where the steps meet, an anchor has one row for each step at most, however common it is.
-    seen = base.select("key", "doc", "text").mapInArrow(_anchor_rows, "anchor long, salt long, key long, doc long, low long, high long")
-    meet = W.partitionBy("anchor", "salt")
-    shared = seen.withColumn("least", F.min("low").over(meet)).withColumn("most", F.max("high").over(meet)).where("least < most and key is not null")
-    lists = shared.groupBy("doc", "key").agg(F.collect_list("anchor").alias("anchors"))
-
-    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, salt int, key long, doc long, places array<int>")
-    least = F.min("doc").over(W.partitionBy("h1", "h2", "salt"))
-    sourced = rows.withColumn("least", least).where("salt = 1 or doc > least")
+    # tells apart rows of one doc_id whose texts differ
+    base = base.withColumn("key", F.hash("text"))
+
+    seen = base.select("key", "doc", "text").mapInArrow(_phrase_rows, "anchor long, phrase long, settled boolean, key int, doc long, place long, more array<long>")
+    meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
+    seen = seen.select("*", ((F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min("doc").over(meet) < F.max("doc").over(meet))).alias("differ"))
+    seen = seen.withColumn("done", F.col("settled") | (F.col("doc") > F.min("doc").over(same))).where("done or differ")
+    all_places = F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>"))))
+    lists = seen.select("doc", "key", "done", all_places.alias("places")).groupBy("doc", "key").agg(
+        *[F.flatten(F.collect_list(F.when(F.col("done") == flag, F.col("places")))).alias(name) for name, flag in (("done", True), ("open", False))]
+    )
+
+    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key int, doc long, places array<long>")
+    least = F.min("doc").over(W.partitionBy("h1", "h2", "settled"))
+    sourced = rows.withColumn("least", least).where("settled or doc > least")
     places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     out = base.join(places, ["doc", "key"], "left")
