@@ -11,6 +11,11 @@ from tidegauge.llm.neural_lm import score_texts
 from tidegauge.llm.packing import pack
 from tidegauge.llm.perplexity_rules import VERDICT, quality_verdicts
 from tidegauge.llm.substring_dedup import substring_duplicates
+from tidegauge.llm.warc import round_trip
+
+
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +39,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_warc_segments, op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
+ORACLES: dict[str, str] = {
+    "op5_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS s FROM p),
+             f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s)
+        SELECT page_id, n AS payload_bytes, d.s AS payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f ON d.s = f.s
+    """,
+}
