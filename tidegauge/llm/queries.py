@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
+from tidegauge.llm.decontaminate import leaking_documents
 from tidegauge.llm.near_dedup import near_duplicates
 from tidegauge.llm.neural_lm import score_texts
 from tidegauge.llm.packing import pack
@@ -14,6 +15,10 @@ from tidegauge.llm.substring_dedup import substring_duplicates
 from tidegauge.llm.warc import round_trip
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -39,7 +44,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_warc_segments, op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_warc_segments, op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
 ORACLES: dict[str, str] = {
     "op5_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
