@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
 from tidegauge.llm.decontaminate import leaking_documents
+from tidegauge.llm.language_id import predict_languages
 from tidegauge.llm.license_scan import scan_licenses
 from tidegauge.llm.near_dedup import near_duplicates
 from tidegauge.llm.neural_lm import score_texts
 from tidegauge.llm.packing import pack
 from tidegauge.llm.perplexity_rules import VERDICT, quality_verdicts
+from tidegauge.llm.quality_model import score_quality
 from tidegauge.llm.substring_dedup import substring_duplicates
 from tidegauge.llm.warc import round_trip
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_benchmark_decontamination, op5_warc_segments, op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_language_id, op4_benchmark_decontamination, op5_warc_segments, op6_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_lm_scoring, op10_substring_dedup)}
 ORACLES: dict[str, str] = {
     "op5_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
