@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegauge.llm.common import steps, written
+from tidegauge.llm.common import steps, texts_of, written
 
 CAPACITY, END = 4096, 1
 THIRDS = 24
 #: Words that a worker remembers the tokens of; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -43,27 +44,27 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes. The tokenizer never looks across white space, so the ids of a
-    text are those of its words in turn, and each distinct word is tokenised once."""
+    """Token ids of texts as little-endian bytes. The tokenizer lower-cases and never looks across white space, so
+    the ids of a text are those of its words in turn, and each distinct lower-cased word is tokenised once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # a special token is told by its case, so a text that may hold one keeps its letters
+        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
+        new = list(set(chain.from_iterable(split)).difference(self.memo))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                memo[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in words]) for words in split]
+            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.memo.update((word, np.array(g.ids, "<u4").tobytes()) for word, g in zip(part, got))
+        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         for batch in steps(batches):
             out = []
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch.column("text")))):
                 ids += end
                 for k in range(0, len(ids) // 4, CAPACITY):
                     part = ids[4 * k : 4 * (k + CAPACITY)]
