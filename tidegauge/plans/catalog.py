@@ -1,6 +1,8 @@
-"""The registry of queries and of their SQL twins."""
+"""All registered queries; importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidegauge.plans import q_clean, q_core
+from tidegauge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "q_clean", "q_core"]
