@@ -20,7 +20,9 @@ scored each.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from tidegauge.llm.common import remainder, steps, sums_by, texts_of, written
 DIVISOR, HELD_OUT = 7, 2
 CLASSES, DIM, CONTEXT = 1024, 16, 2
 HEAD = 65_536
-NOISE, BATCH, RATE = 64, 4096, 0.15
+NOISE, BATCH, RATE = 24, 4096, 0.15
 #: The end token as a key; no word contains white space.
 END = b"\n"
 OTHER, START = 0, 1
@@ -85,7 +87,7 @@ class Model:
             at += p.size
 
     def predict(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.source[context[:, j]] * self.weight[j] for j in range(CONTEXT))
+        return sum(self.source.take(context[:, j], axis=0) * self.weight[j] for j in range(CONTEXT))
 
     def log_norm(self, context: np.ndarray) -> np.ndarray:
         """Log of the normaliser of each context row, by matrix products over all classes but the start."""
@@ -107,31 +109,40 @@ class Trainer:
         self.square = [np.full(p.shape, 1e-2, np.float32) for p in model.params()]
 
     def _apply(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Add up the gradients of equal rows, then step."""
+        """Add up the gradients (a column for each row index) of equal rows, then step those rows."""
+        order = np.argsort(rows.astype(np.int16), kind="stable")  # CLASSES fit; a radix sort
+        sorted_rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+        at, g = sorted_rows[first], np.add.reduceat(grad.take(order, axis=1), first, axis=1).T
         p, sq = self.m.params()[which], self.square[which]
-        flat = np.bincount((rows[:, None] * grad.shape[1] + np.arange(grad.shape[1])).ravel(), grad.ravel(), p.size)
-        g = flat.reshape(p.shape).astype(np.float32)
-        sq += g * g
-        p -= RATE * g / np.sqrt(sq)
+        sq[at] += g * g
+        p[at] -= RATE * g / np.sqrt(sq[at])
 
     def step(self, context: np.ndarray, word: np.ndarray) -> None:
         m = self.m
         noise = self.rng.choice(CLASSES, NOISE, p=m.noise)
-        pred = m.predict(context)
-        offset = np.log(NOISE * m.noise).astype(np.float32)
+        sources = [m.source.take(context[:, j], axis=0) for j in range(CONTEXT)]
+        pred = sum(x * w for x, w in zip(sources, m.weight))
+        offset = np.log(NOISE * m.noise).astype(np.float32) - m.bias
+        target, others = m.target.take(word, axis=0), m.target[noise]
         # the classifier tells the true class of a row from the noise; gradients are means over the batch
-        true = 1 / (1 + np.exp(np.minimum(offset[word] - (pred * m.target[word]).sum(1) - m.bias[word], 30)))
-        false = 1 / (1 + np.exp(np.minimum(offset[noise] - pred @ m.target[noise].T - m.bias[noise], 30)))
-        n = np.float32(1 / len(word))
-        g_true, g_false = (true - 1) * n, false * n
-        g_pred = g_true[:, None] * m.target[word] + g_false @ m.target[noise]
-        g_target = np.concatenate((g_true[:, None] * pred, g_false.T @ pred))
+        n = np.float32(1 / len(word))  # keeps everything in single precision
+        true = offset.take(word) - np.einsum("ij,ij->i", pred, target)
+        g_true = -n / (1 + np.exp(np.clip(-true, -30, 30)))  # n times (probability - 1)
+        g_false = pred @ others.T
+        np.subtract(offset[noise], g_false, out=g_false)
+        np.minimum(g_false, 30, out=g_false)
+        np.exp(g_false, out=g_false)
+        g_false += 1
+        np.divide(n, g_false, out=g_false)
+        g_pred = g_true[:, None] * target + g_false @ others
+        g_target = np.concatenate((g_true * pred.T, pred.T @ g_false), axis=1)
+        g_source = np.concatenate([(g_pred * w).T for w in m.weight], axis=1)
+        g_weight = np.stack([np.einsum("ij,ij->j", g_pred, x) for x in sources])
         both = np.concatenate((word, noise))
-        g_source = [g_pred * m.weight[j] for j in range(CONTEXT)]
-        g_weight = np.stack([(g_pred * m.source[context[:, j]]).sum(0) for j in range(CONTEXT)])
         g_bias = np.bincount(both, np.concatenate((g_true, g_false.sum(0))), CLASSES).astype(np.float32)
         self._apply(0, both, g_target)
-        self._apply(1, context.T.ravel(), np.concatenate(g_source))
+        self._apply(1, context.T.ravel(), g_source)
         for which, g in ((2, g_weight), (3, g_bias)):
             self.square[which] += g * g
             m.params()[which][...] -= RATE * g / np.sqrt(self.square[which])
@@ -163,7 +174,7 @@ class Head:
         code, last, end = self.code, len(self.code), self.code.get(END, len(self.code))
         flat: list[int] = []
         for words in split:
-            flat += [code.get(w, last) for w in words]
+            flat += map(code.get, words, repeat(last))
             flat.append(end)
         return np.array(flat, np.int32), np.fromiter(map(len, split), np.int64, len(split)) + 1, split
 
@@ -204,6 +215,16 @@ def _train(head_shared):
     return run
 
 
+_norms: dict[str, np.ndarray] = {}
+
+
+def _places(at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in it of tokens numbered over all texts."""
+    ends = np.cumsum(lengths)
+    row = np.searchsorted(ends, at, "right")
+    return row, at - (ends - lengths)[row]
+
+
 def _counted(rows: list[dict[bytes, int]]) -> pa.ListArray:
     pairs = pa.StructArray.from_arrays([pa.array([w for r in rows for w in r], pa.binary()), pa.array([n for r in rows for n in r.values()], pa.int64())], names=["word", "n"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pairs)
@@ -211,13 +232,17 @@ def _counted(rows: list[dict[bytes, int]]) -> pa.ListArray:
 
 def _score(head_shared, flat_shared):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+    key_of_model = uuid.uuid4().hex
 
     def run(batches):
         head = head_shared.value
         model = Model(head)
         model.load(flat_shared.value)
         log_n = np.log10(head.total + head.distinct + 1)
-        norms = np.full(CLASSES * CLASSES, np.nan, np.float32)
+        norms = _norms.get(key_of_model)
+        if norms is None:  # contexts met in other tasks of this worker need no second product
+            _norms.clear()
+            norms = _norms[key_of_model] = np.full(CLASSES * CLASSES, np.nan, np.float32)
         known = head.counts > 0
         logs = np.log10(head.counts + 1.0) - log_n
         logs[-1] = -log_n  # the count of a word outside the head is added by the join
@@ -234,10 +259,12 @@ def _score(head_shared, flat_shared):
             exact = np.empty(len(word))
             for i in range(0, len(word), 1 << 16):
                 part = slice(i, i + (1 << 16))
-                exact[part] = (model.predict(context[part]) * model.target[word[part]]).sum(1) + model.bias[word[part]]
+                exact[part] = np.einsum("ij,ij->i", model.predict(context[part]), model.target.take(word[part], axis=0)) + model.bias[word[part]]
             log10 = (exact - norm) / np.log(10) + within[codes]
-            any_rare = (codes == len(head.code)).any()
-            rare = [Counter([w for w in words if w not in head.code]) if any_rare else {} for words in split]
+            rare: list[Counter] = [Counter() for _ in split]
+            for i, at in zip(*(x.tolist() for x in _places(np.flatnonzero(codes == len(head.code)), lengths))):
+                if at < len(split[i]):  # not the end
+                    rare[i][split[i][at]] += 1
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(sums_by(known[codes], lengths).astype(np.int64)), pa.array(sums_by(logs[codes], lengths)), pa.array(sums_by(log10, lengths)), _counted(rare)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
