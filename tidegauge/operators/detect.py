@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegauge.operators.core import all_rows, bridged, by_point, running, rows, split_runs
+from tidegauge.operators import clean
+from tidegauge.operators import features as ft
+from tidegauge.operators.core import all_rows, bridged, by_point, expanded, first_by, mask_from_segments, mask_in_time, mask_intervals, rows, split_runs
+from tidegauge.operators.reduce import m4
 
 
 def hits_nsigma(series: DataFrame, th: float = 3.0, value: str = "value") -> DataFrame:
@@ -20,3 +25,281 @@ def hits_nsigma(series: DataFrame, th: float = 3.0, value: str = "value") -> Dat
 
 def nsigma(series: DataFrame, th: float = 3.0, bridge: int = 5, value: str = "value") -> DataFrame:
     return bridged(hits_nsigma(series, th, value), bridge)
+
+
+def hits_iqr(series: DataFrame, th: float = 1.5, value: str = "value") -> DataFrame:
+    """Rows outside the quartiles by th interquartile ranges."""
+    q = series.groupBy("point").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    d = series.join(q, "point")
+    reach = th * (F.col("_q")[1] - F.col("_q")[0])
+    return d.where((F.col(value) < F.col("_q")[0] - reach) | (F.col(value) > F.col("_q")[1] + reach)).drop("_q")
+
+
+def iqr(series: DataFrame, th: float = 1.5, bridge: int = 5) -> DataFrame:
+    return bridged(hits_iqr(series, th), bridge)
+
+
+def standardised(series: DataFrame, th: float = 10.0, bridge: int = 5) -> DataFrame:
+    """n-sigma of the detrended series."""
+    return nsigma(ft.detrended(series), th, bridge, "detrended")
+
+
+def hits_nonzero_nsigma(series: DataFrame, th: float = 5.0, value: str = "value") -> DataFrame:
+    """n-sigma with mean and deviation over values that are not zero."""
+    v = F.when(F.col(value) != 0, F.col(value))
+    far = F.abs(F.col(value) - F.avg(v).over(all_rows())) > th * F.stddev_pop(v).over(all_rows())
+    return series.withColumn("_far", far).where("_far").drop("_far")
+
+
+def hits_hbos(series: DataFrame, bins: int = 50) -> DataFrame:
+    """Rows whose histogram score is over that right after the largest upward step in time order."""
+    h = ft.histogram(series, bins)
+    density = F.greatest(F.lit(1e-6), F.col("n") / (F.col("total") * F.when(F.col("width") > 0, F.col("width")).otherwise(1.0)))
+    scores = h.select("point", "bin", "low", "width", (-F.log(density)).alias("score"))
+    ends = h.select("point", "low", "width").distinct()
+    scored = series.where("value is not null").join(ends, "point").withColumn("bin", ft.bin_of(bins)).drop("low", "width").join(scores.select("point", "bin", "score"), ["point", "bin"])
+    step = F.lead("score").over(by_point()) - F.col("score")
+    rises = scored.withColumn("_next", F.lead("score").over(by_point())).withColumn("_step", step).where("_step > 0")
+    th = rises.groupBy("point").agg(F.max_by("_next", F.struct("_step", -F.col("pos"))).alias("th"))
+    return scored.join(th, "point").where("score > th").select(*series.columns, "score")
+
+
+def hits_drift(series: DataFrame, scales: tuple[tuple[int, int], ...] = ((100, 3), (3000, 100), (100_000, 2000)), th: float = 5.0) -> DataFrame:
+    """Union of hits over double rolling differences at several scales."""
+    out = None
+    for left, right in scales:
+        hits = hits_nonzero_nsigma(ft.double_rolling(series, left, right), th, "drift").select("point", "pos")
+        out = hits if out is None else out.union(hits)
+    return out.distinct()
+
+
+def chord_knee(curve: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(point, knee_x, knee_y): the point of a sorted curve farthest from the chord of its ends."""
+    w = W.partitionBy("point").orderBy(x)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    d = curve.select("*", F.first(x).over(whole).alias("_x0"), F.first(y).over(whole).alias("_y0"), F.last(x).over(whole).alias("_x1"), F.last(y).over(whole).alias("_y1"))
+    far = F.abs((F.col("_y1") - F.col("_y0")) * (F.col(x) - F.col("_x0")) - (F.col("_x1") - F.col("_x0")) * (F.col(y) - F.col("_y0")))
+    best = d.withColumn("_d", F.round(far, 9)).groupBy("point").agg(F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct("_d", -F.col(x))).alias("k"))
+    return best.select("point", F.col("k.x").alias("knee_x"), F.col("k.y").alias("knee_y"))
+
+
+def chunk_ranges(series: DataFrame, chunks: int = 200) -> DataFrame:
+    """Range of each of equal chunks as a share of the point's range, ranked upward (x from 1)."""
+    d = series.withColumn("_n", F.count("*").over(all_rows())).withColumn("_g", F.max("value").over(all_rows()) - F.min("value").over(all_rows()))
+    r = d.groupBy("point", F.floor(F.col("pos") * chunks / F.col("_n")).alias("chunk")).agg(F.when(F.first("_g") > 0, (F.max("value") - F.min("value")) / F.first("_g")).otherwise(0.0).alias("y"))
+    return r.withColumn("x", F.row_number().over(W.partitionBy("point").orderBy("y", "chunk")))
+
+
+def range_filter(series: DataFrame, runs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Runs whose local range (a single row counts with the 10 rows on either side) is at least `ratio` of the point's."""
+    d = series.withColumn("_g", F.max("value").over(all_rows()) - F.min("value").over(all_rows()))
+    d = d.withColumn("_near", F.max("value").over(rows(-10, 9)) - F.min("value").over(rows(-10, 9)))
+    inside = expanded(runs, "seg_id").join(d, ["point", "pos"])
+    local = inside.groupBy("point", "seg_id").agg(F.when(F.count("*") == 1, F.first("_near")).otherwise(F.max("value") - F.min("value")).alias("local"), F.first("_g").alias("_g"))
+    keep = local.join(ratios, "point").where((F.col("_g") > 0) & (F.col("local") >= F.col("ratio") * F.col("_g")))
+    return runs.join(keep.select("point", "seg_id"), ["point", "seg_id"], "left_semi")
+
+
+def jump_borders(series: DataFrame, ratio: float | None = None, scales: tuple[tuple[int, int], ...] = ((100, 3), (3000, 100), (100_000, 2000)), gap: int = 1, chunks: int = 200) -> DataFrame:
+    """Histogram and drift hits as runs, kept where the local range is large."""
+    hits = hits_hbos(series).select("point", "pos").union(hits_drift(series, scales)).distinct().persist()
+    if ratio is None:
+        ratios = chord_knee(chunk_ranges(series, chunks)).select("point", F.col("knee_y").alias("ratio"))
+    else:
+        ratios = series.select("point").distinct().withColumn("ratio", F.lit(ratio))
+    return range_filter(series, split_runs(hits, gap=gap), ratios)
+
+
+def mean_shift(series: DataFrame, bins: int = 20, edge: float = 0.009, min_rows: int = 500, far: float = 0.2) -> DataFrame:
+    """Runs outside the main peak of the histogram: longer than min_rows, with a mean off the peak's centre by `far`."""
+    h = ft.histogram(series, bins)
+    peak = h.groupBy("point").agg(F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("p")).select("point", F.col("p.bin").alias("top"), F.col("p.n").alias("most"))
+    d = h.join(peak, "point")
+    fails = F.col("n") <= edge * F.col("most")
+    sides = d.groupBy("point", "low", "width", "top").agg(F.max(F.when(fails & (F.col("bin") < F.col("top")), F.col("bin"))).alias("l"), F.min(F.when(fails & (F.col("bin") > F.col("top")), F.col("bin"))).alias("r"))
+    low = F.col("low") + (F.coalesce(F.col("l"), F.lit(-1)) + 1) * F.col("width")
+    high = F.col("low") + F.coalesce(F.col("r"), F.lit(bins)) * F.col("width")
+    ends = sides.select("point", low.alias("_lo"), high.alias("_hi"), (F.col("low") + (F.col("top") + 0.5) * F.col("width")).alias("centre"))
+    out = series.join(ends, "point").where((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")))
+    runs = split_runs(out.select("point", "pos"), min_size=min_rows)
+    means = expanded(runs, "seg_id").join(series, ["point", "pos"]).groupBy("point", "seg_id").agg(F.avg("value").alias("mean")).join(ends, "point")
+    keep = means.where(F.abs(F.col("mean") - F.col("centre")) > far * F.abs(F.col("centre")))
+    return runs.join(keep.select("point", "seg_id"), ["point", "seg_id"], "left_semi")
+
+
+def morphological(series: DataFrame, k: int = 4, th: float = 3.0, bridge: int = 5) -> DataFrame:
+    """n-sigma on the morphological gradient of the scaled series."""
+    return nsigma(ft.gradient(ft.scaled(series), k, "scaled"), th, bridge, "gradient")
+
+
+def vote(masks: DataFrame, least: int) -> DataFrame:
+    """Positions that at least `least` methods of (method, point, pos, mask) flag, as intervals with their times."""
+    votes = masks.groupBy("point", "pos").agg(F.sum("mask").alias("votes"), F.first("ts").alias("ts"))
+    return mask_intervals(votes.withColumn("mask", (F.col("votes") >= least).cast("int")), "mask")
+
+
+def deviating_groups(masked: DataFrame, th: float = 0.5, most_added: float = 0.3) -> DataFrame:
+    """Mask plus the unmasked islands whose trimmed mean is off the overall one by th of it; unchanged where that adds
+    more than most_added of the rows. Plain means stand in where an island has no trimmed mean."""
+    from tidegauge.operators.core import islands
+
+    g = islands(masked, "mask")
+    groups = g.groupBy("point", "grp").agg(F.max("mask").alias("m"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    groups = groups.join(ft.trimmed(g, "point", "grp"), ["point", "grp"])
+    plain = groups.groupBy("point").agg((F.count(F.when(F.col("trimmed_mean").isNull(), 1)) > 0).alias("plain"), F.sum("n").alias("total"))
+    overall = ft.trimmed(masked, "point").select("point", F.col("trimmed_mean").alias("o_trim")).join(masked.groupBy("point").agg(F.avg("value").alias("o_mean")), "point")
+    d = groups.join(plain, "point").join(overall, "point")
+    own, all_ = F.when(F.col("plain"), F.col("mean")).otherwise(F.col("trimmed_mean")), F.when(F.col("plain"), F.col("o_mean")).otherwise(F.col("o_trim"))
+    d = d.withColumn("off", (F.col("m") == 0) & (F.abs(own - all_) > th * F.abs(all_)))
+    added = F.sum(F.when(F.col("off"), F.col("n")).otherwise(0)).over(W.partitionBy("point")) / F.col("total")
+    d = d.select("point", "grp", (F.col("off") & (added <= most_added)).alias("off"))
+    return g.join(d, ["point", "grp"]).withColumn("mask", F.when(F.col("off"), 1).otherwise(F.col("mask"))).drop("off", "grp")
+
+
+def residual_runs(series: DataFrame, k: float = 3.0, min_run: int = 1, robust: bool = True) -> DataFrame:
+    """Runs of abs(z) > k with their largest z; centre and scale are lower median and MAD, or mean and deviation."""
+    centre = F.expr("percentile_disc(0.5) within group (order by value)") if robust else F.avg("value")
+    c = series.groupBy("point").agg(centre.alias("c"), F.stddev_samp("value").alias("sd"))
+    d = series.join(c, "point").withColumn("_a", F.abs(F.col("value") - F.col("c")))
+    scale = F.expr("percentile_disc(0.5) within group (order by _a)") if robust else F.first("sd")
+    s = d.groupBy("point").agg(scale.alias("s"), F.first("sd").alias("sd1"))
+    s = s.select("point", F.when(F.col("s") > 1e-8, F.col("s")).when(F.col("sd1") > 0, F.col("sd1")).otherwise(1.0).alias("scale"))
+    z = d.join(s, "point").withColumn("z", F.col("_a") / F.col("scale")).where(F.col("z") > k)
+    runs = split_runs(z.select("point", "pos"), min_size=min_run)
+    return expanded(runs, "seg_id", "start_pos", "end_pos").join(z.select("point", "pos", "z"), ["point", "pos"]).groupBy("point", "seg_id", "start_pos", "end_pos").agg(F.max("z").alias("score"))
+
+
+FORECASTERS: dict[str, Callable] = {}
+
+
+def rolling_residual(series: DataFrame, lookback: int, forecaster: str = "mean") -> DataFrame:
+    """Value less its forecast from the `lookback` rows before: last, mean, or linear; a constant window forecasts its
+    last value; null until the window is full."""
+    w = rows(-lookback, -1)
+    full = F.count("value").over(w) == lookback
+    last = F.lag("value").over(by_point())
+    if forecaster == "last":
+        forecast = last
+    elif forecaster == "mean":
+        forecast = F.avg("value").over(w)
+    elif forecaster == "linear":
+        forecast = F.regr_intercept("value", "pos").over(w) + F.regr_slope("value", "pos").over(w) * F.col("pos")
+    else:
+        forecast = FORECASTERS[forecaster](series, w)
+    flat = F.max("value").over(w) == F.min("value").over(w)
+    return series.withColumn("residual", F.when(full, F.col("value") - F.when(flat, last).otherwise(forecast)))
+
+
+def windows(series: DataFrame, length: int, overlap: float) -> DataFrame:
+    """Start of each sliding window of a point; the last window ends with the series."""
+    stride = max(1, int(length * (1 - overlap)))
+    n = series.groupBy("point").agg(F.count("*").alias("n"))
+    last = F.greatest(F.lit(0), F.col("n") - length)
+    starts = F.array_union(F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long")), F.array(last))
+    return n.select("point", F.explode(starts).alias("start"), F.least(F.col("n"), F.lit(length)).alias("length"))
+
+
+def isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: int = 256, bridge: int = 5, seed: int = 7) -> DataFrame:
+    """Isolation scores on one value: seeded samples of 256 rows a point and tree, depth of each value in the trees,
+    and the `share` of rows that are isolated first. Trees are small tables joined to their point's rows."""
+    picks = None
+    for t in range(trees):
+        order = F.xxhash64("pos", F.lit(seed * 1000 + t))
+        p = series.where("value is not null").withColumn("_k", F.row_number().over(W.partitionBy("point").orderBy(order, "pos"))).where(F.col("_k") <= sample).select("point", F.lit(t).alias("tree"), "value")
+        picks = p if picks is None else picks.union(p)
+    samples = picks.groupBy("point", "tree").agg(F.sort_array(F.collect_list("value")).alias("x")).groupBy("point").agg(F.collect_list(F.struct("tree", "x")).alias("trees"))
+
+    def path_lengths(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf edges and depths of a random tree over sorted values."""
+        edges, depths = [], []
+
+        def grow(a: int, b: int, depth: int) -> None:
+            if b - a <= 1 or depth >= 8 or x[a] == x[b - 1]:
+                n = b - a
+                extra = 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+                edges.append(x[b - 1])
+                depths.append(depth + extra)
+                return
+            cut = rng.uniform(x[a], x[b - 1])
+            m = min(max(int(np.searchsorted(x, cut, "right")), a + 1), b - 1)
+            grow(a, m, depth + 1)
+            grow(m, b, depth + 1)
+
+        grow(0, len(x), 0)
+        return np.array(edges), np.array(depths)
+
+    def score(batches):
+        for pdf in batches:
+            built: dict = {}
+            out = np.zeros(len(pdf))
+            for point, at in pdf.groupby("point").indices.items():
+                if point not in built:
+                    built[point] = [path_lengths(np.array(t["x"]), np.random.default_rng(seed + t["tree"])) for t in pdf["trees"].iloc[at[0]]]
+                v = pdf["value"].to_numpy()[at]
+                out[at] = np.mean([d[np.minimum(np.searchsorted(e, v), len(e) - 1)] for e, d in built[point]], axis=0)
+            yield pd.DataFrame({"point": pdf["point"], "pos": pdf["pos"], "depth": out})
+
+    scored = series.where("value is not null").select("point", "pos", "value").join(samples, "point").mapInPandas(score, "point string, pos long, depth double")
+    rank = F.percent_rank().over(W.partitionBy("point").orderBy("depth"))
+    return bridged(scored.withColumn("_r", rank).where(F.col("_r") < share), bridge)
+
+
+def polynomial_residual(series: DataFrame, degree: int = 12) -> DataFrame:
+    """Value less a Chebyshev fit over positions: one Gram matrix a point by aggregation, one small solve a point."""
+    x = 2 * F.col("pos") / F.greatest(F.max("pos").over(all_rows()), F.lit(1)) - 1
+    d = series.withColumn("_x", x)
+    # the Chebyshev polynomials on -1..1
+    basis = [F.cos(F.lit(float(k)) * F.acos("_x")) for k in range(degree + 1)]
+    d = d.withColumn("_b", F.array(*basis))
+    gram = [F.sum(F.col("_b")[i] * F.col("_b")[j]).alias(f"g{i}_{j}") for i in range(degree + 1) for j in range(i, degree + 1)]
+    sums = d.where("value is not null").groupBy("point").agg(*gram, *[F.sum(F.col("_b")[i] * F.col("value")).alias(f"r{i}") for i in range(degree + 1)])
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(degree + 1)] for i in range(degree + 1)])
+                out.append(np.linalg.lstsq(g, np.array([row[f"r{i}"] for i in range(degree + 1)]), rcond=1e-10)[0].tolist())
+            yield pd.DataFrame({"point": pdf["point"], "coef": out})
+
+    fits = sums.mapInPandas(solve, "point string, coef array<double>")
+    fitted = F.aggregate(F.zip_with("_b", "coef", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return d.join(fits, "point").withColumn("residual", F.col("value") - fitted).drop("_x", "_b", "coef")
+
+
+def adtk_hbos(series: DataFrame, n_out: int, scales=((20, 3), (100, 10)), dead_seconds: float = 72_000, dead_distinct: int = 10, min_rows: int = 5, ratio: float | None = 0.3) -> DataFrame:
+    """The composed detector: points with a step signal are left out; on the m4 sample jump borders, mean shifts and
+    (where less than 70 % of the rows are dead) dead values are found and carried back to the raw rows by time."""
+    steps = ft.step_signal(series).where("is_step").select("point")
+    series = first_by(series.join(steps, "point", "left_anti"), ["point", "ts"], "pos")
+    # the sample is small beside the series and read by every part, so it is kept
+    ds = m4(series, n_out).select("point", F.col("ds_pos").alias("pos"), "ts", "value").persist()
+    found = jump_borders(ds, ratio, scales).select("point", "start_pos", "end_pos").union(mean_shift(ds, min_rows=min_rows).select("point", "start_pos", "end_pos"))
+    dead = clean.dead_values(ds, dead_seconds, dead_distinct)
+    some = dead.groupBy("point").agg(F.avg("dead").alias("share")).where("share < 0.7").select("point")
+    dead_runs = split_runs(dead.where("dead = 1").join(some, "point", "left_semi").select("point", "pos"))
+    found = found.union(dead_runs.select("point", "start_pos", "end_pos"))
+    spans = mask_intervals(mask_from_segments(ds, found), "mask")
+    return mask_in_time(series, spans)
+
+
+#: Method name to detector, each DataFrame to segments; register() adds to it.
+DETECTORS: dict[str, Callable[..., DataFrame]] = {
+    "nsigma": nsigma,
+    "iqr": iqr,
+    "standardized": standardised,
+    "iforest": isolation,
+    "morphological": morphological,
+    "jump_borders": jump_borders,
+    "mean_shift": mean_shift,
+    "residual_runs": residual_runs,
+}
+
+
+def register(name: str, detector: Callable[..., DataFrame]) -> None:
+    DETECTORS[name] = detector
+
+
+def detect(series: DataFrame, method: str, **params) -> DataFrame:
+    """Segments of the named method; an unknown name raises KeyError."""
+    return DETECTORS[method](series, **params)

@@ -216,28 +216,23 @@ DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.027983769
 def wavelet_energy(series: DataFrame, level: int = 5) -> DataFrame:
     """Share of detail energy in the total of a db4 decomposition with symmetric ends."""
     taps = len(DB4)
-    low = series.select("point", "pos", "value")
-    energies = []
+    n = F.count("*").over(all_rows())
+    low = series.select("point", F.col("pos").cast("long").alias("pos"), "value", n.alias("n"), F.lit(0.0).alias("detail"))
+    lo_tap, hi_tap = F.array(*map(F.lit, DB4)), F.array(*[F.lit((-1) ** (i + 1) * x) for i, x in enumerate(reversed(DB4))])
     for _ in range(level):
-        sizes = low.groupBy("point").agg(F.count("*").alias("n"))
-        d = low.join(sizes, "point")
-        left = d.where(F.col("pos") < taps - 1).select("point", (-F.col("pos") - 1).alias("pos"), "value", "n")
-        right = d.where(F.col("pos") >= F.col("n") - taps + 1).select("point", (2 * F.col("n") - 1 - F.col("pos")).alias("pos"), "value", "n")
-        padded = d.select("point", "pos", "value", "n").union(left).union(right)
-        # output k is the sum over taps of x[2k + 1 - tap]; each row goes to the outputs that it reaches
-        reach = F.explode(F.expr(f"filter(transform(sequence(0, {taps - 1}), t -> struct(t as tap, (pos - 1 + t) / 2 as k)), s -> pmod(pos - 1 + s.tap, 2) = 0)"))
-        out = padded.select("point", "value", "n", reach.alias("r")).select("point", "value", "n", F.col("r.tap").alias("tap"), F.col("r.k").cast("long").alias("k"))
-        out = out.where((F.col("k") >= 0) & (F.col("k") < F.floor((F.col("n") + taps - 1) / 2)))
-        lo = F.element_at(F.array(*[F.lit(x) for x in DB4]), F.col("tap") + 1)
-        hi = F.element_at(F.array(*[F.lit(((-1) ** (i + 1)) * x) for i, x in enumerate(reversed(DB4))]), F.col("tap") + 1)
-        both = out.groupBy("point", "k").agg(F.sum(F.col("value") * lo).alias("lo"), F.sum(F.col("value") * hi).alias("hi"))
-        energies.append(both.groupBy("point").agg(F.sum(F.col("hi") * F.col("hi")).alias("detail"), F.lit(0.0).alias("rest")))
-        low = both.select("point", F.col("k").alias("pos"), F.col("lo").alias("value"))
-    energies.append(low.groupBy("point").agg(F.lit(0.0).alias("detail"), F.sum(F.col("value") * F.col("value")).alias("rest")))
-    total = energies[0]
-    for e in energies[1:]:
-        total = total.union(e)
-    return total.groupBy("point").agg((F.sum("detail") / F.sum(F.col("detail") + F.col("rest"))).alias("detail_share"))
+        # a row stands at its own place and, near an end, at its mirror images
+        places = F.expr(f"filter(array(pos, if(pos < {taps - 1}, -pos - 1, null), if(pos >= n - {taps - 1}, 2 * n - 1 - pos, null)), p -> p is not null)")
+        placed = low.select("point", "value", "n", "detail", F.explode(places).alias("p"))
+        # output k is the sum over taps of x[2k + 1 - tap]
+        taken = placed.select("*", F.explode(F.expr(f"sequence(0, {taps - 1})")).alias("tap")).where(F.pmod(F.col("p") - 1 + F.col("tap"), F.lit(2)) == 0)
+        k = ((F.col("p") - 1 + F.col("tap")) / 2).cast("long")
+        size = F.floor((F.col("n") + taps - 1) / 2)
+        taken = taken.withColumn("k", k).where((F.col("k") >= 0) & (F.col("k") < size))
+        both = taken.groupBy("point", "k", size.alias("n")).agg(F.sum(F.col("value") * lo_tap[F.col("tap")]).alias("value"), F.sum(F.col("value") * hi_tap[F.col("tap")]).alias("hi"), F.max("detail").alias("detail"))
+        energy = F.col("detail") + F.sum(F.col("hi") * F.col("hi")).over(all_rows())
+        low = both.select("point", F.col("k").alias("pos"), "value", "n", energy.alias("detail"))
+    total = low.groupBy("point").agg(F.max("detail").alias("detail"), F.sum(F.col("value") * F.col("value")).alias("rest"))
+    return total.select("point", (F.col("detail") / (F.col("detail") + F.col("rest"))).alias("detail_share"))
 
 
 def high_frequency_share(series: DataFrame, segment: int = 256, cut: float = 0.1) -> DataFrame:
