@@ -19,6 +19,7 @@ empty result; a text of any length is tokenised whole.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -43,6 +44,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How the tokenizer parts a lower-case ASCII word before it merges letters.
+PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes. The tokenizer lower-cases and never looks across white space, so
     the ids of a text are those of its words in turn, and each distinct lower-cased word is tokenised once."""
@@ -54,17 +59,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
 
+    def _ids(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.memo.update((word, np.array(g.ids, "<u4").tobytes()) for word, g in zip(some, got))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # a special token is told by its case, so a text that may hold one keeps its letters
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = list(set(chain.from_iterable(split)).difference(self.memo))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.memo.update((word, np.array(g.ids, "<u4").tobytes()) for word, g in zip(part, got))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        split = [t.replace(b"\n", b" ").split(b" ") if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        # a special token is told by its case, so only a word that may hold one keeps its letters
+        split = [[w if b"<|" in w else w.lower() for w in words] if b"<|" in t else words for t, words in zip(texts, split)]
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        new = set(chain.from_iterable(split)).difference(memo)
+        # the tokenizer parts letters, digits and marks before anything else; an ASCII word is put together from
+        # parts that many words share
+        parted = {w: PARTS.findall(w) for w in new if w.isascii() and b"<|" not in w}
+        parts = set(chain.from_iterable(parted.values())).difference(memo)
+        self._ids(list(parts.union(w for w in new if w not in parted)))
+        memo.update((w, b"".join(map(memo.__getitem__, p))) for w, p in parted.items() if len(p) != 1)
+        return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
