@@ -12,7 +12,7 @@ T0 = datetime(2024, 1, 1)
 
 
 def series(spark, **points):
-    rows = [(p, i, T0 + timedelta(minutes=i), v) for p, values in points.items() for i, v in enumerate(values)]
+    rows = [(p, i, T0 + timedelta(minutes=i), None if v is None else float(v)) for p, values in points.items() for i, v in enumerate(values)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
