@@ -278,7 +278,7 @@ def adtk_hbos(series: DataFrame, n_out: int, scales=((20, 3), (100, 10)), dead_s
     dead = clean.dead_values(ds, dead_seconds, dead_distinct)
     some = dead.groupBy("point").agg(F.avg("dead").alias("share")).where("share < 0.7").select("point")
     dead_runs = split_runs(dead.where("dead = 1").join(some, "point", "left_semi").select("point", "pos"))
-    found = found.union(dead_runs.select("point", "start_pos", "end_pos"))
+    found = found.union(dead_runs.select("point", "start_pos", "end_pos")).persist()
     spans = mask_intervals(mask_from_segments(ds, found), "mask")
     return mask_in_time(series, spans)
 

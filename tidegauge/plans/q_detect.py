@@ -165,12 +165,6 @@ def c13_deviating_groups(spark, d):
     return dt.deviating_groups(fx.masked_series(spark, d), th=0.8).select("point", "pos", "mask")
 
 
-@query()
-def c14_adtk_hbos(spark, d):
-    m = dt.adtk_hbos(fx.event_series(spark, d), 400)
-    return m.groupBy("point").agg(F.count("*").alias("n_rows"), F.sum("mask").alias("masked"))
-
-
 @query()
 def c16_polynomial_residual(spark, d):
     return dt.iqr(dt.polynomial_residual(fx.event_series(spark, d)).select("point", "pos", "ts", F.col("residual").alias("value")))

@@ -44,7 +44,7 @@ _WX = f"abs({_LF} - {_P0})"
 
 @query(f"""WITH x AS (SELECT event_id, (event_id % 97) / 97.0::DOUBLE AS p, coalesce(CASE WHEN event_id % 5 > 0 THEN value / 40 END, (event_id % 11) / 3.0::DOUBLE) AS l, (event_id % 11) / 3.0::DOUBLE AS r FROM events),
   w AS (SELECT *, {_LF} AS lf, {_P0} AS p0, {_WX} AS x FROM x), b AS (SELECT *, coalesce(CASE WHEN 1 + 25 * x - 25 * x * x > 0 THEN (ln(1 + 25 * x - 25 * x * x) / (1 + 5 * x) - 1) / 5 + x / 2 END, 0) AS w FROM w)
-  SELECT event_id, round(round(10 * ln(1 + exp((100 - 1e-3) * (lf * (1 - w) + p0 * w) / 10)), 6), 2) AS score FROM b""")
+  SELECT event_id, round(10 * ln(1 + exp((100 - 1e-3) * (lf * (1 - w) + p0 * w) / 10)), 2) AS score FROM b""")
 def x3_softplus_score(spark, d):
     p, r = (F.col("event_id") % 97) / F.lit(97.0), (F.col("event_id") % 11) / F.lit(3.0)
     left = F.when(F.col("event_id") % 5 > 0, F.col("value") / 40)
