@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table, written
 from tidegauge.llm.decontaminate import contaminated, content_key
-from tidegauge.llm.near_dedup import near_duplicates
+from tidegauge.llm.near_dedup import near_groups
 from tidegauge.llm.packing import pack
 from tidegauge.llm.perplexity_rules import quality_verdicts
 from tidegauge.llm.substring_dedup import substring_duplicates
@@ -28,10 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, the first of equals."""
     numbered = docs.withColumn("_n_row", F.monotonically_increasing_id())
-    groups = near_duplicates(numbered, carry=("_n_row",))
+    groups = near_groups(numbered, carry=("_n_row",))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_n_row"))["_n_row"].alias("_n_row")
-    # null ids that are linked to nothing with an id share no component: they fall back on their fingerprint
-    winners = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("_n_group")).agg(first).select("_n_row")
+    winners = groups.groupBy("group").agg(first).select("_n_row")
     return numbered.join(winners, "_n_row", "left_semi").select(docs.columns)
 
 

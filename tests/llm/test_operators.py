@@ -89,6 +89,19 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids_link_nothing(spark, sf_dir):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in near_duplicates(table).collect())
+    low = [None, None, 7, 7, 8, 8]
+    assert got == Counter((i, f"{simhash(t):016x}", k) for (i, t), k in zip(rows, low))
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, table, sf_dir).collect())
+    assert kept == Counter(rows[:2] + rows[3:])
+
+
 def test_base_rules_equal_brute_force(docs):
     for r in docs.collect():
         t = r.text or ""
