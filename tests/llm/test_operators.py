@@ -231,6 +231,17 @@ def test_languages_on_held_out_rows(spark, sf_dir, docs, empty):
     assert language_id.predict_languages(empty).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the cat and dog walked over road with them this morning".split(), "ru": "дом стоит у реки и никто в нём давно не живёт".split()}
+    made = lambda i, lang: (i, " ".join(np.random.default_rng(i).choice(words[lang], 30)), lang)
+    table = spark.createDataFrame([made(i, "en") for i in range(4000)] + [made(i, "ru") for i in range(4000, 4040)] + [(None, "το σπίτι", "el")] * 3, "doc_id long, text string, lang string")
+    model = language_id.train_languages(table, sample=60)
+    assert model.names == ["el", "en", "ru"] and (model.weights != 0).any(0).all()
+    got = language_id.predict_languages(table.where("lang <> 'el'"), sample=60).join(table, "doc_id")
+    assert got.where("lang <> lang_pred").count() == 0
+    assert language_id.shares({"a": 1_000_000, "b": 3, "c": 500}, 3000) == {"a": 2497, "b": 3, "c": 500}
+
+
 def test_quality_on_held_out_rows(spark, sf_dir, docs, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,10 +2,14 @@
 
 n-grams of 1 to MOST characters are hashed to BUCKETS features. Their document frequencies are counted by Spark over
 all training documents. The weights are trained by follow-the-regularised-leader with elastic-net penalties on at
-most SAMPLE training documents, those of the smallest hashed ids; a fifth of these is held back to fit a temperature.
+most SAMPLE training documents. Spark counts the languages of all training rows, and each gets an equal share of SAMPLE,
+those of its smallest hashes of id and text; what small languages leave over goes to the others. A share is never under
+LEAST, so only more than SAMPLE / LEAST languages take more rows. A fifth of the sample is held back to fit a
+temperature, but never all rows of a language. A language costs the driver and each worker about 0.8 MB.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; a null lang is never learned from; without
-training documents every document is `und`; ties go to the first language in order; repeated rows are judged alike.
+training documents every document is `und`; ties go to the first language in order; repeated rows are judged alike and
+count once in the sample.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ DIVISOR, HELD_OUT = 4, 2
 BITS = 15
 BUCKETS = 1 << BITS
 MOST = 3
-SAMPLE = 3000
+SAMPLE, LEAST = 3000, 4
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.05, 0.01, 3
 UNKNOWN = "und"
 
@@ -115,6 +119,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: np.ndarray, model:
     return model
 
 
+def shares(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows of the sample for each language: equal parts, and what small languages leave over goes to the others."""
+    out, left = {}, sample
+    for k, name in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[name] = min(sizes[name], max(left // (len(sizes) - k), LEAST))
+        left -= out[name]
+    return out
+
+
 def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
     """train: rows (doc_id, text, lang), lang not null."""
 
@@ -136,10 +149,19 @@ def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
     freq[at[at >= 0]] = n[at >= 0]
     model = Languages([], np.log((1 + docs) / (1 + freq)) + 0.1, np.zeros((BUCKETS, 0)), np.zeros(0))
 
-    chance = F.xxhash64(F.coalesce("doc_id", F.lit(0)))
-    edge = train.select(chance.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if edge is None:
+    chance = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")))
+    sizes = {r["lang"]: (r["n"], r["low"]) for r in train.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("low")).collect()}  # a row for each language
+    if not sizes:
         return model
+    share = shares({name: n for name, (n, _) in sizes.items()}, sample)
+
+    def bound(name: str) -> int:
+        """A hash under which about twice the share lies, and one row at least."""
+        n, low = sizes[name]
+        want = 2 * share[name] + 20
+        return max(low, (1 << 64) * want // n - (1 << 63)) if want < n else (1 << 63) - 1
+
+    bounds = train.sparkSession.createDataFrame([(name, bound(name)) for name in sizes], "lang string, bound long")
 
     def features(batches):
         for batch in steps(batches):
@@ -150,12 +172,20 @@ def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
                 rows.append((at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), *[pa.array(list(c), pa.binary()) for c in zip(*rows)]], names=["h", "lang", "features", "tf"])
 
-    got = train.withColumn("h", chance).where(F.col("h") <= edge).select("h", "lang", "text").mapInArrow(features, "h long, lang string, features binary, tf binary").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["h"], r["lang"], r["features"]))[:sample]
+    near = train.withColumn("h", chance).join(F.broadcast(bounds), "lang").where("h <= bound").select("h", "lang", "text").dropDuplicates(["h", "lang"])
+    drawn = near.mapInArrow(features, "h long, lang string, features binary, tf binary").toArrow().to_pylist()
+    got, left = [], dict(share)
+    for r in sorted(drawn, key=lambda r: (r["h"], r["lang"])):
+        if left[r["lang"]] > 0:
+            left[r["lang"]] -= 1
+            got.append(r)
     model.names = sorted({r["lang"] for r in got})
     code = {name: k for k, name in enumerate(model.names)}
     rows = [(np.frombuffer(r["features"], "<u2").astype(np.int64), np.frombuffer(r["tf"], "<u4"), code[r["lang"]]) for r in got]
     held = splitmix(np.array([r["h"] for r in got], np.int64).view(np.uint64)) % np.uint64(5) == 0
+    kind = np.array([code[r["lang"]] for r in got])
+    for k in set(range(len(model.names))) - set(kind[~held].tolist()):
+        held[np.flatnonzero(kind == k)[0]] = False
     return fit(rows, held, model)
 
 
