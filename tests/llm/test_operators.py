@@ -190,6 +190,26 @@ def test_class_probabilities_add_up():
     assert np.allclose(np.delete(p, neural_lm.START, 1).sum(1), 1, atol=1e-4)
 
 
+def test_every_head_word_is_predicted_and_a_context():
+    words = [b"\n", *(f"w{i}".encode() for i in range(3000))]
+    head = neural_lm.Head(words, np.arange(3001, 0, -1), 5_000_000, 4000)
+    model = neural_lm.Model(head)
+    token, context = head.contexts(*head.codes([b"w2998 w2999 w5 w2999 unseen"])[:2])
+    assert len(set(token.tolist())) == 5 and token[4] == neural_lm.OTHER
+    before = model.predict(context)
+    assert not np.allclose(before[1], before[2]) and not np.allclose(before[2], before[3])
+    every = np.delete(np.arange(head.size), neural_lm.START)
+    for c in context:
+        c = np.repeat(c[None], len(every), 0)
+        kind = head.class_of[every]
+        s = np.einsum("ij,ij->i", model.predict(c), model.target[kind]) + model.bias[kind] - model.log_norm(c) + model.log_inside(c, every)
+        assert abs(np.exp(s.astype(float)).sum() - 1) < 1e-3
+    trainer = neural_lm.Trainer(model, 0)
+    for _ in range(30):
+        trainer.step(context, token)
+    assert model.log_inside(context, token)[3] > np.log(head.inside[2999 - neural_lm.OWN]) + 0.5
+
+
 def test_leaks(spark, docs, empty, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     item = items.where("length(text) > 150").orderBy("item_id").first()

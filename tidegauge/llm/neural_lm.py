@@ -1,14 +1,16 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are the words of the lower-cased text (A-Z only) and one end. Spark counts every token of the training
-documents. The model predicts one of CLASSES classes from the two tokens before: the CLASSES - 2 most frequent
-tokens, the end among them, one class for all other words, and a start that is only ever a context. A predicted
-vector is the sum of the context vectors times position weights; its products with all class vectors, normalised,
-are the class probabilities. A word of the other class then has its add-one share of that class.
+documents. The HEAD most frequent tokens, the end among them, are the vocabulary: each has a context vector, and the
+model predicts each from the two tokens before in two levels. The OWN most frequent words are classes of their own; the
+rest lie by falling count in classes of about as many words as there are such classes, so both grow with the counted
+vocabulary up to HEAD. A predicted vector is the sum of the context vectors times position weights; its products with
+all class vectors, normalised, are the class probabilities, and those with all words of a class the probabilities inside
+it. Words beyond HEAD are one class, as context too, in which a word has its add-one share.
 
 Training runs in numpy inside Spark tasks over every token of every training document: each task takes one pass of
-noise-contrastive steps from the same start, and Spark averages the parameters, weighted by tokens. Scoring works
-out each distinct context once by batched matrix products.
+noise-contrastive steps from the same start, and Spark averages the vectors, weighted by how often a task stepped them.
+Scoring works out each distinct context of a step once, and each class once for all its tokens, by matrix products.
 
 A bounded table of the HEAD most frequent tokens goes to all tasks; the counts of other words are joined by Spark,
 after adding up equal words of a document.
@@ -20,7 +22,7 @@ scored each.
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections import Counter
 from itertools import repeat
 
@@ -32,12 +34,15 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import remainder, steps, sums_by, texts_of, written
 
 DIVISOR, HELD_OUT = 7, 2
-CLASSES, DIM, CONTEXT = 1024, 16, 2
+OWN, DIM, CONTEXT = 256, 16, 2
 HEAD = 65_536
-NOISE, BATCH, RATE = 24, 4096, 0.15
+NOISE, INNER_NOISE, BATCH, RATE = 24, 4, 4096, 0.15
+#: Start of the AdaGrad sums: of tables that a batch touches widely, and of those with a row for each word.
+DENSE, SPARSE = 1e-2, 1e-8
 #: The end token as a key; no word contains white space.
 END = b"\n"
-OTHER, START = 0, 1
+#: Numbers of a token and of its class; vocabulary words follow from WORDS on.
+OTHER, START, STOP, WORDS = 0, 1, 2, 3
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -64,27 +69,30 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Class vectors, context vectors with position weights, and biases; it starts from the class frequencies."""
+    """Class vectors with biases, word vectors inside classes with biases (last column), context vectors, position weights."""
 
     def __init__(self, head: Head, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.target = (0.1 * rng.standard_normal((CLASSES, DIM))).astype(np.float32)
-        self.source = (0.1 * rng.standard_normal((CLASSES, DIM))).astype(np.float32)
+        start = lambda n, more=0: (0.1 * rng.standard_normal((n, DIM + more))).astype(np.float32)
+        self.target, self.source, self.inner = start(head.classes), start(head.size), start(head.grouped, 1)
         self.weight = np.ones((CONTEXT, DIM), np.float32)
         self.bias = np.log((head.mass + 0.5) / (head.mass + 0.5).sum()).astype(np.float32)  # the class frequencies
-        self.noise = head.noise
+        self.inner[:, DIM] = np.log(head.inside)
+        self.noise, self.head = head.noise, head
 
     def params(self) -> list[np.ndarray]:
-        return [self.target, self.source, self.weight, self.bias]
+        return [self.target, self.source, self.weight, self.bias, self.inner]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params()])
+    def rows(self) -> np.ndarray:
+        """All vectors, each with its bias or 0."""
+        wide = [np.column_stack((self.target, self.bias)), *[np.pad(p, ((0, 0), (0, 1))) for p in (self.source, self.weight)], self.inner]
+        return np.concatenate(wide)
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for p in self.params():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+    def load(self, rows: np.ndarray) -> None:
+        at = np.cumsum([len(self.target), len(self.source), len(self.weight)])
+        target, source, weight, self.inner[...] = np.split(rows, at)
+        self.target[...], self.bias[...] = target[:, :DIM], target[:, DIM]
+        self.source[...], self.weight[...] = source[:, :DIM], weight[:, :DIM]
 
     def predict(self, context: np.ndarray) -> np.ndarray:
         return sum(self.source.take(context[:, j], axis=0) * self.weight[j] for j in range(CONTEXT))
@@ -92,35 +100,81 @@ class Model:
     def log_norm(self, context: np.ndarray) -> np.ndarray:
         """Log of the normaliser of each context row, by matrix products over all classes but the start."""
         out = np.empty(len(context), np.float32)
-        real = np.arange(CLASSES) != START
+        bias = self.bias.copy()
+        bias[START] = -np.inf
         for i in range(0, len(context), 2048):
-            s = self.predict(context[i : i + 2048]) @ self.target.T + self.bias
-            s = s[:, real]
-            top = s.max(1)
-            out[i : i + 2048] = top + np.log(np.exp(s - top[:, None]).sum(1))
+            out[i : i + 2048] = _log_sums(self.predict(context[i : i + 2048]) @ self.target.T + bias)
         return out
 
+    def log_inside(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log probability of each token inside its class; 0 where a class has one token or is that of others."""
+        head, out = self.head, np.zeros(len(word), np.float32)
+        at = np.flatnonzero(word >= head.first)
+        group = (word[at] - head.first) // head.group
+        order = np.argsort(group, kind="stable")
+        at, group = at[order], group[order]
+        cuts = np.searchsorted(group, np.arange(head.classes - head.first + 1)) if len(at) else [0]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            table = self.inner[k * head.group : (k + 1) * head.group]
+            for rows in (at[i : min(i + 4096, b)] for i in range(a, b, 4096)):
+                s = self.predict(context[rows]) @ table[:, :DIM].T + table[:, DIM]
+                mine = s[np.arange(len(rows)), word[rows] - head.first - k * head.group]
+                out[rows] = mine - _log_sums(s)
+        return out
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row, in place."""
+    top = s.max(1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(1))
+
 
 class Trainer:
     """Noise-contrastive AdaGrad steps; a batch shares its noise classes, so its products are matrix products."""
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.square = [np.full(p.shape, 1e-2, np.float32) for p in model.params()]
+        self.square = [np.full(p.shape, sq, np.float32) for p, sq in zip(model.params(), (DENSE, SPARSE, DENSE, DENSE, SPARSE))]
+        #: How often each row was stepped.
+        self.hits = [np.zeros(len(p)) for p in model.params()]
 
     def _apply(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
         """Add up the gradients (a column for each row index) of equal rows, then step those rows."""
-        order = np.argsort(rows.astype(np.int16), kind="stable")  # CLASSES fit; a radix sort
+        narrow = len(self.m.params()[which]) <= 1 << 16  # a radix sort
+        order = np.argsort(rows.astype(np.uint16), kind="stable") if narrow else np.argsort(rows)
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         at, g = sorted_rows[first], np.add.reduceat(grad.take(order, axis=1), first, axis=1).T
         p, sq = self.m.params()[which], self.square[which]
         sq[at] += g * g
         p[at] -= RATE * g / np.sqrt(sq[at])
-
-    def step(self, context: np.ndarray, word: np.ndarray) -> None:
+        self.hits[which][at] += np.diff(np.append(first, len(rows)))
+
+    def _inner(self, pred: np.ndarray, word: np.ndarray, g_pred: np.ndarray) -> None:
+        """Step the words inside classes, each against INNER_NOISE even draws from its class; adds to g_pred."""
+        head = self.m.head
+        at = np.flatnonzero(word >= head.first)
+        if not len(at):
+            return
+        own = word[at] - head.first
+        low = own // head.group * head.group
+        size = np.minimum(head.group, head.grouped - low)
+        drawn = low[:, None] + np.minimum((self.rng.random((len(at), INNER_NOISE)) * size[:, None]).astype(np.int64), size[:, None] - 1)
+        rows = np.column_stack((own, drawn))
+        vectors = self.m.inner.take(rows, axis=0)
+        wide = np.column_stack((pred[at], np.ones(len(at), np.float32)))
+        s = np.einsum("ikd,id->ik", vectors, wide) - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
+        g = 1 / (1 + np.exp(np.clip(-s, -30, 30)))
+        g[:, 0] -= 1
+        g *= np.float32(1 / len(word))
+        g_pred[at] += np.einsum("ik,ikd->id", g, vectors)[:, :DIM]
+        self._apply(4, rows.ravel(), (g[:, :, None] * wide[:, None, :]).reshape(-1, DIM + 1).T)
+
+    def step(self, context: np.ndarray, token: np.ndarray) -> None:
         m = self.m
-        noise = self.rng.choice(CLASSES, NOISE, p=m.noise)
+        word, classes = m.head.class_of[token], m.head.classes
+        noise = self.rng.choice(classes, NOISE, p=m.noise)
         sources = [m.source.take(context[:, j], axis=0) for j in range(CONTEXT)]
         pred = sum(x * w for x, w in zip(sources, m.weight))
         offset = np.log(NOISE * m.noise).astype(np.float32) - m.bias
@@ -136,37 +190,52 @@ class Trainer:
         g_false += 1
         np.divide(n, g_false, out=g_false)
         g_pred = g_true[:, None] * target + g_false @ others
+        self._inner(pred, token, g_pred)
         g_target = np.concatenate((g_true * pred.T, pred.T @ g_false), axis=1)
         g_source = np.concatenate([(g_pred * w).T for w in m.weight], axis=1)
         g_weight = np.stack([np.einsum("ij,ij->j", g_pred, x) for x in sources])
         both = np.concatenate((word, noise))
-        g_bias = np.bincount(both, np.concatenate((g_true, g_false.sum(0))), CLASSES).astype(np.float32)
+        g_bias = np.bincount(both, np.concatenate((g_true, g_false.sum(0))), classes).astype(np.float32)
         self._apply(0, both, g_target)
         self._apply(1, context.T.ravel(), g_source)
         for which, g in ((2, g_weight), (3, g_bias)):
             self.square[which] += g * g
             m.params()[which][...] -= RATE * g / np.sqrt(self.square[which])
+        self.hits[2] += 1
+
+    def stepped(self) -> np.ndarray:
+        """Hits of all rows, in the order of Model.rows."""
+        return np.concatenate([self.hits[k] for k in (0, 1, 2, 4)])
 
 
 class Head:
-    """The most frequent tokens with their counts; the first of them are classes of their own."""
+    """The most frequent tokens with their counts, numbers and classes."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.code = {w: i for i, w in enumerate(words)}
         self.counts, self.total, self.distinct = np.append(counts, 0), total, distinct
-        own = [w for w in words[: CLASSES - 3] if w != END]
-        self.classes = {w: i + 3 for i, w in enumerate(own)} | {END: 2}
-        # by code: the class, and for an unknown word (last code) the class of others
-        self.class_of = np.array([self.classes.get(w, OTHER) for w in words] + [OTHER], np.int32)
-        n = np.zeros(CLASSES)
-        np.add.at(n, self.class_of[:-1], counts)
+        ids = {w: i + WORDS for i, w in enumerate(w for w in words if w != END)} | {END: STOP}
+        #: Token number by code; an unknown word has the last code.
+        self.id_of = np.array([ids[w] for w in words] + [OTHER], np.int32)
+        self.size, self.first = len(ids) + WORDS - 1, OWN + WORDS
+        # words from number `first` on lie in classes of `group` words
+        self.grouped = max(self.size - self.first, 0)
+        self.group = max(math.isqrt(max(self.grouped - 1, 0)) + 1, 1)
+        self.class_of = np.arange(self.size, dtype=np.int32)
+        self.class_of[self.first :] = self.first + np.arange(self.grouped) // self.group
+        self.classes = int(self.class_of[-1]) + 1
+        by_id = np.bincount(self.id_of[:-1], counts, self.size)
+        n = np.bincount(self.class_of, by_id, self.classes)
         n[OTHER] = total - n[2:].sum()
         self.mass = n
+        inside = by_id[self.first :] + 0.5
+        #: Shares of the grouped words in their classes.
+        self.inside = inside / np.bincount(np.arange(self.grouped) // self.group, inside)[np.arange(self.grouped) // self.group] if self.grouped else inside
         noise = (n + 1) ** 0.75
         noise[START] = 1e-9
         self.noise = noise / noise.sum()
         #: Add-one shares inside the class of others: its tokens, its distinct words and one unseen word.
-        self.other_total = n[OTHER] + max(distinct - len(self.classes), 0) + 1
+        self.other_total = n[OTHER] + max(distinct - len(words), 0) + 1
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Codes of all tokens (an end after each text), tokens per text, and the words."""
@@ -179,10 +248,10 @@ class Head:
         return np.array(flat, np.int32), np.fromiter(map(len, split), np.int64, len(split)) + 1, split
 
     def contexts(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token and the classes of the CONTEXT tokens before it, nearest first."""
-        c = self.class_of[codes].copy()
+        """Number of each token and the numbers of the CONTEXT tokens before it, nearest first."""
+        c = self.id_of[codes]
         ends = np.cumsum(lengths) - 1
-        c[ends] = 2
+        c[ends] = STOP
         first = ends - lengths + 1
         place = np.arange(len(c)) - np.repeat(first, lengths)
         out = np.full((len(c), CONTEXT), START, np.int32)
@@ -192,12 +261,14 @@ class Head:
         return c, out
 
 
+VALUES = [f"v{k}" for k in range(DIM + 1)]
+
+
 def _train(head_shared):
     def run(batches):
         head = head_shared.value
         model = Model(head)
         trainer = None
-        seen = 0
         for batch in steps(batches):
             texts = texts_of(batch.column("text"))
             trainer = trainer or Trainer(model, len(texts[0]) if texts else 0)
@@ -207,17 +278,14 @@ def _train(head_shared):
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
                 trainer.step(context[at], word[at])
-            seen += len(word)
-        if seen:
-            flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
+        if trainer:
+            hits = trainer.stepped()
+            at = np.flatnonzero(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hits[at]), *map(pa.array, np.ascontiguousarray(model.rows()[at].T))], names=["i", "n", *VALUES])
 
     return run
 
 
-_norms: dict[str, np.ndarray] = {}
-
-
 def _places(at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and place in it of tokens numbered over all texts."""
     ends = np.cumsum(lengths)
@@ -232,35 +300,27 @@ def _counted(rows: list[dict[bytes, int]]) -> pa.ListArray:
 
 def _score(head_shared, flat_shared):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    key_of_model = uuid.uuid4().hex
 
     def run(batches):
         head = head_shared.value
         model = Model(head)
         model.load(flat_shared.value)
         log_n = np.log10(head.total + head.distinct + 1)
-        norms = _norms.get(key_of_model)
-        if norms is None:  # contexts met in other tasks of this worker need no second product
-            _norms.clear()
-            norms = _norms[key_of_model] = np.full(CLASSES * CLASSES, np.nan, np.float32)
         known = head.counts > 0
         logs = np.log10(head.counts + 1.0) - log_n
         logs[-1] = -log_n  # the count of a word outside the head is added by the join
-        within = np.where(head.class_of == OTHER, np.log10(head.counts + 1.0) - np.log10(head.other_total), 0.0)
+        within = np.where(head.id_of == OTHER, np.log10(head.counts + 1.0) - np.log10(head.other_total), 0.0)
         for batch in steps(batches):
             codes, lengths, split = head.codes(texts_of(batch.column("text")))
             word, context = head.contexts(codes, lengths)
-            key = context[:, 0] * CLASSES + context[:, 1]
-            norm = norms[key]
-            if np.isnan(norm).any():
-                new = np.unique(key[np.isnan(norm)])
-                norms[new] = model.log_norm(np.stack((new // CLASSES, new % CLASSES), 1))
-                norm = norms[key]
-            exact = np.empty(len(word))
+            key, back = np.unique(context[:, 0].astype(np.int64) * head.size + context[:, 1], return_inverse=True)
+            norm = model.log_norm(np.stack((key // head.size, key % head.size), 1))[back]
+            kind = head.class_of[word]
+            exact = model.log_inside(context, word) - norm
             for i in range(0, len(word), 1 << 16):
                 part = slice(i, i + (1 << 16))
-                exact[part] = np.einsum("ij,ij->i", model.predict(context[part]), model.target.take(word[part], axis=0)) + model.bias[word[part]]
-            log10 = (exact - norm) / np.log(10) + within[codes]
+                exact[part] += np.einsum("ij,ij->i", model.predict(context[part]), model.target.take(kind[part], axis=0)) + model.bias[kind[part]]
+            log10 = exact / np.log(10) + within[codes]
             rare: list[Counter] = [Counter() for _ in split]
             for i, at in zip(*(x.tolist() for x in _places(np.flatnonzero(codes == len(head.code)), lengths))):
                 if at < len(split[i]):  # not the end
@@ -290,10 +350,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     head = Head(words, np.array(c, np.int64), total, distinct)
     head_shared = spark.sparkContext.broadcast(head)
 
-    averaged = train.select("text").mapInArrow(_train(head_shared), "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-    flat = Model(head).flat()
-    flat[np.asarray(averaged["i"].combine_chunks())] = np.asarray(averaged["v"].combine_chunks())
-    flat_shared = spark.sparkContext.broadcast(flat)
+    stepped = train.select("text").mapInArrow(_train(head_shared), "i int, n double, " + ", ".join(f"{v} float" for v in VALUES))
+    averaged = stepped.groupBy("i").agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).cast("float").alias(v) for v in VALUES]).toArrow()  # 2 * HEAD rows and the classes at most
+    rows = Model(head).rows()
+    rows[np.asarray(averaged["i"].combine_chunks())] = np.column_stack([np.asarray(averaged[v].combine_chunks()) for v in VALUES])
+    flat_shared = spark.sparkContext.broadcast(rows)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
     rows = base.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "held_out", "text").mapInArrow(_score(head_shared, flat_shared), schema)
