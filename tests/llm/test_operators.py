@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -128,17 +130,21 @@ def test_kneser_ney_is_a_distribution():
         assert abs(model.prob(np.arange(64) + (context << 6)).sum() - 1) < 1e-6
 
 
-def test_packing_covers_every_token_once(docs, empty):
-    got = packing.pack(docs).toPandas()
+def test_packing_equals_brute_force(spark, docs, empty):
+    odd = spark.createDataFrame([(2000, "hello\r\nworld"), (2001, "\tindented\x0bline\x0c"), (None, "word\t"), (2002, "Y\u030a <|endoftext|>x")], "doc_id long, text string")
+    table = docs.select("doc_id", "text", F.lit(1).alias("piece"), F.lit(2).alias("offset")).unionByName(odd, allowMissingColumns=True)
+    got = packing.pack(table).toPandas()
+    # every piece once, without gaps, within the capacity
     assert len(got) == got.drop_duplicates(["sequence_id", "offset"]).shape[0]
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= packing.CAPACITY
-    encoder = packing.Encoder(packing.default_tokenizer())
-    for r in docs.where("doc_id in (0, 5, 1002, 1005)").collect():
-        ids = np.array([*encoder.tokenizer.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
-        own = got[got["doc_id"] == r.doc_id].sort_values("piece")
-        assert own["ids_crc32"].tolist() == [zlib.crc32(ids[k : k + 4096].tobytes()) for k in range(0, len(ids), 4096)]
+    tokenizer, want = packing.Encoder(packing.default_tokenizer()).tokenizer, Counter()
+    for r in table.collect():
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            want[-1 if r.doc_id is None else r.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())] += 1
+    assert Counter(zip(got["doc_id"].fillna(-1).astype(int), got["piece"], got["start"], got["length"], got["ids_crc32"])) == want
     assert packing.pack(empty).count() == 0
 
 
@@ -151,9 +157,13 @@ def test_plan_is_close_to_the_bound(seed):
 
 
 def test_encoder_equals_the_tokenizer():
-    encoder = packing.Encoder(packing.default_tokenizer())
-    for t in ["It's a <|endoftext|> TEST don't ÀÉ été... 3.14!! WE'LL\tgo\r\nx", "Σας İstanbul é", "'s 'S", "a\x1cb\x85c d foo.bar,baz--qux_1", "", "  "]:
-        assert encoder.encode([t.encode()])[0] == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    encoder, rng = packing.Encoder(packing.default_tokenizer()), random.Random(5)
+    letters = [*"abcXYZ's's'tre 'll019.,-!\t\r\n\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000éÉÀßσΣςİı日本語한글\u030a\u0307Kﬁ½²Ⅷ🙂\x00|<>_\"#", "<|endoftext|>", "<|ENDOFTEXT|>", "the ", "hello", "\r\n"]
+    texts = ["It's a <|endoftext|> TEST don't ÀÉ été... 3.14!! WE'LL\tgo\r\nx", "Σας İstanbul é", "'s 'S", "a\x1cb\x85c d foo.bar,baz--qux_1", "", "  "]
+    texts += ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(10_000)]
+    for i in range(0, len(texts), 400):
+        for t, got in zip(texts[i : i + 400], encoder.encode(pa.array(texts[i : i + 400]))):
+            assert got.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_licenses_equal_brute_force(docs, empty):

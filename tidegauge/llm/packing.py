@@ -22,15 +22,15 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegauge.llm.common import steps, texts_of, written
+from tidegauge.llm.common import steps, written
 
 CAPACITY, END = 4096, 1
 THIRDS = 24
@@ -46,40 +46,95 @@ def default_tokenizer() -> str:
 
 #: How the tokenizer parts a lower-case ASCII word before it merges letters.
 PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The same for other words, as far as their parts beyond ASCII are letters alone.
+WIDE_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+#: A special token that stands between words that are tokenised together; `<|` marks texts that may hold one.
+BETWEEN = b"<|endoftext|>"
+TOGETHER = 256
+#: Texts that go to the tokenizer whole: a special token is told by its case and may stand inside a word, and a mark
+#: may combine with a capital letter but not with the small one, or the other way round.
+WHOLE = r"<\||[A-Z]\p{M}"
+#: Bytes of text that one step encodes.
+STEP = 8 << 20
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes. The tokenizer lower-cases and never looks across white space, so
-    the ids of a text are those of its words in turn, and each distinct lower-cased word is tokenised once."""
+    """Token ids of texts. The tokenizer lower-cases and never looks across white space, so the ids of a text are those
+    of its words in turn, and each distinct lower-cased word is tokenised once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def _ids(self, parts: list[bytes]) -> None:
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.memo.update((word, np.array(g.ids, "<u4").tobytes()) for word, g in zip(some, got))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.replace(b"\n", b" ").split(b" ") if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        # a special token is told by its case, so only a word that may hold one keeps its letters
-        split = [[w if b"<|" in w else w.lower() for w in words] if b"<|" in t else words for t, words in zip(texts, split)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.between = vocabulary[BETWEEN.decode()]
+        #: Whether a token ends a part.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {b"": b""}
+
+    def _runs(self, words: list[bytes], sep: bytes) -> np.ndarray:
+        joined = [sep.join(words[i : i + TOGETHER]) + sep for i in range(0, len(words), TOGETHER)]
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in joined], add_special_tokens=False)
+        return np.concatenate([np.array(g.ids, "<u4") for g in got])
+
+    def _learn(self, words: list[bytes], ids: np.ndarray, last: np.ndarray, drop: int = 0) -> None:
+        """Remember the ids of each word, which go up to its place in `last`, less `drop` at the end."""
+        raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
+        self.memo.update((w, raw[a : b - 4 * drop]) for w, a, b in zip(words, [0, *ends], ends))
+
+    @staticmethod
+    def parted(word: bytes) -> list[bytes] | None:
+        """What the tokenizer parts a word into before it merges letters, None where that is left to it."""
+        if word.isascii():
+            return PARTS.findall(word)
+        parts = WIDE_PARTS.findall(text := word.decode("utf-8", "replace"))
+        if sum(map(len, parts)) < len(text) or not all(p.isascii() or p.lower().isalpha() for p in parts):
+            return None
+        return [p.encode() for p in parts]
+
+    def learn(self, new: list[bytes]) -> None:
+        # a word is put together from parts that many words share
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = set(chain.from_iterable(split)).difference(memo)
-        # the tokenizer parts letters, digits and marks before anything else; an ASCII word is put together from
-        # parts that many words share
-        parted = {w: PARTS.findall(w) for w in new if w.isascii() and b"<|" not in w}
-        parts = set(chain.from_iterable(parted.values())).difference(memo)
-        self._ids(list(parts.union(w for w in new if w not in parted)))
-        memo.update((w, b"".join(map(memo.__getitem__, p))) for w, p in parted.items() if len(p) != 1)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        parted = {w: self.parted(w) for w in new}
+        whole = [w for w, p in parted.items() if p is None]
+        parts = list({x for p in parted.values() if p for x in p}.difference(memo))
+        if parts:
+            ids = self._runs(parts, b" ")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(parts):
+                self._learn(parts, ids, last)
+            else:  # a letter that the tokenizer takes apart
+                whole = list({*whole, *parts})
+        if whole:
+            ids = self._runs(whole, BETWEEN)
+            self._learn(whole, ids, np.flatnonzero(ids == self.between), 1)
+        memo.update((w, b"".join(map(memo.__getitem__, p))) for w, p in parted.items() if p and p != [w])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column without nulls."""
+        by_word = pc.invert(pc.match_substring_regex(texts, WHOLE))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(by_word, texts, "")))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.memo) > MEMO:
+            self.memo = {b"": b""}
+        known = list(map(self.memo.get, words))
+        if new := [w for w, k in zip(words, known) if k is None]:
+            self.learn(new)
+            known = list(map(self.memo.__getitem__, words))
+        store = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        code = np.asarray(coded.indices)
+        n = sizes[code]
+        upto = np.cumsum(n)
+        ids = store[np.repeat((np.cumsum(sizes) - sizes)[code] - upto + n, n) + np.arange(n.sum())]
+        edges = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(split)))))].tolist()
+        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
+        for i in np.flatnonzero(~np.asarray(by_word)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,18 +142,18 @@ _encoders: dict[str, Encoder] = {}
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
-    end = np.array([END], "<u4").tobytes()
+    end = np.array([END], "<u4")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
-        for batch in steps(batches):
+        for batch in steps(batches, most=STEP):
             out = []
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch.column("text")))):
-                ids += end
-                for k in range(0, len(ids) // 4, CAPACITY):
-                    part = ids[4 * k : 4 * (k + CAPACITY)]
-                    out.append((i, k // CAPACITY, k, len(part) // 4, zlib.crc32(part)))
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                ids = np.concatenate((ids, end))
+                for k in range(0, len(ids), CAPACITY):
+                    part = ids[k : k + CAPACITY]
+                    out.append((i, k // CAPACITY, k, len(part), zlib.crc32(part)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
