@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -181,6 +182,47 @@ def test_fuzzy_notices():
     assert scan(b"nothing of the kind is here")[5:7] == ("", 0.0)
 
 
+def edit_distance_inside(notice, text):
+    """Least edits of a notice against any part of a text."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for c in text:
+        now = [0]
+        for j, x in enumerate(notice, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != c)))
+        row = now
+        best = min(best, row[-1])
+    return best
+
+
+def test_fuzzy_notices_equal_brute_force():
+    rng, scanner = random.Random(2), license_scan.Scanner()
+    notices = list(license_scan.NOTICES)
+    for _ in range(150):
+        parts = []
+        for notice in rng.choices(notices, k=3):
+            t = list(notice)
+            for _ in range(rng.randint(0, license_scan.edits(notice) + 2)):
+                i = rng.randrange(1, len(t) - 1)
+                t[i : i + 1] = rng.choice([[], ["q"], [t[i], "z"]])
+            parts.append(" ".join("".join(t).split()))
+        text = " filler ".join(["some", *parts, "end"])
+        spans = scanner.scan(text.encode())[7]
+        words = f" {text} "
+        near = {n for n in notices if edit_distance_inside(n, words) <= license_scan.edits(n)}
+        labels = {license_scan.NOTICES[n] for n in near}
+        assert {s[2] for s in spans} <= labels
+        # each near notice stands, or one at least as similar stands in its place
+        assert len(spans) >= sum(min(edit_distance_inside(n, p) - license_scan.edits(n) for n in notices) <= 0 for p in parts)
+    one, two = "licensed under the bsd license", "licensd under the bsd license"
+    for text in (f"{one}. {two}", f"{two}. {one}", f"{two}, {two}", f"{one} {one}"):
+        assert [s[0] for s in scanner.scan(text.encode())[7]] == [0, 5]
+    for text in (one + " ", two + ". "):
+        began = time.time()
+        assert len(scanner.scan((text * 4000).encode())[7]) == 4000
+        assert time.time() - began < 20
+
+
 def test_scores_equal_brute_force(docs, empty):
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in neural_lm.score_texts(docs).collect())
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2

@@ -5,15 +5,19 @@ piece must stand in the text unchanged (pigeonhole), so an Aho-Corasick automato
 windows without losing any; the regex library's bounded-error matching then verifies each and gives its span.
 
 Words are runs of characters that are not ASCII marks or space, of the text with A-Z lower-cased; phrases and
-notices are matched in the words joined by single spaces.
+notices are matched in the words joined by single spaces. Exact places of a notice come first; what lies between them
+is searched with edits. Every step is linear in the text, however many notices it holds.
 
-Edge cases: a null or empty text has no words and score 0; places that overlap are all counted for base phrases; a
+Edge cases: columns of docs that bear a result's name are replaced; a null or empty text has no words and score 0; places that overlap are all counted for base phrases; a
 text of any length is searched whole; repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,7 +72,10 @@ class Scanner:
 
         self.phrases = [(f" {p} ", label) for p, label in phrases.items()]
         self.notices = list(notices.items())
-        self.fuzzy = [regex.compile(f"(?be)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits(n)}}}") for n, _ in self.notices]
+        bounded = lambda n: f"(?:{regex.escape(n, literal_spaces=True)}){{e<={edits(n)}}}"
+        #: Per notice: finds the next place that matches, and the best match of a short stretch.
+        self.next = [regex.compile("(?e)" + bounded(n)) for n, _ in self.notices]
+        self.best = [regex.compile("(?be)" + bounded(n)) for n, _ in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (n, _) in enumerate(self.notices):
             for at, piece in pieces(n):
@@ -79,18 +86,29 @@ class Scanner:
         self.seeds.make_automaton()
 
     def base(self, words: str) -> tuple[list[int], set[str]]:
-        """First words of all places of the phrases in ` w1 w2 ... `, and their labels."""
+        """Characters at which all places of the phrases in ` w1 w2 ... ` begin, and their labels."""
         places, labels = [], set()
         for phrase, label in self.phrases:
             at = words.find(phrase)
             while at >= 0:
-                places.append(words.count(" ", 0, at))
+                places.append(at)
                 labels.add(label)
                 at = words.find(phrase, at + 1)
         return places, labels
 
-    def spans(self, words: str) -> list[tuple[int, int, str, float]]:
-        """(first word, words, label, similarity) of each notice found in ` w1 w2 ... `."""
+    def _fuzzy(self, k: int, words: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, edits) of the matches of a notice in words[a:b], from left to right."""
+        while m := self.next[k].search(words, a, b):
+            # the first fit may begin too early, so the best one that begins inside it stands
+            better = self.best[k].search(words, m.start(), min(b, m.end() + len(self.notices[k][0])))
+            if better and sum(better.fuzzy_counts) < sum(m.fuzzy_counts) and better.start() < m.end():
+                m = better
+            yield m.start(), m.end(), sum(m.fuzzy_counts)
+            a = max(m.end(), a + 1)
+
+    def spans(self, words: str, number: Callable[[int], int]) -> list[tuple[int, int, str, float]]:
+        """(first word, words, label, similarity) of each notice found in ` w1 w2 ... `; number(i) counts the spaces
+        before character i."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, owners) in self.seeds.iter(words):
             for k, at in owners:
@@ -107,28 +125,54 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                if notice in words[a:b]:
-                    hits = [(m.start() + a, m.end() + a, 0) for m in re.finditer(re.escape(notice), words[a:b])]
-                else:
-                    hits = [(m.start() + a, m.end() + a, sum(m.fuzzy_counts)) for m in self.fuzzy[k].finditer(words[a:b])]
-                for start, end, wrong in hits:
-                    # whole words only, apart from what the edits themselves took
-                    if not wrong and (words[start - 1 : start] != " " or words[end : end + 1] != " "):
+                hits, at = [], words.find(notice, a, b)
+                while at >= 0:  # exact places first; what lies between them may still match with edits
+                    hits += [*self._fuzzy(k, words, a, at), (at, at + len(notice), 0)]
+                    a = at + len(notice)
+                    at = words.find(notice, a, b)
+                for start, end, wrong in [*hits, *self._fuzzy(k, words, a, min(b, len(words)))]:
+                    if not wrong:  # letters that go on at an end are edits too
+                        wrong = (words[start - 1 : start] != " ") + (words[end : end + 1] != " ")
+                    if wrong > edits(notice):
                         continue
-                    first = words.count(" ", 0, start + 1) - 1 + (words[start] == " ")
+                    first = number(start + 1) - 1 + (words[start] == " ")
                     out.append((max(0, first), len(words[start:end].split()), label, 1 - wrong / len(notice)))
-        # of overlapping spans the most similar stands, so an exact version number beats a near one
+        return self._standing(out)
+
+    @staticmethod
+    def _standing(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+        """Of overlapping spans the most similar stand, so an exact version number beats a near one."""
         kept: list[tuple[int, int, str, float]] = []
-        for x in sorted(out, key=lambda x: (-x[3], -x[1], x[0], x[2])):
-            if all(x[0] + x[1] <= y[0] or y[0] + y[1] <= x[0] or x[3] == y[3] for y in kept):
-                kept.append(x)
+        covered: list[list[int]] = []  # apart from each other, in order
+        for _, level in groupby(sorted(set(spans), key=lambda x: -x[3]), key=lambda x: x[3]):
+            free = []
+            for x in level:
+                i = bisect_left(covered, [x[0] + x[1]]) - 1  # the last one that begins before x ends
+                if i < 0 or covered[i][1] <= x[0]:
+                    free.append(x)
+            kept += free
+            merged: list[list[int]] = []
+            for a, b in sorted([*covered, *([x[0], x[0] + x[1]] for x in free)]):
+                if merged and a < merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            covered = merged
         return sorted(kept)
 
     def scan(self, text: bytes) -> tuple:
         folded = b" ".join(text.translate(FOLD).split())
         words = f" {folded.decode('utf-8', 'replace')} " if folded else ""
-        places, labels = self.base(words)
-        spans = self.spans(words)
+        gaps: list[int] = []
+
+        def number(i: int) -> int:
+            if not gaps:  # found once, and only in texts with a hit
+                gaps.extend(m.start() for m in re.finditer(" ", words))
+            return bisect_left(gaps, i)
+
+        at, labels = self.base(words)
+        places = [number(i) for i in at]
+        spans = self.spans(words, number)
         every = labels | {s[2] for s in spans}
         score = 1.0 if labels else max((s[3] for s in spans), default=0.0)
         return (len(folded.split()), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, spans)
