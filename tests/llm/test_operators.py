@@ -22,6 +22,8 @@ from tidegauge.llm.substring_dedup import substring_duplicates
 from tidegauge.llm.warc import parsed, record, round_trip, unchunked, chunked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, key string"
+#: What a held-out token of sf0.01 gains over the base, in log10.
+MARGIN = 0.1
 LONG = " ".join(f"w{i % 977}" for i in range(25_000))
 
 
@@ -233,6 +235,12 @@ def test_scores_equal_brute_force(docs, empty):
     assert neural_lm.score_texts(empty).count() == 0
 
 
+def test_held_out_scores_beat_the_base(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = neural_lm.score_texts(corpus).where("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("own"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    assert got.own > got.base + MARGIN
+
+
 def test_class_probabilities_add_up():
     head = neural_lm.Head([b"\n", b"a", b"b"], np.array([5, 9, 2]), 20, 6)
     model = neural_lm.Model(head)
@@ -246,7 +254,7 @@ def test_every_head_word_is_predicted_and_a_context():
     words = [b"\n", *(f"w{i}".encode() for i in range(3000))]
     head = neural_lm.Head(words, np.arange(3001, 0, -1), 5_000_000, 4000)
     model = neural_lm.Model(head)
-    token, context = head.contexts(*head.codes([b"w2998 w2999 w5 w2999 unseen"])[:2])
+    token, context = head.contexts(*head.codes(pa.array(["w2998 w2999 w5 w2999 unseen"]))[:2])
     assert len(set(token.tolist())) == 5 and token[4] == neural_lm.OTHER
     before = model.predict(context)
     assert not np.allclose(before[1], before[2]) and not np.allclose(before[2], before[3])

@@ -51,6 +51,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words (runs of other characters than ASCII white space) of all texts one after another, as binary, and how
+    many each text has. `lower` makes A-Z small first; null is empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = split.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(flat), 0)
+    counts = np.bincount(np.asarray(pc.list_parent_indices(split))[np.asarray(full)], minlength=len(texts))
+    return flat.filter(full), counts
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of one hold about `most` bytes."""
     for batch in batches:

@@ -9,7 +9,8 @@ all class vectors, normalised, are the class probabilities, and those with all w
 it. Words beyond HEAD are one class, as context too, in which a word has its add-one share.
 
 Training runs in numpy inside Spark tasks over every token of every training document: each task takes one pass of
-noise-contrastive steps from the same start, and Spark averages the vectors, weighted by how often a task stepped them.
+noise-contrastive steps from the same start over its share, and Spark averages the vectors, weighted by how often a task
+stepped them; the next of the ROUNDS begins with that average.
 Scoring works out each distinct context of a step once, and each class once for all its tokens, by matrix products.
 
 A bounded table of the HEAD most frequent tokens goes to all tasks; the counts of other words are joined by Spark,
@@ -24,19 +25,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import remainder, steps, sums_by, texts_of, written
+from tidegauge.llm.common import remainder, steps, sums_by, words_of, written
 
 DIVISOR, HELD_OUT = 7, 2
-OWN, DIM, CONTEXT = 256, 16, 2
+OWN, DIM, CONTEXT = 128, 16, 2
 HEAD = 65_536
-NOISE, INNER_NOISE, BATCH, RATE = 24, 4, 4096, 0.15
+NOISE, INNER_NOISE, BATCH, RATE = 24, 12, 4096, 0.15
+#: Each round trains on its share of the documents from the average of the round before.
+ROUNDS = 2
 #: Start of the AdaGrad sums: of tables that a batch touches widely, and of those with a row for each word.
 DENSE, SPARSE = 1e-2, 1e-8
 #: The end token as a key; no word contains white space.
@@ -55,10 +58,11 @@ def count_tokens(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
 
         for batch in steps(batches):
-            texts = texts_of(batch.column("text"))
-            for t in texts:
-                total.update(t.lower().split())
-            total[END] += len(texts)
+            coded = words_of(batch.column("text"), lower=True)[0].dictionary_encode()
+            n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).tolist()
+            for w, k in zip(coded.dictionary.to_pylist(), n):
+                total[w] += k
+            total[END] += batch.num_rows
             if len(total) > 500_000:
                 yield out()
                 total = Counter()
@@ -102,8 +106,10 @@ class Model:
         out = np.empty(len(context), np.float32)
         bias = self.bias.copy()
         bias[START] = -np.inf
-        for i in range(0, len(context), 2048):
-            out[i : i + 2048] = _log_sums(self.predict(context[i : i + 2048]) @ self.target.T + bias)
+        high = np.float32(np.sqrt((self.target * self.target).sum(1).max())), self.bias.max()
+        for i in range(0, len(context), 512):
+            pred = self.predict(context[i : i + 512])
+            out[i : i + 512] = _log_sums(pred @ self.target.T + bias, pred, *high)
         return out
 
     def log_inside(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -116,18 +122,23 @@ class Model:
         cuts = np.searchsorted(group, np.arange(head.classes - head.first + 1)) if len(at) else [0]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             table = self.inner[k * head.group : (k + 1) * head.group]
-            for rows in (at[i : min(i + 4096, b)] for i in range(a, b, 4096)):
-                s = self.predict(context[rows]) @ table[:, :DIM].T + table[:, DIM]
+            high = np.float32(np.sqrt((table[:, :DIM] ** 2).sum(1).max())), table[:, DIM].max()
+            for rows in (at[i : min(i + 1024, b)] for i in range(a, b, 1024)):
+                pred = self.predict(context[rows])
+                s = pred @ table[:, :DIM].T + table[:, DIM]
                 mine = s[np.arange(len(rows)), word[rows] - head.first - k * head.group]
-                out[rows] = mine - _log_sums(s)
+                out[rows] = mine - _log_sums(s, pred, *high)
         return out
 
 
-def _log_sums(s: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row, in place."""
+def _log_sums(s: np.ndarray, pred: np.ndarray, length: float, bias: float) -> np.ndarray:
+    """Log of the sum of exponentials of each row, in place; `length` and `bias` are the largest of what pred met."""
+    ones = np.ones(s.shape[1], np.float32)
+    if len(s) and np.sqrt((pred * pred).sum(1).max()) * length + bias < 80:  # no row can overflow
+        return np.log(np.exp(s, out=s) @ ones + np.float32(1e-37))
     top = s.max(1)
     s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(1))
+    return top + np.log(np.exp(s, out=s) @ ones)
 
 
 class Trainer:
@@ -140,36 +151,53 @@ class Trainer:
         self.hits = [np.zeros(len(p)) for p in model.params()]
 
     def _apply(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Add up the gradients (a column for each row index) of equal rows, then step those rows."""
-        narrow = len(self.m.params()[which]) <= 1 << 16  # a radix sort
-        order = np.argsort(rows.astype(np.uint16), kind="stable") if narrow else np.argsort(rows)
+        """Add up the gradients of equal rows, then step those rows."""
+        p, sq = self.m.params()[which], self.square[which]
+        narrow = len(p) <= 1 << 16  # a radix sort
+        order = np.argsort(rows.astype(np.uint16), kind="stable") if narrow else np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        at, g = sorted_rows[first], np.add.reduceat(grad.take(order, axis=1), first, axis=1).T
-        p, sq = self.m.params()[which], self.square[which]
-        sq[at] += g * g
-        p[at] -= RATE * g / np.sqrt(sq[at])
+        at = sorted_rows[first]
+        grad = np.ascontiguousarray(grad.take(order, axis=0), np.float32)
+        if grad.shape[1] % 2 == 0:  # pairs are added at once
+            g = np.add.reduceat(grad.view(np.complex64), first, axis=0).view(np.float32)
+        else:
+            g = np.add.reduceat(grad, first, axis=0)
+        scale = sq.take(at, axis=0)
+        scale += g * g
+        sq[at] = scale
+        np.sqrt(scale, out=scale)
+        np.divide(g, scale, out=scale)
+        scale *= np.float32(RATE)
+        p[at] -= scale
         self.hits[which][at] += np.diff(np.append(first, len(rows)))
 
     def _inner(self, pred: np.ndarray, word: np.ndarray, g_pred: np.ndarray) -> None:
-        """Step the words inside classes, each against INNER_NOISE even draws from its class; adds to g_pred."""
+        """Step the words inside classes against INNER_NOISE even draws from each class met; adds to g_pred."""
         head = self.m.head
         at = np.flatnonzero(word >= head.first)
         if not len(at):
             return
         own = word[at] - head.first
-        low = own // head.group * head.group
+        order = np.argsort((own // head.group).astype(np.uint16), kind="stable")
+        at, own = at[order], own[order]
+        group = own // head.group
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        count = np.diff(np.append(first, len(at)))
+        low = group[first] * head.group
         size = np.minimum(head.group, head.grouped - low)
-        drawn = low[:, None] + np.minimum((self.rng.random((len(at), INNER_NOISE)) * size[:, None]).astype(np.int64), size[:, None] - 1)
-        rows = np.column_stack((own, drawn))
-        vectors = self.m.inner.take(rows, axis=0)
-        wide = np.column_stack((pred[at], np.ones(len(at), np.float32)))
-        s = np.einsum("ikd,id->ik", vectors, wide) - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
-        g = 1 / (1 + np.exp(np.clip(-s, -30, 30)))
-        g[:, 0] -= 1
-        g *= np.float32(1 / len(word))
-        g_pred[at] += np.einsum("ik,ikd->id", g, vectors)[:, :DIM]
-        self._apply(4, rows.ravel(), (g[:, :, None] * wide[:, None, :]).reshape(-1, DIM + 1).T)
+        drawn = low[:, None] + np.minimum((self.rng.random((len(low), INNER_NOISE)) * size[:, None]).astype(np.int64), size[:, None] - 1)
+        wide = np.column_stack((pred.take(at, axis=0), np.ones(len(at), np.float32)))
+        true, noise = self.m.inner.take(own, axis=0), self.m.inner.take(drawn, axis=0)
+        chance = np.log(INNER_NOISE / size).astype(np.float32)
+        spread = np.repeat(np.arange(len(low)), count)
+        near = noise.take(spread, axis=0)
+        n = np.float32(1 / len(word))
+        g_true = -n / (1 + np.exp(np.clip(np.einsum("id,id->i", true, wide) - chance[spread], -30, 30)))
+        g_false = n / (1 + np.exp(np.clip(chance[spread, None] - np.einsum("ikd,id->ik", near, wide), -30, 30)))
+        g_pred[at] += g_true[:, None] * true[:, :DIM] + np.einsum("ik,ikd->id", g_false, near)[:, :DIM]
+        g_noise = np.add.reduceat(g_false[:, :, None] * wide[:, None, :], first, axis=0).reshape(-1, DIM + 1)
+        self._apply(4, np.concatenate((own, drawn.ravel())), np.concatenate((g_true[:, None] * wide, g_noise)))
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
         m = self.m
@@ -191,8 +219,8 @@ class Trainer:
         np.divide(n, g_false, out=g_false)
         g_pred = g_true[:, None] * target + g_false @ others
         self._inner(pred, token, g_pred)
-        g_target = np.concatenate((g_true * pred.T, pred.T @ g_false), axis=1)
-        g_source = np.concatenate([(g_pred * w).T for w in m.weight], axis=1)
+        g_target = np.concatenate((g_true[:, None] * pred, g_false.T @ pred))
+        g_source = np.concatenate([g_pred * w for w in m.weight])
         g_weight = np.stack([np.einsum("ij,ij->j", g_pred, x) for x in sources])
         both = np.concatenate((word, noise))
         g_bias = np.bincount(both, np.concatenate((g_true, g_false.sum(0))), classes).astype(np.float32)
@@ -212,7 +240,7 @@ class Head:
     """The most frequent tokens with their counts, numbers and classes."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.code = {w: i for i, w in enumerate(words)}
+        self.words, self.end = pa.array(words, pa.binary()), words.index(END) if END in words else len(words)
         self.counts, self.total, self.distinct = np.append(counts, 0), total, distinct
         ids = {w: i + WORDS for i, w in enumerate(w for w in words if w != END)} | {END: STOP}
         #: Token number by code; an unknown word has the last code.
@@ -237,15 +265,14 @@ class Head:
         #: Add-one shares inside the class of others: its tokens, its distinct words and one unseen word.
         self.other_total = n[OTHER] + max(distinct - len(words), 0) + 1
 
-    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Codes of all tokens (an end after each text), tokens per text, and the words."""
-        split = [t.lower().split() for t in texts]
-        code, last, end = self.code, len(self.code), self.code.get(END, len(self.code))
-        flat: list[int] = []
-        for words in split:
-            flat += map(code.get, words, repeat(last))
-            flat.append(end)
-        return np.array(flat, np.int32), np.fromiter(map(len, split), np.int64, len(split)) + 1, split
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Codes of all tokens (an end after each text), tokens per text, the words, and the places of the words among
+        the tokens."""
+        words, counts = words_of(texts, lower=True)
+        at = np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)
+        out = np.full(len(words) + len(counts), self.end, np.int32)
+        out[at] = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), len(self.words)))
+        return out, counts + 1, words, at
 
     def contexts(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each token and the numbers of the CONTEXT tokens before it, nearest first."""
@@ -264,15 +291,17 @@ class Head:
 VALUES = [f"v{k}" for k in range(DIM + 1)]
 
 
-def _train(head_shared):
+def _train(head_shared, rows_shared=None):
     def run(batches):
         head = head_shared.value
         model = Model(head)
+        if rows_shared:
+            model.load(rows_shared.value)
         trainer = None
         for batch in steps(batches):
-            texts = texts_of(batch.column("text"))
-            trainer = trainer or Trainer(model, len(texts[0]) if texts else 0)
-            codes, lengths, _ = head.codes(texts)
+            texts = batch.column("text")
+            trainer = trainer or Trainer(model, len(texts[0].as_py() or "") if len(texts) else 0)
+            codes, lengths, *_ = head.codes(texts)
             word, context = head.contexts(codes, lengths)
             order = trainer.rng.permutation(len(word))
             for i in range(0, len(order), BATCH):
@@ -286,16 +315,14 @@ def _train(head_shared):
     return run
 
 
-def _places(at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and place in it of tokens numbered over all texts."""
-    ends = np.cumsum(lengths)
-    row = np.searchsorted(ends, at, "right")
-    return row, at - (ends - lengths)[row]
-
-
-def _counted(rows: list[dict[bytes, int]]) -> pa.ListArray:
-    pairs = pa.StructArray.from_arrays([pa.array([w for r in rows for w in r], pa.binary()), pa.array([n for r in rows for n in r.values()], pa.int64())], names=["word", "n"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pairs)
+def _counted(words: pa.Array, text: np.ndarray, n_texts: int) -> pa.ListArray:
+    """For each text the distinct ones of its words with their counts."""
+    coded = words.dictionary_encode()
+    kinds = max(len(coded.dictionary), 1)
+    key, n = np.unique(text * kinds + np.asarray(coded.indices), return_counts=True)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % kinds)), pa.array(n.astype(np.int64))], names=["word", "n"])
+    edges = np.searchsorted(key // kinds, np.arange(n_texts + 1))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pairs)
 
 
 def _score(head_shared, flat_shared):
@@ -311,7 +338,7 @@ def _score(head_shared, flat_shared):
         logs[-1] = -log_n  # the count of a word outside the head is added by the join
         within = np.where(head.id_of == OTHER, np.log10(head.counts + 1.0) - np.log10(head.other_total), 0.0)
         for batch in steps(batches):
-            codes, lengths, split = head.codes(texts_of(batch.column("text")))
+            codes, lengths, words, places = head.codes(batch.column("text"))
             word, context = head.contexts(codes, lengths)
             key, back = np.unique(context[:, 0].astype(np.int64) * head.size + context[:, 1], return_inverse=True)
             norm = model.log_norm(np.stack((key // head.size, key % head.size), 1))[back]
@@ -321,11 +348,10 @@ def _score(head_shared, flat_shared):
                 part = slice(i, i + (1 << 16))
                 exact[part] += np.einsum("ij,ij->i", model.predict(context[part]), model.target.take(kind[part], axis=0)) + model.bias[kind[part]]
             log10 = exact / np.log(10) + within[codes]
-            rare: list[Counter] = [Counter() for _ in split]
-            for i, at in zip(*(x.tolist() for x in _places(np.flatnonzero(codes == len(head.code)), lengths))):
-                if at < len(split[i]):  # not the end
-                    rare[i][split[i][at]] += 1
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(sums_by(known[codes], lengths).astype(np.int64)), pa.array(sums_by(logs[codes], lengths)), pa.array(sums_by(log10, lengths)), _counted(rare)]
+            text = np.repeat(np.arange(len(lengths)), lengths - 1)
+            beyond = np.flatnonzero(codes[places] == len(head.words))
+            rare = _counted(words.take(pa.array(beyond)), text[beyond], len(lengths))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(sums_by(known[codes], lengths).astype(np.int64)), pa.array(sums_by(logs[codes], lengths)), pa.array(sums_by(log10, lengths)), rare]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -350,14 +376,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     head = Head(words, np.array(c, np.int64), total, distinct)
     head_shared = spark.sparkContext.broadcast(head)
 
-    stepped = train.select("text").mapInArrow(_train(head_shared), "i int, n double, " + ", ".join(f"{v} float" for v in VALUES))
-    averaged = stepped.groupBy("i").agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).cast("float").alias(v) for v in VALUES]).toArrow()  # 2 * HEAD rows and the classes at most
-    rows = Model(head).rows()
-    rows[np.asarray(averaged["i"].combine_chunks())] = np.column_stack([np.asarray(averaged[v].combine_chunks()) for v in VALUES])
-    flat_shared = spark.sparkContext.broadcast(rows)
+    rows, start = Model(head).rows(), None
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        stepped = train.where(part == k).select("text").mapInArrow(_train(head_shared, start), "i int, n double, " + ", ".join(f"{v} float" for v in VALUES))
+        averaged = stepped.groupBy("i").agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).cast("float").alias(v) for v in VALUES]).toArrow()  # 2 * HEAD rows and the classes at most
+        rows[np.asarray(averaged["i"].combine_chunks())] = np.column_stack([np.asarray(averaged[v].combine_chunks()) for v in VALUES])
+        start = spark.sparkContext.broadcast(rows.copy())
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
-    rows = base.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "held_out", "text").mapInArrow(_score(head_shared, flat_shared), schema)
+    rows = base.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "held_out", "text").mapInArrow(_score(head_shared, start), schema)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     # Words outside the head, each once a document, meet their counts.
     rare = rows.select("row", F.inline("rare"))
