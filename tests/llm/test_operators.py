@@ -83,9 +83,6 @@ def test_near_duplicates_equal_brute_force(docs, empty):
         for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4):
             a, b = label[i], label[j]
             label = [min(a, b) if x in (a, b) else x for x in label]
-    for ids in {d for d, _ in source if d is not None}:
-        same = [label[k] for k, (d, _) in enumerate(source) if d == ids]
-        label = [min(same) if x in same else x for x in label]
     low = {}
     for k, (d, _) in enumerate(source):
         low[label[k]] = min(low.get(label[k], math.inf), math.inf if d is None else d)
@@ -94,6 +91,37 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_hot_buckets_and_hubs_equal_brute_force(spark, monkeypatch, bound):
+    from tidegauge.llm import common, near_dedup
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "CHUNK", 50)
+    rng = np.random.default_rng(4)
+    fp = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    for centre in fp[:3]:  # families within a few bits of a centre, and chains away from it
+        fp += [centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), False)) for _ in range(120)]
+    fp = np.unique(np.array(fp, np.uint64).view(np.int64))
+    nodes = spark.createDataFrame([(int(x), k) for k, x in enumerate(fp)], "node long, low long").repartition(3)
+    got = {r.node: r.root for r in near_dedup.components(near_dedup.links(nodes)).collect()}
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= 4):
+            a, b = label[i], label[j]
+            label[(label == a) | (label == b)] = min(a, b)
+    assert all(got.get(int(x), int(x)) == int(fp[label[k]]) for k, x in enumerate(fp))
+
+
+def test_layouts_lose_nothing():
+    from tidegauge.llm import near_dedup
+
+    for n in (1, 10**8, 10**10, 10**12):
+        blocks, agree = near_dedup.layout(n)
+        assert sum(w for _, w in blocks) == 64 and len(blocks) == near_dedup.RADIUS + agree
+        assert sum(sorted(w for _, w in blocks)[-agree:]) <= 42
+
+
 def test_null_and_repeated_ids_link_nothing(spark, sf_dir):
     import corpus_pipeline
 

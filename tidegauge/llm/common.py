@@ -37,6 +37,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which the small side of a spread_join is broadcast, and what makes a key hot beyond.
+BROADCAST_ROWS, HOT_ROWS, SALTS = 1_000_000, 20_000, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, bound: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row of a few numbers for each key, where many rows of left may share one.
+
+    `bound` is the most rows that right can have. Up to BROADCAST_ROWS it is broadcast. Beyond, the hot keys of left,
+    of which there are at most 1,000, are dealt over SALTS copies of their row.
+    """
+    if bound <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    counts = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(1000)
+    hot = written(counts.select(on, F.lit(True).alias("_hot")), "hot-keys")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    shared = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(shared, [on, "_salt"], how).drop("_salt")
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32(doc_id as text) mod divisor; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
