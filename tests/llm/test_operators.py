@@ -274,7 +274,7 @@ def test_class_probabilities_add_up():
     model = neural_lm.Model(head)
     context = np.array([[neural_lm.START] * 2, [3, 4]])
     s = model.predict(context) @ model.target.T + model.bias
-    p = np.exp(s - model.log_norm(context)[:, None])
+    p = np.exp(s - model.log_norm(model.predict(context))[:, None])
     assert np.allclose(np.delete(p, neural_lm.START, 1).sum(1), 1, atol=1e-4)
 
 
@@ -290,12 +290,12 @@ def test_every_head_word_is_predicted_and_a_context():
     for c in context:
         c = np.repeat(c[None], len(every), 0)
         kind = head.class_of[every]
-        s = np.einsum("ij,ij->i", model.predict(c), model.target[kind]) + model.bias[kind] - model.log_norm(c) + model.log_inside(c, every)
+        s = np.einsum("ij,ij->i", model.predict(c), model.target[kind]) + model.bias[kind] - model.log_norm(model.predict(c)) + model.log_inside(model.predict(c), every)
         assert abs(np.exp(s.astype(float)).sum() - 1) < 1e-3
     trainer = neural_lm.Trainer(model, 0)
     for _ in range(30):
         trainer.step(context, token)
-    assert model.log_inside(context, token)[3] > np.log(head.inside[2999 - neural_lm.OWN]) + 0.5
+    assert model.log_inside(model.predict(context), token)[3] > np.log(head.inside[2999 - neural_lm.OWN]) + 0.5
 
 
 def test_leaks(spark, docs, empty, sf_dir):

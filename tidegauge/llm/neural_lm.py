@@ -37,7 +37,7 @@ from tidegauge.llm.common import remainder, steps, sums_by, words_of, written
 DIVISOR, HELD_OUT = 7, 2
 OWN, DIM, CONTEXT = 128, 16, 2
 HEAD = 65_536
-NOISE, INNER_NOISE, BATCH, RATE = 24, 12, 4096, 0.15
+NOISE, INNER_NOISE, BATCH, RATE = 16, 6, 4096, 0.15
 #: Each round trains on its share of the documents from the average of the round before.
 ROUNDS = 2
 #: Start of the AdaGrad sums: of tables that a batch touches widely, and of those with a row for each word.
@@ -101,18 +101,20 @@ class Model:
     def predict(self, context: np.ndarray) -> np.ndarray:
         return sum(self.source.take(context[:, j], axis=0) * self.weight[j] for j in range(CONTEXT))
 
-    def log_norm(self, context: np.ndarray) -> np.ndarray:
-        """Log of the normaliser of each context row, by matrix products over all classes but the start."""
-        out = np.empty(len(context), np.float32)
+    def log_norm(self, pred: np.ndarray) -> np.ndarray:
+        """Log of the normaliser of each predicted vector, by matrix products over all classes but the start."""
+        out = np.empty(len(pred), np.float32)
         bias = self.bias.copy()
         bias[START] = -np.inf
         high = np.float32(np.sqrt((self.target * self.target).sum(1).max())), self.bias.max()
-        for i in range(0, len(context), 512):
-            pred = self.predict(context[i : i + 512])
-            out[i : i + 512] = _log_sums(pred @ self.target.T + bias, pred, *high)
+        for i in range(0, len(pred), 512):
+            some = pred[i : i + 512]
+            s = some @ self.target.T
+            s += bias
+            out[i : i + 512] = _log_sums(s, some, *high)
         return out
 
-    def log_inside(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def log_inside(self, pred: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log probability of each token inside its class; 0 where a class has one token or is that of others."""
         head, out = self.head, np.zeros(len(word), np.float32)
         at = np.flatnonzero(word >= head.first)
@@ -124,10 +126,11 @@ class Model:
             table = self.inner[k * head.group : (k + 1) * head.group]
             high = np.float32(np.sqrt((table[:, :DIM] ** 2).sum(1).max())), table[:, DIM].max()
             for rows in (at[i : min(i + 1024, b)] for i in range(a, b, 1024)):
-                pred = self.predict(context[rows])
-                s = pred @ table[:, :DIM].T + table[:, DIM]
+                some = pred.take(rows, axis=0)
+                s = some @ table[:, :DIM].T
+                s += table[:, DIM]
                 mine = s[np.arange(len(rows)), word[rows] - head.first - k * head.group]
-                out[rows] = mine - _log_sums(s, pred, *high)
+                out[rows] = mine - _log_sums(s, some, *high)
         return out
 
 
@@ -340,13 +343,11 @@ def _score(head_shared, flat_shared):
         for batch in steps(batches):
             codes, lengths, words, places = head.codes(batch.column("text"))
             word, context = head.contexts(codes, lengths)
-            key, back = np.unique(context[:, 0].astype(np.int64) * head.size + context[:, 1], return_inverse=True)
-            norm = model.log_norm(np.stack((key // head.size, key % head.size), 1))[back]
+            pred = model.predict(context)
+            _, some, back = np.unique(context[:, 0].astype(np.int64) * head.size + context[:, 1], return_index=True, return_inverse=True)
             kind = head.class_of[word]
-            exact = model.log_inside(context, word) - norm
-            for i in range(0, len(word), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                exact[part] += np.einsum("ij,ij->i", model.predict(context[part]), model.target.take(kind[part], axis=0)) + model.bias[kind[part]]
+            exact = model.log_inside(pred, word) - model.log_norm(pred[some])[back]
+            exact += np.einsum("ij,ij->i", pred, model.target.take(kind, axis=0)) + model.bias[kind]
             log10 = exact / np.log(10) + within[codes]
             text = np.repeat(np.arange(len(lengths)), lengths - 1)
             beyond = np.flatnonzero(codes[places] == len(head.words))
