@@ -308,6 +308,50 @@ def test_leaks(spark, docs, empty, sf_dir):
     assert leaking_documents(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_equal_brute_force(spark, sf_dir):
+    """Edited, swapped and cut items between other words, against the similarity of every window."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    rng, rows = random.Random(6), []
+    noise = lambda n: [f"n{rng.randrange(5000)}" for _ in range(n)]
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        kind, half = i % 4, len(w) // 2
+        if kind == 1:
+            w = w[half:] + w[:half]
+        elif kind == 2:
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = "other"
+        elif kind == 3:
+            w = w[: max(6, int(len(w) * rng.uniform(0.6, 1)))]
+        rows.append((i if i % 10 else None, " ".join(noise(rng.choice([0, 100])) + w + noise(rng.choice([0, 100])))))
+    rows += [(900, " ".join(noise(200))), (901, ""), (902, None), (903, "word " * 3000), (1, rows[1][1])]
+    found = leaking_documents(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, item_id string, k int"), spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int"))
+    got = Counter((r.doc_id, i) for r in found.collect() for i in r.item_ids)
+
+    def shingled(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+
+    bench = {i: shingled(t) for i, t in items}
+    df = Counter(h for s in bench.values() for h in set(s))
+    weight = lambda h: math.log(1 + len(bench) / df[h]) if h in df else math.log(1 + len(bench))
+    want = Counter()
+    for i, t in rows:
+        s = shingled(t)
+        for item, b in bench.items():
+            cb, best = Counter(b), 0.0
+            for at in range(max(1, len(s) - len(b) + 1)):
+                cw = Counter(s[at : at + len(b)])
+                if not cw.keys() & cb.keys():
+                    continue
+                best = max(best, sum(weight(h) * n for h, n in (cw & cb).items()) / sum(weight(h) * n for h, n in (cw | cb).items()))
+            if best >= 0.8 - 1e-9:
+                want[i, item] += 1
+    assert len(want) > 20 and not got - want
+    assert (got & want).total() >= 0.9 * want.total()
+    print("recall", (got & want).total() / want.total())
+
+
 def test_archives_round_trip(spark):
     big = "<p>é日</p>" * 20_000
     rows = [(1, "u", big), (2, "u", big), (2, "u", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (7, "a\r\nb", "x" * 100)]

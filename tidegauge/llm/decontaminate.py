@@ -4,32 +4,39 @@ Words are runs of letters and digits of the lower-cased text; a shingle is SHING
 as long as the benchmark item that it is held against. Shingles weigh ln(1 + items / items with the shingle). A
 window and an item match if their weighted Jaccard similarity is THRESHOLD or more.
 
-1. A window's similarity can reach THRESHOLD only if the shingles that its document shares with the item weigh
-   THRESHOLD times the item; other windows are left out without loss, so windows start where shared shingles say.
+1. Windows slide over every document, one length for each item length. A window whose shared shingles with every item
+   weigh less than THRESHOLD times the item cannot match, and one that neither begins nor ends with a shared shingle
+   gives way to a neighbour that shares as much; the others are left out before fingerprinting.
 2. Equal windows are fingerprinted once: a 64-bit weighted SimHash.
-3. Fingerprints within RADIUS bits agree on one of RADIUS + 1 bit blocks, so a join on the blocks finds all of them.
+3. Of RADIUS + 2 bit blocks, fingerprints within RADIUS bits agree on two, so a join on every two blocks finds all of
+   them; unrelated fingerprints meet in one of six cases.
 4. Candidates are verified by the exact weighted similarity.
 
 Edge cases: a null or empty text, or an item without words, matches nothing; texts or items of fewer than SHINGLE
 words are one shingle; a document shorter than an item is one window; repeated rows match alike; equal items are
-found each; empty tables give an empty result.
+found each; a null doc_id is kept as such; a text of any length is searched whole; other columns of docs and items are
+not looked at, so their names may clash; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import written
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 16
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 12
 #: Rows of the benchmark's shingle table up to which it is broadcast; beyond that Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: (shift, width) of the RADIUS + 1 blocks.
-BLOCKS = [(64 * k // (RADIUS + 1), 64 * (k + 1) // (RADIUS + 1) - 64 * k // (RADIUS + 1)) for k in range(RADIUS + 1)]
+#: Windows, grouped by document, up to which their list is broadcast to the texts; beyond that Spark shuffles both.
+BROADCAST_WINDOWS = 1_000_000
+#: (shift, width) of the RADIUS + 2 blocks.
+CUTS = [64 * k // (RADIUS + 2) for k in range(RADIUS + 3)]
+BLOCKS = [(a, b - a) for a, b in zip(CUTS, CUTS[1:])]
 
 
 def shingles(text: str) -> Column:
@@ -53,8 +60,25 @@ def simhash(rows: DataFrame, key: str) -> DataFrame:
 
 
 def blocks(df: DataFrame) -> DataFrame:
-    parts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for k, (s, w) in enumerate(BLOCKS)]
-    return df.withColumn("block", F.explode(F.array(*parts)))
+    """A row for every two blocks of the fingerprint `fp`."""
+    part = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))
+    keys = [F.lit(k << 20).bitwiseOR(F.shiftleft(part(*x), 8)).bitwiseOR(part(*y)) for k, (x, y) in enumerate(combinations(BLOCKS, 2))]
+    return df.withColumn("block", F.explode(F.array(*keys)))
+
+
+def promising(hits: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, key, k, start) of the windows that may match, from rows (doc_id, key, n, item_id, k, total, pos, weight) of the
+    shingles that a document of n shingles shares with an item of k."""
+    reach = f"{1 - 0.5 / longest:.12f}D"  # k - 1 shingles, whatever k
+    near = lambda frame: F.expr(f"sum(weight) OVER (PARTITION BY key, item_id, doc_id ORDER BY pos / k RANGE BETWEEN {frame})")
+    enough = THRESHOLD * F.col("total") - 1e-9
+    once = hits.repartition("key", "item_id", "doc_id").dropDuplicates(["key", "item_id", "doc_id", "pos"])
+    held = once.withColumn("_ahead", near(f"CURRENT ROW AND {reach} FOLLOWING")).withColumn("_back", near(f"{reach} PRECEDING AND CURRENT ROW"))
+    last = F.greatest(F.lit(0), F.col("n") - F.col("k"))
+    ahead = F.when(F.col("_ahead") >= enough, F.least("pos", last))
+    back = F.when(F.col("_back") >= enough, F.least(last, F.greatest(F.lit(0), F.col("pos") - F.col("k") + 1)))
+    starts = F.array_distinct(F.array_compact(F.array(ahead, back)))
+    return held.select("doc_id", "key", "k", F.explode(starts).alias("start")).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -76,14 +100,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     small = bench.count() <= BROADCAST_ROWS
     spread = F.broadcast if small else (lambda x: x)
 
-    # 1. Where shared shingles say that a window may match.
+    # 1. The windows that may match.
+    longest = bench.agg(F.max("k")).first()[0] or 1
     placed = base.select("doc_id", "key", shingles("text").alias("s")).select("doc_id", "key", F.size("s").alias("n"), F.posexplode("s").alias("pos", "h"))
-    hits = placed.join(spread(bench), "h")
-    starts = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("k")))
-    found = hits.groupBy("doc_id", "key", "item_id", "k", "total").agg(F.sum("weight").alias("got"), F.collect_set(starts).alias("starts")).where(F.col("got") >= THRESHOLD * F.col("total") - 1e-9)
-    windows = found.select("doc_id", "key", "k", F.explode("starts").alias("start")).distinct()
-    windows = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "k")).alias("windows"))
-    windows = base.join(windows.withColumnRenamed("doc_id", "d"), "key").where("doc_id <=> d")
+    own = bench.select("item_id", "k", "total", "h", "weight").distinct()
+    windows = promising(placed.join(spread(own), "h").drop("h"), longest)
+    windows = written(windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "k")).alias("windows")).withColumnRenamed("doc_id", "d"), "window-places")
+    n_windows = windows.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
+    windows = base.join(F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS else windows, "key").where("doc_id <=> d")
     windows = windows.select("doc_id", "key", shingles("text").alias("s"), "windows").select("doc_id", "key", "s", F.inline("windows"))
     windows = windows.select("doc_id", "key", "start", "k", F.expr("slice(s, start + 1, k)").alias("s"))
     windows = written(windows.withColumn("window", F.xxhash64("k", "s")), "windows")
@@ -98,14 +122,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     # 3. Multi-index blocks.
     left, right = blocks(marks), blocks(item_marks.select("item_id", F.col("fp").alias("fp"), "k", "total")).withColumnRenamed("fp", "item_fp")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = left.join(right, ["k", "block"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
+    pairs = left.join(spread(right), ["k", "block"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
     pairs = pairs.select("window", "item_id", "total", "distance").distinct()
 
     # 4. Exact weighted similarity of multisets.
     counted = inside.groupBy("window", "h", "weight").agg(F.count("*").alias("c"))
     whole = inside.groupBy("window").agg(F.sum("weight").alias("own"))
     ours = bench.groupBy("item_id", "h").agg(F.count("*").alias("ci"))
-    common = pairs.join(counted, "window").join(ours, ["item_id", "h"]).groupBy("window", "item_id", "total", "distance").agg(F.sum(F.col("weight") * F.least("c", "ci")).alias("common"))
+    common = pairs.join(counted, "window").join(spread(ours), ["item_id", "h"]).groupBy("window", "item_id", "total", "distance").agg(F.sum(F.col("weight") * F.least("c", "ci")).alias("common"))
     scored = common.join(whole, "window").withColumn("similarity", F.col("common") / (F.col("total") + F.col("own") - F.col("common")))
     scored = scored.where(F.col("similarity") >= THRESHOLD - 1e-9)
 
