@@ -48,8 +48,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("_d_key")).distinct()
-    return docs.withColumn("_d_key", content_key("doc_id", "text")).join(leaks, "_d_key", "left_anti").select(docs.columns)
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("_d_leak"), F.col("doc_id").alias("_d_id")).distinct()
+    same = (F.col("_d_key") == F.col("_d_leak")) & F.col("doc_id").eqNullSafe(F.col("_d_id"))
+    return docs.withColumn("_d_key", content_key("doc_id", "text")).join(leaks, same, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
