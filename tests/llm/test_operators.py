@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import language_id, license_scan, neural_lm, packing, quality_model
+from tidegauge.llm import language_id, license_scan, neural_lm, packing, quality_model, substring_dedup
 from tidegauge.llm.decontaminate import leaking_documents
 from tidegauge.llm.near_dedup import near_duplicates
 from tidegauge.llm.perplexity_rules import KneserNey, base_rules, quality_verdicts
@@ -45,7 +45,9 @@ def words(t):
     return (t or "").encode().split()
 
 
-def test_substrings_equal_brute_force(docs, empty):
+@pytest.mark.parametrize("common", [50, 1])
+def test_substrings_equal_brute_force(docs, empty, monkeypatch, common):
+    monkeypatch.setattr(substring_dedup, "COMMON_LEAST", common)  # 1: every anchor is common
     got = Counter(tuple(r) for r in substring_duplicates(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     source = [(math.inf if r.doc_id is None else r.doc_id, r.doc_id, words(r.text)) for r in docs.collect()]
     first = {}
@@ -65,6 +67,14 @@ def test_substrings_equal_brute_force(docs, empty):
     assert substring_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    rows = [(None, texts[0], "p"), (None, texts[1], "q"), (1, texts[1], "r"), (1, texts[2], "s"), (None, texts[2], "t"), (None, texts[2], "u")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, places string").repartition(3)
+    got = Counter(tuple(r) for r in substring_duplicates(table, carry=("places",)).select("doc_id", "places", "n_removed").collect())
+    assert got == Counter({(None, "p", 0): 1, (None, "q", 20): 1, (1, "r", 0): 1, (1, "s", 0): 1, (None, "t", 20): 1, (None, "u", 20): 1})
+
+
 def simhash(t):
     w = words((t or "").encode().lower().decode())
     if not w:

@@ -14,11 +14,20 @@ Parsing every document against every block would be quadratic. The parse is rout
 3. Where documents have different phrases for an anchor, a factor begins or ends nearby. The windows of the first
    document of each phrase are then compared by a 128-bit hash of their words.
 
+An anchor in many documents, each with its own neighbours, would be a hot group. A sample names such anchors; their
+phrases are dealt apart and always looked up window by window, so the sample decides where work goes, not what is found.
+
+This is not the textbook parse: factors come from routed phrases and windows instead of a greedy scan over an index of
+every block, since each block would have to read every document.
+
 A task first settles what its own rows show and sends one row for a phrase or window, so that no block receives more
 than one row for it from each step, however common it is.
 
 Edge cases: a null text has no words; fewer than WINDOW words have no window; rows with equal doc_id do not remove
-from each other; a null doc_id counts after every other id; an empty table gives an empty result.
+from each other, nor do null ones; a null doc_id counts after every other id (ids from 2**63 - 2**32 on count as null);
+rows of one doc_id with different texts are told apart by 64 bits of text hash, null ones by 96; repeated rows are cut
+alike; a text of any length is parsed whole; carried columns must not bear a result's name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +47,10 @@ from tidegauge.llm.common import appended, splitmix, steps, texts_of
 
 WINDOW, ANCHOR_WORDS = 13, 5
 ANCHOR_SPAN = WINDOW - ANCHOR_WORDS + 1
-LAST = (1 << 63) - 1
+#: Null ids are this number and 32 bits of text hash more, and equal in order.
+LAST = (1 << 63) - (1 << 32)
+#: Documents in the sample that names common anchors, the share of them that an anchor must be in, and the least number.
+SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.005, 50
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = splitmix(np.arange(100, 100 + ANCHOR_WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -107,8 +119,37 @@ def _lists(values: np.ndarray, new: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(values)), pa.int32()), pa.array(values))
 
 
-def _phrase_rows(batches):
-    """Rows (anchor, phrase, settled, key, doc, place, more). `place` is first window << 8 | windows; `more` has
+#: Stands for all common anchors.
+COMMON = np.int32(0)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of a hash, never COMMON. Anchors only say what is compared, so two that share them cost time alone."""
+    out = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return np.where(out == COMMON, np.int32(1), out)
+
+
+def common_anchors(base: DataFrame) -> np.ndarray:
+    """Anchors in many documents, by a sample. An anchor is in COMMON_SHARE of the sample at least, so there are at most
+    anchors of a document / COMMON_SHARE."""
+
+    def run(batches):
+        for batch in steps(batches):
+            words = Words(texts_of(batch.column("text")))
+            anchor, _, start, _ = phrases(words)
+            pairs = np.unique(np.stack((words.row_of()[start], _short(anchor).astype(np.int64))), axis=1) if len(anchor) else np.empty((2, 0), np.int64)
+            kinds, n = np.unique(pairs[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(n)], names=["anchor", "n"])
+
+    total = base.count()
+    drawn = base.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE))) == 0)
+    least = max(COMMON_LEAST, int(COMMON_SHARE * min(total, SAMPLE)))
+    counted = drawn.mapInArrow(run, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.asarray(counted.select("anchor").toArrow()["anchor"].combine_chunks(), np.int32)
+
+
+def _phrase_rows(batches, common: np.ndarray):
+    """Rows (anchor, phrase, settled, key, doc, place, more), the anchor 0 where it is common. `place` is first window << 8 | windows; `more` has
     further places of the same phrase in the document. A settled row lists, in `more`, places of a document whose
     phrase a smaller document of the step has."""
     names = ["anchor", "phrase", "settled", "key", "doc", "place", "more"]
@@ -120,10 +161,12 @@ def _phrase_rows(batches):
         row = words.row_of()[start]
         place = (start - words.starts_of[row]) << 8 | count
         doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row]
+        anchor = _short(anchor)
+        anchor[np.isin(anchor, common)] = COMMON
         order = np.lexsort((place, key, doc, phrase, anchor))
-        anchor, phrase, key, doc, place = anchor[order].view(np.int64), phrase[order].view(np.int64), key[order], doc[order], place[order]
+        anchor, phrase, key, doc, place = anchor[order], phrase[order].view(np.int64), key[order], doc[order], place[order]
         new = _starts(anchor, phrase)
-        later = doc > doc[new][np.cumsum(new) - 1]
+        later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
         a, f, k, d, p = (c[~later] for c in (anchor, phrase, key, doc, place))
         new = _starts(a, f, k, d)
         sizes = np.diff(np.append(np.flatnonzero(new), len(a))) - 1
@@ -136,8 +179,8 @@ def _phrase_rows(batches):
             k, d, p = k[order], d[order], p[order]
             new = _starts(k, d)
             n = int(new.sum())
-            spread = splitmix(k[new].view(np.uint32).astype(np.uint64) << np.uint64(32) ^ d[new].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(n, bool)), pa.array(k[new]), pa.array(d[new]), pa.nulls(n, pa.int64()), _lists(p, new)], names=names)
+            spread = splitmix(k[new].view(np.uint64) ^ splitmix(d[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(_short(spread)), pa.array(spread.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(k[new]), pa.array(d[new]), pa.nulls(n, pa.int64()), _lists(p, new)], names=names)
 
 
 def _window_rows(batches):
@@ -149,7 +192,7 @@ def _window_rows(batches):
         order = np.lexsort((doc, key))
         key, doc, place = key[order], doc[order], place[order]
         new = _starts(key, doc)
-        spread = splitmix(key[new].view(np.uint32).astype(np.uint64) << np.uint64(32) ^ doc[new].astype(np.uint64)).view(np.int64)
+        spread = splitmix(key[new].view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(len(spread), bool)), pa.array(key[new]), pa.array(doc[new]), _lists(place, new)], names=names)
 
     for batch in steps(batches):
@@ -172,7 +215,7 @@ def _window_rows(batches):
         order = np.lexsort((place, key, doc, h2, h1))
         h1, h2, doc, key, place = h1[order], h2[order], doc[order], key[order], place[order]
         new = _starts(h1, h2)
-        later = doc > doc[new][np.cumsum(new) - 1]
+        later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
         a, b, k, d, p = (c[~later] for c in (h1, h2, key, doc, place))
         new = _starts(a, b, k, d)
         yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(int(new.sum()), bool)), pa.array(k[new]), pa.array(d[new]), _lists(p, new)], names=names)
@@ -215,23 +258,29 @@ CUT = T.StructType().add("n_words", "long").add("n_removed", "long").add("spans"
 
 def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's doc_id, carried columns, text, word counts, removed spans, kept text and its SHA-256."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), *carry)
+    null_id = F.lit(LAST) + F.hash("text").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     # tells apart rows of one doc_id whose texts differ
-    base = base.withColumn("key", F.hash("text"))
-
-    seen = base.select("key", "doc", "text").mapInArrow(_phrase_rows, "anchor long, phrase long, settled boolean, key int, doc long, place long, more array<long>")
-    meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
-    seen = seen.select("*", ((F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min("doc").over(meet) < F.max("doc").over(meet))).alias("differ"))
-    seen = seen.withColumn("done", F.col("settled") | (F.col("doc") > F.min("doc").over(same))).where("done or differ")
+    base = base.withColumn("key", F.xxhash64("text"))
+    rank = F.least("doc", F.lit(LAST))
+    shared = docs.sparkSession.sparkContext.broadcast(common_anchors(base))
+
+    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor int, phrase long, settled boolean, key long, doc long, place long, more array<long>")
+    # phrases of common anchors meet only their equals
+    seen = seen.withColumn("apart", F.when(F.col("anchor") == int(COMMON), F.col("phrase")))
+    meet, same = W.partitionBy("anchor", "settled", "apart"), W.partitionBy("anchor", "settled", "apart", "phrase")
+    unequal = (F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min(rank).over(meet) < F.max(rank).over(meet))
+    seen = seen.select("*", (F.col("apart").isNotNull() | unequal).alias("differ"))
+    seen = seen.withColumn("done", F.col("settled") | (rank > F.min(rank).over(same))).where("done or differ")
     all_places = F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>"))))
     lists = seen.select("doc", "key", "done", all_places.alias("places")).groupBy("doc", "key").agg(
         *[F.flatten(F.collect_list(F.when(F.col("done") == flag, F.col("places")))).alias(name) for name, flag in (("done", True), ("open", False))]
     )
 
-    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key int, doc long, places array<long>")
-    least = F.min("doc").over(W.partitionBy("h1", "h2", "settled"))
-    sourced = rows.withColumn("least", least).where("settled or doc > least")
+    rows = base.drop("carried", "doc_id").join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key long, doc long, places array<long>")
+    least = F.min(rank).over(W.partitionBy("h1", "h2", "settled"))
+    sourced = rows.withColumn("least", least).where(F.col("settled") | (rank > F.col("least")))
     places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
 
-    out = base.join(places, ["doc", "key"], "left")
-    return appended(out, list(CUT), _cut).drop("doc", "key", "places")
+    out = appended(base.join(places, ["doc", "key"], "left"), list(CUT), _cut)
+    return out.select("doc_id", "text", *[F.col("carried")[c].alias(c) for c in carry], *[f.name for f in CUT])
