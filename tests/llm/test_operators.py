@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm import language_id, license_scan, neural_lm, packing, quality_model, substring_dedup
 from tidegauge.llm.decontaminate import leaking_documents
 from tidegauge.llm.near_dedup import near_duplicates
-from tidegauge.llm.perplexity_rules import KneserNey, base_rules, quality_verdicts
+from tidegauge.llm.perplexity_rules import BAND_WIDTH, LEAST_BAND, KneserNey, base_rules, grams, half_of, quality_verdicts, symbols
 from tidegauge.llm.substring_dedup import substring_duplicates
 from tidegauge.llm.warc import parsed, record, round_trip, unchunked, chunked
 
@@ -156,13 +156,90 @@ def test_base_rules_equal_brute_force(docs):
         assert [int(x[0]) for x in base_rules([t.encode()])[:5]] == want
 
 
-def test_quality_verdicts(docs, empty):
-    got = quality_verdicts(docs.drop("kept")).collect()
-    assert len(got) == docs.count()
-    assert all(not r.kept for r in got if r.base_failed) and any(r.kept for r in got)
+def kneser_ney(streams):
+    """Modified Kneser-Ney over lists of symbols, by the textbook: a function from context and symbol to probability."""
+    tables = [Counter(tuple(s[i : i + 4]) for s in streams for i in range(len(s) - 3))]
+    for _ in range(3):
+        tables.append(Counter(g[1:] for g in tables[-1]))
+    tables = tables[::-1]  # by order, 1 to 4
+
+    def discounts(t):
+        n = Counter(min(c, 5) for c in t.values())
+        if not (n[1] and n[2] and n[3]):
+            return [0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+
+    ds = [discounts(t) for t in tables]
+    totals = [Counter() for _ in tables]
+    shares = [Counter() for _ in tables]
+    for t, d, total, share in zip(tables, ds, totals, shares):
+        for g, c in t.items():
+            total[g[:-1]] += c
+            share[g[:-1]] += d[min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        k = len(g) - 1
+        lower = p(g[1:])
+        if g[:-1] not in totals[k]:
+            return lower
+        c = tables[k][g]
+        own = (c - ds[k][min(c, 3) - 1]) / totals[k][g[:-1]] if c else 0
+        return own + shares[k][g[:-1]] / totals[k][g[:-1]] * lower
+
+    return p
+
+
+def test_quality_verdicts_equal_brute_force(docs, empty):
+    got = quality_verdicts(docs, prefix="kept_").drop("kept").collect()
+    assert len(got) == docs.count() and "key" in got[0].asDict()
+    assert all(not r.kept_kept for r in got if r.kept_base_failed) and any(r.kept_kept for r in got)
+    stream = lambda t: [0, 0, 0, *symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32))[0].tolist()]
+    half = {r.text: r.h for r in docs.select("text", half_of("text").alias("h")).collect()}
+    models = [kneser_ney([stream(r.text or "") for r in got if half[r.text] == k]) for k in (0, 1)]
+    for r in got[:20] + got[-9:]:
+        if r.text and len(r.text) < 3000:
+            s = stream(r.text)
+            want = -sum(math.log10(models[1 - half[r.text]](tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / len(r.text)
+            assert abs(r.kept_log_ppl - want) < 1e-4
+    by_lang = {}
+    for r in got:
+        if r.kept_log_ppl is not None:
+            by_lang.setdefault(r.lang, []).append(math.floor(r.kept_log_ppl / 0.002))
+    low = lambda x: sorted(x)[(len(x) + 1) // 2 - 1]
+    for r in got:
+        bins = by_lang.get(r.lang)
+        if bins:
+            mid = low(bins)
+            half_width = max(LEAST_BAND, low([abs(b - mid) for b in bins]) * 0.002 * 1.4826 * BAND_WIDTH)
+            assert abs(r.kept_band_high - (mid + 0.5) * 0.002 - half_width) < 1e-9
+        inside = r.kept_log_ppl is None or r.kept_band_low <= r.kept_log_ppl <= r.kept_band_high
+        assert r.kept_kept == (inside and not r.kept_base_failed)
     assert quality_verdicts(empty).count() == 0
 
 
+def test_bands_reject_planted_junk_alone(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 600").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    letters = "qzxjkvw%^~@"
+    junk = [(-1 - i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(200)), "en") for i in range(10)]
+    cjk = [(10_000 + i, " ".join("".join(rng.choices("日本語文字学校先生学生大小中国", k=3)) for _ in range(200)), "ja") for i in range(60)]
+    cjk += [(-100, " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3)) for _ in range(200)), "ja")]
+    got = quality_verdicts(corpus.union(spark.createDataFrame(junk + cjk, corpus.schema))).where("not base_failed").collect()
+    out = [r.doc_id for r in got if not r.kept]
+    assert {r for r in out if r < 0} == {*range(-10, 0), -100}
+    assert len([r for r in out if r >= 0]) <= 0.08 * len(got)
+
+
+def test_cyrillic_and_cjk_have_symbols_of_their_own():
+    for text in ("привет мир", "日本語文字", "한국어"):
+        code, wide, lengths = grams([text.encode()])
+        assert len(set(code.tolist())) == len(code) == wide[0] > lengths[0] - 2
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(0)
     code, n = np.unique(rng.integers(0, 6, 4000) * 4097 + rng.integers(0, 3, 4000) * 64 + rng.integers(0, 64, 4000), return_counts=True)
