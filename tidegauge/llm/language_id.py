@@ -9,7 +9,8 @@ temperature, but never all rows of a language. A language costs the driver and e
 
 Edge cases: a text that is null or has no letter is `und` with score 0; a null lang is never learned from; without
 training documents every document is `und`; ties go to the first language in order; repeated rows are judged alike and
-count once in the sample.
+count once in the sample, null ids among them by their text; a text of any length is read whole; other columns of docs
+are left out, so their names may clash.
 """
 
 from __future__ import annotations
@@ -60,12 +61,10 @@ class Languages:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, tf: np.ndarray) -> np.ndarray:
-        v = np.log1p(tf) * self.idf
-        return v / (np.sqrt(v @ v) or 1.0)
-
     def probabilities(self, tf: np.ndarray) -> np.ndarray:
-        s = (self.vector(tf) @ self.weights + self.bias) / self.temperature
+        at = np.flatnonzero(tf)
+        v = np.log1p(tf[at]) * self.idf[at]
+        s = (v @ self.weights[at] / (np.sqrt(v @ v) or 1.0) + self.bias) / self.temperature
         e = np.exp(s - s.max())
         return e / e.sum()
 
