@@ -119,14 +119,12 @@ def _lists(values: np.ndarray, new: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(values)), pa.int32()), pa.array(values))
 
 
-#: Stands for all common anchors.
-COMMON = np.int32(0)
+HIGH = np.uint64(1 << 63)
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of a hash, never COMMON. Anchors only say what is compared, so two that share them cost time alone."""
-    out = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return np.where(out == COMMON, np.int32(1), out)
+    """32 bits of a hash. Anchors only say what is compared, so two that share them cost time alone."""
+    return (hashes >> np.uint64(32)).astype(np.int64)
 
 
 def common_anchors(base: DataFrame) -> np.ndarray:
@@ -137,19 +135,20 @@ def common_anchors(base: DataFrame) -> np.ndarray:
         for batch in steps(batches):
             words = Words(texts_of(batch.column("text")))
             anchor, _, start, _ = phrases(words)
-            pairs = np.unique(np.stack((words.row_of()[start], _short(anchor).astype(np.int64))), axis=1) if len(anchor) else np.empty((2, 0), np.int64)
+            pairs = np.unique(np.stack((words.row_of()[start], _short(anchor))), axis=1) if len(anchor) else np.empty((2, 0), np.int64)
             kinds, n = np.unique(pairs[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(n)], names=["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["anchor", "n"])
 
     total = base.count()
     drawn = base.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE))) == 0)
     least = max(COMMON_LEAST, int(COMMON_SHARE * min(total, SAMPLE)))
-    counted = drawn.mapInArrow(run, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.asarray(counted.select("anchor").toArrow()["anchor"].combine_chunks(), np.int32)
+    counted = drawn.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.asarray(counted.select("anchor").toArrow()["anchor"].combine_chunks(), np.int64)
 
 
 def _phrase_rows(batches, common: np.ndarray):
-    """Rows (anchor, phrase, settled, key, doc, place, more), the anchor 0 where it is common. `place` is first window << 8 | windows; `more` has
+    """Rows (anchor, phrase, settled, key, doc, place, more), the anchor negative and drawn from the phrase where it is
+    common. `place` is first window << 8 | windows; `more` has
     further places of the same phrase in the document. A settled row lists, in `more`, places of a document whose
     phrase a smaller document of the step has."""
     names = ["anchor", "phrase", "settled", "key", "doc", "place", "more"]
@@ -162,7 +161,7 @@ def _phrase_rows(batches, common: np.ndarray):
         place = (start - words.starts_of[row]) << 8 | count
         doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row]
         anchor = _short(anchor)
-        anchor[np.isin(anchor, common)] = COMMON
+        anchor = np.where(np.isin(anchor, common), (phrase | HIGH).view(np.int64), anchor)
         order = np.lexsort((place, key, doc, phrase, anchor))
         anchor, phrase, key, doc, place = anchor[order], phrase[order].view(np.int64), key[order], doc[order], place[order]
         new = _starts(anchor, phrase)
@@ -265,12 +264,11 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rank = F.least("doc", F.lit(LAST))
     shared = docs.sparkSession.sparkContext.broadcast(common_anchors(base))
 
-    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor int, phrase long, settled boolean, key long, doc long, place long, more array<long>")
-    # phrases of common anchors meet only their equals
-    seen = seen.withColumn("apart", F.when(F.col("anchor") == int(COMMON), F.col("phrase")))
-    meet, same = W.partitionBy("anchor", "settled", "apart"), W.partitionBy("anchor", "settled", "apart", "phrase")
+    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor long, phrase long, settled boolean, key long, doc long, place long, more array<long>")
+    meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
     unequal = (F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min(rank).over(meet) < F.max(rank).over(meet))
-    seen = seen.select("*", (F.col("apart").isNotNull() | unequal).alias("differ"))
+    # phrases of common anchors meet only their equals, so they are always opened
+    seen = seen.select("*", ((F.col("anchor") < 0) | unequal).alias("differ"))
     seen = seen.withColumn("done", F.col("settled") | (rank > F.min(rank).over(same))).where("done or differ")
     all_places = F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>"))))
     lists = seen.select("doc", "key", "done", all_places.alias("places")).groupBy("doc", "key").agg(
