@@ -275,7 +275,8 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         *[F.flatten(F.collect_list(F.when(F.col("done") == flag, F.col("places")))).alias(name) for name, flag in (("done", True), ("open", False))]
     )
 
-    rows = base.drop("carried", "doc_id").join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key long, doc long, places array<long>")
+    # all of base, so that Spark shuffles it once for this join and the last
+    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key long, doc long, places array<long>")
     least = F.min(rank).over(W.partitionBy("h1", "h2", "settled"))
     sourced = rows.withColumn("least", least).where(F.col("settled") | (rank > F.col("least")))
     places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
