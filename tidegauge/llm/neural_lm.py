@@ -24,7 +24,6 @@ scored each.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -52,22 +51,22 @@ def count_tokens(train: DataFrame) -> DataFrame:
     """(word, c) over all texts, added up within each task as far as memory allows before the shuffle."""
 
     def run(batches):
-        total: Counter = Counter()
+        parts: list[pa.Table] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
+            added = pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")])
+            return added.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
         for batch in steps(batches):
             coded = words_of(batch.column("text"), lower=True)[0].dictionary_encode()
-            n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).tolist()
-            for w, k in zip(coded.dictionary.to_pylist(), n):
-                total[w] += k
-            total[END] += batch.num_rows
-            if len(total) > 500_000:
-                yield out()
-                total = Counter()
-        if total:
-            yield out()
+            n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+            words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+            parts.append(pa.table({"word": words, "c": np.append(n, batch.num_rows)}))
+            if sum(map(len, parts)) > 1_000_000:
+                yield from out()
+                parts = []
+        if parts:
+            yield from out()
 
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
