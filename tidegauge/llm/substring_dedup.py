@@ -25,7 +25,7 @@ than one row for it from each step, however common it is.
 
 Edge cases: a null text has no words; fewer than WINDOW words have no window; rows with equal doc_id do not remove
 from each other, nor do null ones; a null doc_id counts after every other id (ids from 2**63 - 2**32 on count as null);
-rows of one doc_id with different texts are told apart by 64 bits of text hash, null ones by 96; repeated rows are cut
+rows of one doc_id with different texts are told apart by 40 bits of text hash, null ones by 72; repeated rows are cut
 alike; a text of any length is parsed whole; carried columns must not bear a result's name; an empty table gives an
 empty result.
 """
@@ -260,7 +260,7 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     null_id = F.lit(LAST) + F.hash("text").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     # tells apart rows of one doc_id whose texts differ
-    base = base.withColumn("key", F.xxhash64("text"))
+    base = base.withColumn("key", F.shiftrightunsigned(F.xxhash64("text"), 24))
     rank = F.least("doc", F.lit(LAST))
     shared = docs.sparkSession.sparkContext.broadcast(common_anchors(base))
 
