@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegauge.operators.core import all_rows, by_point, islands, mask_intervals, micros, with_positions
+from tidegauge.operators.core import all_rows, by_point, islands, mask_intervals, micros, next_known, with_positions
 
 
 def deltas(series: DataFrame) -> DataFrame:
@@ -64,10 +64,7 @@ def filled(series: DataFrame, steps: DataFrame, value: str = "value") -> DataFra
     known = series.select("point", "ts", value)
     stamps = grid(series, steps).join(known.select("point", "ts"), ["point", "ts"], "left_anti").select("point", "ts", F.lit(None).cast("double").alias(value))
     both = known.union(stamps)
-    ahead = by_point("ts").rowsBetween(0, W.unboundedFollowing)
-    back = by_point("ts").rowsBetween(W.unboundedPreceding, 0)
-    clean = F.when(~F.isnan(value), F.col(value))
-    return both.select("point", "ts", F.coalesce(F.first(clean, True).over(ahead), F.last(clean, True).over(back)).alias(value))
+    return both.select("point", "ts", next_known(F.when(~F.isnan(value), F.col(value)), "ts").alias(value))
 
 
 def dead_values(series: DataFrame, seconds: float, distinct: int, only_zero: bool = False) -> DataFrame:

@@ -135,9 +135,10 @@ def nearest(left: DataFrame, right: DataFrame, at: str = "ts", value: str = "pos
     sides = sides.union(right.select("point", at, F.col(value), F.col(at), F.lit(0)))
     w = W.partitionBy("point").orderBy(at, "_q")
     back = w.rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("point").orderBy(F.col(at), F.col("_q").desc()).rowsBetween(0, W.unboundedFollowing)
+    # backwards in time, as a frame that grows costs nothing and one that shrinks is worked out anew for each row
+    ahead = W.partitionBy("point").orderBy(F.col(at).desc(), "_q").rowsBetween(W.unboundedPreceding, 0)
     pair = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    found = sides.withColumn("_b", F.last(pair, True).over(back)).withColumn("_f", F.first(pair, True).over(ahead)).where("_q = 1")
+    found = sides.withColumn("_b", F.last(pair, True).over(back)).withColumn("_f", F.last(pair, True).over(ahead)).where("_q = 1")
     gap = lambda c: F.abs(micros(at) - micros(F.col(c)["t"]))
     pick = F.when(F.col("_f").isNull() | (gap("_b") <= gap("_f")), F.col("_b")["v"]).otherwise(F.col("_f")["v"])
     return left.join(found.select("point", at, pick.alias(name)), ["point", at])
@@ -155,9 +156,17 @@ def prefix_sums(series: DataFrame, value: str = "value", powers: int = 2) -> Dat
 def running(column: str, back: int, ahead: int) -> tuple[Column, Column]:
     """Sum and row count of the frame [-back, ahead] from a running sum, without a scan of the frame."""
     w = by_point()
-    last = F.last(column).over(w.rowsBetween(0, ahead))
+    i, n = F.row_number().over(w), F.count(F.lit(1)).over(all_rows())
+    total = F.last(column).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    last = F.when(i + ahead <= n, F.lead(column, ahead).over(w)).otherwise(total)
     before = F.coalesce(F.lag(column, back + 1).over(w), F.lit(0.0))
-    return last - before, F.count(F.lit(1)).over(w.rowsBetween(-back, ahead))
+    return last - before, F.least(i - 1, F.lit(back)) + 1 + F.least(n - i, F.lit(ahead))
+
+
+def next_known(value: Column, order: str = "pos") -> Column:
+    """The value of this row or of the next that has one, else the last one before."""
+    back = W.partitionBy("point").orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
+    return F.coalesce(F.last(value, True).over(back), F.last(value, True).over(by_point(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,9 +18,14 @@ from tidegauge.operators.reduce import m4
 
 def hits_nsigma(series: DataFrame, th: float = 3.0, value: str = "value") -> DataFrame:
     """Rows outside mean plus and minus th population deviations."""
-    w = all_rows()
-    far = F.abs(F.col(value) - F.avg(value).over(w)) > th * F.stddev_pop(value).over(w)
-    return series.withColumn("_far", far).where("_far").drop("_far")
+    return beyond(series, F.col(value), value, th)
+
+
+def beyond(series: DataFrame, counted: Column, value: str, th: float) -> DataFrame:
+    """Rows whose value is over th deviations from the mean; both are aggregated over `counted`, so no task needs a
+    whole point. There is a row for each point, which Spark broadcasts where it is small."""
+    scale = series.groupBy("point").agg(F.avg(counted).alias("_mean"), F.stddev_pop(counted).alias("_dev"))
+    return series.join(scale, "point").where(F.abs(F.col(value) - F.col("_mean")) > th * F.col("_dev")).drop("_mean", "_dev")
 
 
 def nsigma(series: DataFrame, th: float = 3.0, bridge: int = 5, value: str = "value") -> DataFrame:
@@ -46,9 +51,7 @@ def standardised(series: DataFrame, th: float = 10.0, bridge: int = 5) -> DataFr
 
 def hits_nonzero_nsigma(series: DataFrame, th: float = 5.0, value: str = "value") -> DataFrame:
     """n-sigma with mean and deviation over values that are not zero."""
-    v = F.when(F.col(value) != 0, F.col(value))
-    far = F.abs(F.col(value) - F.avg(v).over(all_rows())) > th * F.stddev_pop(v).over(all_rows())
-    return series.withColumn("_far", far).where("_far").drop("_far")
+    return beyond(series, F.when(F.col(value) != 0, F.col(value)), value, th)
 
 
 def hits_hbos(series: DataFrame, bins: int = 50) -> DataFrame:

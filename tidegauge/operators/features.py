@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidegauge.operators.clean import constant_share
-from tidegauge.operators.core import all_rows, by_point, prefix_sums, rows, running
+from tidegauge.operators.core import all_rows, by_point, next_known, prefix_sums, rows, running
 
 
 def scaled(series: DataFrame, value: str = "value") -> DataFrame:
@@ -131,9 +131,7 @@ def centred_rolling(series: DataFrame, width: int) -> DataFrame:
     mean = F.when(full, F.col("centre") + F.col("_s1") / width)
     std = F.when(full, F.sqrt(F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / width) / (width - 1))))
     p = p.withColumn("_m", mean).withColumn("_d", std)
-    ahead, back = by_point().rowsBetween(0, W.unboundedFollowing), by_point().rowsBetween(W.unboundedPreceding, 0)
-    fill = lambda c: F.coalesce(F.first(c, True).over(ahead), F.last(c, True).over(back))
-    return p.select(*series.columns, fill("_m").alias("roll_mean"), fill("_d").alias("roll_std"))
+    return p.select(*series.columns, next_known(F.col("_m")).alias("roll_mean"), next_known(F.col("_d")).alias("roll_std"))
 
 
 def dilation(series: DataFrame, k: int, value: str = "value", name: str = "dilated") -> DataFrame:
