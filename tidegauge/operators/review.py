@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,9 +61,29 @@ def rolled_accuracy(answers: DataFrame, category: str) -> DataFrame:
 
 
 def smoothed(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
-    """Exponential mean of each run's values; the weight grows with the length of the run."""
-    runs = log.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("_x"))
-    weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.size("_x"))) - 0.5)
-    runs = runs.withColumn("_w", weight)
-    acc = F.expr(f"aggregate(_x, array(cast(null as double)), (a, s) -> array_append(a, if(element_at(a, -1) is null, s.{value}, element_at(a, -1) * _w + (1 - _w) * s.{value})))")
-    return runs.select(run, F.posexplode(acc).alias("_i", "smooth"), "_x").where("_i > 0").select(run, F.col("_x")[F.col("_i") - 1][step].alias(step), "smooth")
+    """Exponential mean of each run's values; the weight grows with the length of the run. A run's log is bounded, so it
+    goes to one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step)
+        w = 1.8 * (1 / (1 + np.exp(-0.05 * len(pdf))) - 0.5)
+        return pd.DataFrame({run: pdf[run], step: pdf[step], "smooth": pdf[value].ewm(alpha=1 - w, adjust=False).mean()})
+
+    return log.select(run, step, value).groupBy(run).applyInPandas(one, f"{run} {kinds[run]}, {step} {kinds[step]}, smooth double")
+
+
+def step_timing(log: DataFrame, run: str, ts: str, tokens: str, total: int) -> DataFrame:
+    """Mean time of a step, time left to `total` steps, percentage done, and tokens a second of each run."""
+    t = log.groupBy(run).agg(F.count("*").alias("n"), ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6).alias("s"), F.sum(tokens).alias("v"))
+    mean = F.col("s") / F.when(F.col("n") > 1, F.col("n") - 1)
+    return t.select(run, F.round(mean, 6).alias("step_seconds"), F.round(mean * (total - F.col("n")), 3).alias("remaining"), F.round(F.col("n") / total * 100, 2).alias("percentage"), F.round(F.col("v") / F.when(F.col("s") > 0, F.col("s")), 6).alias("per_second"))
+
+
+def token_accuracy(rows: DataFrame, ignore: int = -100) -> DataFrame:
+    """Mean over rows (preds, labels) of the share of labels that the prediction one place before gives; ignored labels
+    do not count, nor rows without others."""
+    pairs = F.arrays_zip(F.expr("slice(preds, 1, size(preds) - 1)").alias("p"), F.expr("slice(labels, 2, size(labels) - 1)").alias("l"))
+    known = rows.where("size(preds) > 1").select(F.filter(pairs, lambda x: x["l"] != ignore).alias("k")).where("size(k) > 0")
+    own = F.size(F.filter("k", lambda x: x["p"] == x["l"])) / F.size("k")
+    return known.agg(F.avg(own).alias("accuracy"), F.count("*").alias("n"))
