@@ -60,3 +60,28 @@ def widened(start: Column, end: Column, by: int = 5) -> tuple[Column, Column]:
     """A single-row label grows by `by` on either side, not below 0."""
     one = start == end
     return F.when(one, F.greatest(F.lit(0), start - by)).otherwise(start), F.when(one, end + by).otherwise(end)
+
+
+def record_point(name: Column) -> Column:
+    """The point of an annotation file: its name without extension, the annotation prefix and a dataset's prefix."""
+    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
+    return F.regexp_replace(stem, r"^(.*annotations_数据集zhlh_100_|annotations_)", "")
+
+
+def point_id(text: Column) -> Column:
+    """The `name.suffix` part of a path with the most underscores, then the longest; file extensions do not count."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_]*\.[A-Za-z0-9]+)"))
+    ids = F.filter(found, lambda x: ~F.rlike(F.lower(x), F.lit(r"\.(csv|json|jpg|png)$")))
+    ranked = F.transform(ids, lambda x: F.struct((-F.length(F.regexp_replace(x, "[^_]", ""))).alias("u"), (-F.length(x)).alias("n"), x.alias("x")))
+    return F.try_element_at(F.array_sort(ranked), F.lit(1))["x"]
+
+
+def suffix_hint(name: Column) -> Column:
+    """Which decomposed part of a series a name is about."""
+    return F.when(F.contains(name, F.lit("trend_resid")), "trend_resid").when(F.contains(name, F.lit("resid")), "resid").when(F.contains(name, F.lit("trend")), "trend")
+
+
+def normalised_time(text: Column) -> Column:
+    """A time with or without a zone or slashes as `yyyy-MM-dd HH:mm:ss`; null where it cannot be read."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), "/", "-"), r"(Z|[+-]\d{2}:?\d{2})$", "")
+    return F.date_format(F.try_to_timestamp(plain), "yyyy-MM-dd HH:mm:ss")

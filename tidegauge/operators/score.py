@@ -76,6 +76,38 @@ def scored_segments(series: DataFrame, hits: DataFrame, gap: int = 5, share: flo
     return out.select("point", "seg_id", "start_pos", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"), "raw_p", "left", "right", softplus_score(F.col("raw_p"), F.col("left"), F.col("right")).alias("score"))
 
 
+def neighbourhoods(series: DataFrame, segments: DataFrame, share: float = 0.03) -> DataFrame:
+    """Mean of the normal rows on either side of each segment: as many as `share` of the point's rows, counted in rows
+    outside all segments. Null where there is none."""
+    inside = expanded(segments, "seg_id").select("point", "pos").distinct().withColumn("_h", F.lit(1))
+    d = series.join(inside, ["point", "pos"], "left").withColumn("_norm", F.when(F.col("_h").isNull(), 1).otherwise(0))
+    d = d.withColumn("_np", F.sum("_norm").over(by_point())).withColumn("_ns", F.sum(F.when(F.col("_norm") == 1, F.col("value")).otherwise(0.0)).over(by_point()))
+    sums = d.where("_norm = 1").select("point", F.col("_np").alias("np"), "_ns").union(series.select("point").distinct().select("point", F.lit(0).cast("long"), F.lit(0.0)))
+    sizes = d.groupBy("point").agg(F.floor(F.count("*") * share).alias("w"), F.sum("_norm").alias("n_norm"))
+    at = d.select("point", F.col("pos").alias("start_pos"), F.col("_np").alias("np"))
+    s = segments.select("point", "seg_id", "start_pos").join(at, ["point", "start_pos"]).join(sizes, "point")
+    for side, a, b in (("left_mean", F.greatest(F.lit(0), F.col("np") - F.col("w")), F.col("np")), ("right_mean", F.col("np"), F.least("n_norm", F.col("np") + F.col("w")))):
+        s = s.withColumn("_a", a.cast("long")).withColumn("_b", b.cast("long"))
+        for end in ("_a", "_b"):
+            s = s.join(sums.select("point", F.col("np").alias(end), F.col("_ns").alias(f"_s{end}")), ["point", end], "left")
+        s = s.withColumn(side, F.when(F.col("_b") > F.col("_a"), (F.col("_s_b") - F.col("_s_a")) / (F.col("_b") - F.col("_a")))).drop("_a", "_b", "_s_a", "_s_b")
+    return s.select("point", "seg_id", "left_mean", "right_mean")
+
+
+def heat_map_totals(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(column, mean, place): mean of each column over all rows of the matrix, absent cells being 0, and its place by it;
+    n_set: cells that are not 0."""
+    n_rows = cells.select(row).distinct().agg(F.count("*").alias("n"))
+    sums = cells.groupBy(column).agg(F.sum(value).alias("s"), F.count(F.when(F.col(value) != 0, 1)).alias("n_set")).crossJoin(F.broadcast(n_rows))
+    out = sums.select(column, (F.col("s") / F.col("n")).alias("mean"), "n_set")
+    return out.withColumn("place", F.row_number().over(W.orderBy("mean", column)))
+
+
+def batch_evaluation(series: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """All measures of each point that has rows, labels and detections; the others are left out."""
+    return derived_metrics(confusion(series, truth, predicted))
+
+
 def p_norm_mean(score: Column | str, p: int = 5) -> Column:
     return F.pow(F.avg(F.pow(F.abs(score), F.lit(p))), F.lit(1.0 / p))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidegauge.functions import names as nm
+from tidegauge.operators import inventory as iv
 from tidegauge.operators import review as rv
 from tidegauge.plans import fixtures as fx
 from tidegauge.plans.registry import query
@@ -65,9 +66,7 @@ def j2_ranked_fuzzy_match(spark, d):
     p = fx.table(spark, d, "part")
     points = p.select(F.col("p_brand").alias("point")).distinct()
     files = p.select(F.concat_ws("_", "p_brand", "p_type").alias("name")).union(p.select(F.concat(F.lit("x_"), "p_brand"))).distinct()
-    scored = files.join(points, F.contains(F.col("name"), F.col("point"))).withColumn("score", nm.ranked_match(F.col("name"), F.col("point")))
-    k = F.row_number().over(W.partitionBy("point").orderBy(F.desc("score"), "name"))
-    return scored.withColumn("k", k).where("k = 1").select("point", "name", "score")
+    return iv.best_file(points, files.withColumnRenamed("name", "file_name")).select("point", F.col("file_name").alias("name"), "score")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || doc_id || '.csv' WHEN doc_id % 3 = 1 THEN 'annotations_' || source || doc_id END AS file_name FROM documents""")
@@ -132,9 +131,9 @@ def a27_training_progress(spark, d):
     return s.groupBy("point").agg(F.max("pos").alias("step"), F.max_by("value", "pos").alias("loss"), F.least(F.lit(100), F.floor(F.max("pos") / 10)).alias("progress"), last.alias("last"))
 
 
-@query(f"""WITH {fx.SERIES} SELECT pos, max(value) FILTER (WHERE point = 'click') AS click, max(value) FILTER (WHERE point = 'view') AS view FROM series GROUP BY 1""")
+@query(f"""WITH {fx.SERIES} SELECT pos, {", ".join(f"max(value) FILTER (WHERE point = '{x}') AS {x}" for x in ("click", "error", "purchase", "signup", "view"))} FROM series GROUP BY 1""")
 def a28_multi_run_comparison(spark, d):
-    return fx.event_series(spark, d).groupBy("pos").pivot("point", ["click", "view"]).agg(F.max("value"))
+    return fx.event_series(spark, d).groupBy("pos").pivot("point").agg(F.max("value"))
 
 
 @query("""SELECT lang, round(100 * avg(CAST(quality = 1 - toxic AS INTEGER)), 2) AS accuracy, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)""")
