@@ -14,6 +14,7 @@ from tidegauge.operators import clean
 from tidegauge.operators import features as ft
 from tidegauge.operators.core import all_rows, bridged, by_point, expanded, first_by, mask_from_segments, mask_in_time, mask_intervals, rows, split_runs
 from tidegauge.operators.reduce import m4
+from tidegauge.sources.scratch import settled
 
 
 def hits_nsigma(series: DataFrame, th: float = 3.0, value: str = "value") -> DataFrame:
@@ -105,7 +106,7 @@ def range_filter(series: DataFrame, runs: DataFrame, ratios: DataFrame) -> DataF
 
 def jump_borders(series: DataFrame, ratio: float | None = None, scales: tuple[tuple[int, int], ...] = ((100, 3), (3000, 100), (100_000, 2000)), gap: int = 1, chunks: int = 200) -> DataFrame:
     """Histogram and drift hits as runs, kept where the local range is large."""
-    hits = hits_hbos(series).select("point", "pos").union(hits_drift(series, scales)).distinct().persist()
+    hits = settled(hits_hbos(series).select("point", "pos").union(hits_drift(series, scales)).distinct(), "hits")
     if ratio is None:
         ratios = chord_knee(chunk_ranges(series, chunks)).select("point", F.col("knee_y").alias("ratio"))
     else:
@@ -275,14 +276,14 @@ def adtk_hbos(series: DataFrame, n_out: int, scales=((20, 3), (100, 10)), dead_s
     (where less than 70 % of the rows are dead) dead values are found and carried back to the raw rows by time."""
     steps = ft.step_signal(series).where("is_step").select("point")
     series = first_by(series.join(steps, "point", "left_anti"), ["point", "ts"], "pos")
-    # the sample is small beside the series and read by every part, so it is kept
-    ds = m4(series, n_out).select("point", F.col("ds_pos").alias("pos"), "ts", "value").persist()
+    # the sample is small beside the series and read by every part; written, each part plans from a plain scan
+    ds = settled(m4(series, n_out).select("point", F.col("ds_pos").alias("pos"), "ts", "value"), "sample")
     found = jump_borders(ds, ratio, scales).select("point", "start_pos", "end_pos").union(mean_shift(ds, min_rows=min_rows).select("point", "start_pos", "end_pos"))
     dead = clean.dead_values(ds, dead_seconds, dead_distinct)
     some = dead.groupBy("point").agg(F.avg("dead").alias("share")).where("share < 0.7").select("point")
     dead_runs = split_runs(dead.where("dead = 1").join(some, "point", "left_semi").select("point", "pos"))
-    found = found.union(dead_runs.select("point", "start_pos", "end_pos")).persist()
-    spans = mask_intervals(mask_from_segments(ds, found), "mask")
+    found = settled(found.union(dead_runs.select("point", "start_pos", "end_pos")), "found")
+    spans = settled(mask_intervals(mask_from_segments(ds, found), "mask"), "spans")
     return mask_in_time(series, spans)
 
 

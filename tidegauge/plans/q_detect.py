@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import detect as dt
 from tidegauge.operators.core import split_runs
 from tidegauge.plans import fixtures as fx
+from tidegauge.plans.q_clean import _m4_sql
 from tidegauge.plans.q_features import _hist
 from tidegauge.plans.registry import query
 
@@ -209,3 +210,29 @@ def w26_sliding_windows(spark, d):
 @query(f"""WITH {fx.SERIES} SELECT point, pos, round(CASE WHEN pos >= 20 THEN value - lag(value) OVER (PARTITION BY point ORDER BY pos) END, 6) AS residual FROM series""")
 def t1_streaming_residual(spark, d):
     return dt.rolling_residual(fx.event_series(spark, d), 20, "last").select("point", "pos", F.round("residual", 6).alias("residual"))
+
+
+def _shift(edge: float, least: int, name: str) -> str:
+    """SQL of the mean-shift segments of `series`."""
+    return f"""{name} AS (WITH {_hist('series', 20)}, pk AS (SELECT point, arg_max(bin, (n, -bin)) AS top, max(n) AS most FROM h GROUP BY 1),
+    sd AS (SELECT h.point, any_value(low) AS low, any_value(width) AS width, any_value(top) AS top, max(bin) FILTER (WHERE n <= {edge} * most AND bin < top) AS l, min(bin) FILTER (WHERE n <= {edge} * most AND bin > top) AS r FROM h JOIN pk USING (point) GROUP BY 1),
+    en AS (SELECT point, low + (coalesce(l, -1) + 1) * width AS lo, low + coalesce(r, 20) * width AS hi, low + (top + 0.5) * width AS centre FROM sd),
+    ou AS (SELECT s.point, pos FROM series s JOIN en USING (point) WHERE value < lo OR value > hi), {_runs('ou', least)},
+    mn AS (SELECT rn.point, seg_id, start_pos, end_pos, avg(value) AS m FROM rn JOIN series s ON s.point = rn.point AND s.pos BETWEEN start_pos AND end_pos GROUP BY 1, 2, 3, 4)
+    SELECT mn.point, start_pos, end_pos FROM mn JOIN en USING (point) WHERE abs(m - centre) > 0.2 * abs(centre))"""
+
+
+_SHORT = ((20, 3), (100, 10))
+# the values of events never repeat for most of a point, so no point is a step signal, and none has dead runs
+_COMPOSED = f"""raw AS (WITH {fx.SERIES} SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY point, ts ORDER BY pos) = 1),
+  {_m4_sql('one AS (SELECT 1)', 'raw', 400)}, series AS (SELECT point, ds_pos AS pos, ts, value FROM ds),
+  jb AS (WITH {_HBOS}, {_drift('series', _SHORT).format(th=5.0)}, al AS (SELECT point, pos FROM hb UNION SELECT point, pos FROM dr), {_runs('al')}, {_range_filter('rn', 'WHERE loc >= 0.3 * g')} SELECT point, start_pos, end_pos FROM rf),
+  {_shift(0.009, 2, 'ms')}, fo AS (SELECT * FROM jb UNION SELECT * FROM ms),
+  mk AS (SELECT s.point, s.pos, s.ts, max(CASE WHEN fo.point IS NULL THEN 0 ELSE 1 END) AS m FROM series s LEFT JOIN fo ON fo.point = s.point AND s.pos BETWEEN start_pos AND end_pos GROUP BY 1, 2, 3),
+  gi AS (SELECT point, ts, pos - row_number() OVER (PARTITION BY point ORDER BY pos) AS g FROM mk WHERE m = 1), sp AS (SELECT point, min(ts) AS a, max(ts) AS b FROM gi GROUP BY point, g),
+  am AS (SELECT r.point, r.pos, max(CASE WHEN sp.point IS NULL THEN 0 ELSE 1 END) AS mask FROM raw r LEFT JOIN sp ON sp.point = r.point AND r.ts BETWEEN a AND b GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_COMPOSED} SELECT point, pos, mask FROM am")
+def c14_composed_detector(spark, d):
+    return dt.adtk_hbos(fx.event_series(spark, d), 400, _SHORT, min_rows=2).select("point", "pos", "mask")
