@@ -50,7 +50,7 @@ ANCHOR_SPAN = WINDOW - ANCHOR_WORDS + 1
 #: Null ids are this number and 32 bits of text hash more, and equal in order.
 LAST = (1 << 63) - (1 << 32)
 #: Documents in the sample that names common anchors, the share of them that an anchor must be in, and the least number.
-SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.005, 50
+SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.02, 50
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = splitmix(np.arange(100, 100 + ANCHOR_WORDS, dtype=np.uint64)) | np.uint64(1)
