@@ -25,7 +25,7 @@ than one row for it from each step, however common it is.
 
 Edge cases: a null text has no words; fewer than WINDOW words have no window; rows with equal doc_id do not remove
 from each other, nor do null ones; a null doc_id counts after every other id (ids from 2**63 - 2**32 on count as null);
-rows of one doc_id with different texts are told apart by 40 bits of text hash, null ones by 72; repeated rows are cut
+rows of one doc_id with different texts are told apart by 32 bits of text hash, null ones by 64; repeated rows are cut
 alike; a text of any length is parsed whole; carried columns must not bear a result's name; an empty table gives an
 empty result.
 """
@@ -178,7 +178,7 @@ def _phrase_rows(batches, common: np.ndarray):
             k, d, p = k[order], d[order], p[order]
             new = _starts(k, d)
             n = int(new.sum())
-            spread = splitmix(k[new].view(np.uint64) ^ splitmix(d[new]))
+            spread = splitmix(k[new].astype(np.int64).view(np.uint64) ^ splitmix(d[new]))
             yield pa.RecordBatch.from_arrays([pa.array(_short(spread)), pa.array(spread.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(k[new]), pa.array(d[new]), pa.nulls(n, pa.int64()), _lists(p, new)], names=names)
 
 
@@ -191,7 +191,7 @@ def _window_rows(batches):
         order = np.lexsort((doc, key))
         key, doc, place = key[order], doc[order], place[order]
         new = _starts(key, doc)
-        spread = splitmix(key[new].view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
+        spread = splitmix(key[new].astype(np.int64).view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(len(spread), bool)), pa.array(key[new]), pa.array(doc[new]), _lists(place, new)], names=names)
 
     for batch in steps(batches):
@@ -257,14 +257,14 @@ CUT = T.StructType().add("n_words", "long").add("n_removed", "long").add("spans"
 
 def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's doc_id, carried columns, text, word counts, removed spans, kept text and its SHA-256."""
-    null_id = F.lit(LAST) + F.hash("text").cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    null_id = F.lit(LAST) + F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     # tells apart rows of one doc_id whose texts differ
-    base = base.withColumn("key", F.shiftrightunsigned(F.xxhash64("text"), 24))
+    base = base.withColumn("key", F.hash("text"))
     rank = F.least("doc", F.lit(LAST))
     shared = docs.sparkSession.sparkContext.broadcast(common_anchors(base))
 
-    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor long, phrase long, settled boolean, key long, doc long, place long, more array<long>")
+    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor long, phrase long, settled boolean, key int, doc long, place long, more array<long>")
     meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
     unequal = (F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min(rank).over(meet) < F.max(rank).over(meet))
     # phrases of common anchors meet only their equals, so they are always opened
@@ -276,7 +276,7 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
     # all of base, so that Spark shuffles it once for this join and the last
-    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key long, doc long, places array<long>")
+    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key int, doc long, places array<long>")
     least = F.min(rank).over(W.partitionBy("h1", "h2", "settled"))
     sourced = rows.withColumn("least", least).where(F.col("settled") | (rank > F.col("least")))
     places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
