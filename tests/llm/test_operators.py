@@ -45,9 +45,10 @@ def words(t):
     return (t or "").encode().split()
 
 
-@pytest.mark.parametrize("common", [50, 1])
-def test_substrings_equal_brute_force(docs, empty, monkeypatch, common):
+@pytest.mark.parametrize("common, bits", [(50, 32), (1, 32), (50, 14)])
+def test_substrings_equal_brute_force(docs, empty, monkeypatch, common, bits):
     monkeypatch.setattr(substring_dedup, "COMMON_LEAST", common)  # 1: every anchor is common
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", bits)  # 14: most places of the long text lie beyond
     got = Counter(tuple(r) for r in substring_duplicates(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     source = [(math.inf if r.doc_id is None else r.doc_id, r.doc_id, words(r.text)) for r in docs.collect()]
     first = {}

@@ -51,6 +51,8 @@ ANCHOR_SPAN = WINDOW - ANCHOR_WORDS + 1
 LAST = (1 << 63) - (1 << 32)
 #: Documents in the sample that names common anchors, the share of them that an anchor must be in, and the least number.
 SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.02, 50
+#: Bits of a place beside a key of 32 bits; further places go in a list.
+PLACE_BITS = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = splitmix(np.arange(100, 100 + ANCHOR_WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -146,12 +148,12 @@ def common_anchors(base: DataFrame) -> np.ndarray:
     return np.asarray(counted.select("anchor").toArrow()["anchor"].combine_chunks(), np.int64)
 
 
-def _phrase_rows(batches, common: np.ndarray):
-    """Rows (anchor, phrase, settled, key, doc, place, more), the anchor negative and drawn from the phrase where it is
-    common. `place` is first window << 8 | windows; `more` has
-    further places of the same phrase in the document. A settled row lists, in `more`, places of a document whose
-    phrase a smaller document of the step has."""
-    names = ["anchor", "phrase", "settled", "key", "doc", "place", "more"]
+def _phrase_rows(batches, common: np.ndarray, bits: int):
+    """Rows (anchor, phrase, at, doc, settled, more), the anchor negative and drawn from the phrase where it is common.
+    `at` is key << bits | place, a place being first window << 8 | windows; `more` has further places of the same phrase
+    in the document, and those beyond bits. A settled row lists, in `more`, places of a document whose phrase a
+    smaller document of the step has. Columns that are mostly zero stand last, where a shuffle packs them together."""
+    names = ["anchor", "phrase", "at", "doc", "settled", "more"]
     for batch in steps(batches):
         words = Words(texts_of(batch.column("text")))
         anchor, phrase, start, count = phrases(words)
@@ -159,7 +161,7 @@ def _phrase_rows(batches, common: np.ndarray):
             continue
         row = words.row_of()[start]
         place = (start - words.starts_of[row]) << 8 | count
-        doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row]
+        doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row].astype(np.int64)
         anchor = _short(anchor)
         anchor = np.where(np.isin(anchor, common), (phrase | HIGH).view(np.int64), anchor)
         order = np.lexsort((place, key, doc, phrase, anchor))
@@ -168,31 +170,34 @@ def _phrase_rows(batches, common: np.ndarray):
         later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
         a, f, k, d, p = (c[~later] for c in (anchor, phrase, key, doc, place))
         new = _starts(a, f, k, d)
-        sizes = np.diff(np.append(np.flatnonzero(new), len(a))) - 1
+        wide = p >> bits != 0
+        rest = ~new | wide
+        sizes = np.add.reduceat(rest, np.flatnonzero(new), dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(sizes == 0, False)), pa.array(p[~new]))
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(f[new]), pa.array(np.zeros(len(sizes), bool)), pa.array(k[new]), pa.array(d[new]), pa.array(p[new]), more], names=names)
+        more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(sizes == 0, False)), pa.array(p[rest]))
+        at = (k << bits | np.where(wide, 0, p))[new]
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(f[new]), pa.array(at), pa.array(d[new]), pa.array(np.zeros(len(sizes), bool)), more], names=names)
         if later.any():
             k, d, p = key[later], doc[later], place[later]
             order = np.lexsort((d, k))
             k, d, p = k[order], d[order], p[order]
             new = _starts(k, d)
             n = int(new.sum())
-            spread = splitmix(k[new].astype(np.int64).view(np.uint64) ^ splitmix(d[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(_short(spread)), pa.array(spread.view(np.int64)), pa.array(np.ones(n, bool)), pa.array(k[new]), pa.array(d[new]), pa.nulls(n, pa.int64()), _lists(p, new)], names=names)
+            spread = splitmix(k[new].view(np.uint64) ^ splitmix(d[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(_short(spread)), pa.array(spread.view(np.int64)), pa.array(k[new] << bits), pa.array(d[new]), pa.array(np.ones(n, bool)), _lists(p, new)], names=names)
 
 
 def _window_rows(batches):
-    """Rows (h1, h2, settled, key, doc, places). Windows of the places in `open` go to their blocks, one row for a
+    """Rows (h1, h2, key, doc, settled, places). Windows of the places in `open` go to their blocks, one row for a
     window from each step; those that a smaller document of the step has, and the places in `done`, are settled."""
-    names = ["h1", "h2", "settled", "key", "doc", "places"]
+    names = ["h1", "h2", "key", "doc", "settled", "places"]
 
     def settled(key, doc, place):
         order = np.lexsort((doc, key))
         key, doc, place = key[order], doc[order], place[order]
         new = _starts(key, doc)
         spread = splitmix(key[new].astype(np.int64).view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(np.ones(len(spread), bool)), pa.array(key[new]), pa.array(doc[new]), _lists(place, new)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(key[new]), pa.array(doc[new]), pa.array(np.ones(len(spread), bool)), _lists(place, new)], names=names)
 
     for batch in steps(batches):
         docs, keys = np.asarray(batch.column("doc")), np.asarray(batch.column("key"))
@@ -217,7 +222,7 @@ def _window_rows(batches):
         later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
         a, b, k, d, p = (c[~later] for c in (h1, h2, key, doc, place))
         new = _starts(a, b, k, d)
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(int(new.sum()), bool)), pa.array(k[new]), pa.array(d[new]), _lists(p, new)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(k[new]), pa.array(d[new]), pa.array(np.zeros(int(new.sum()), bool)), _lists(p, new)], names=names)
         if later.any():
             yield settled(key[later], doc[later], place[later])
 
@@ -261,24 +266,26 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     # tells apart rows of one doc_id whose texts differ
     base = base.withColumn("key", F.hash("text"))
-    rank = F.least("doc", F.lit(LAST))
-    shared = docs.sparkSession.sparkContext.broadcast(common_anchors(base))
+    shared, bits = docs.sparkSession.sparkContext.broadcast(common_anchors(base)), PLACE_BITS
 
-    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value), "anchor long, phrase long, settled boolean, key int, doc long, place long, more array<long>")
+    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value, bits), "anchor long, phrase long, at long, doc long, settled boolean, more array<long>")
     meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
-    unequal = (F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (F.min(rank).over(meet) < F.max(rank).over(meet))
+    # ranks after the least and largest id, so that no rank goes through the shuffle
+    ranked = lambda doc: F.least(doc, F.lit(LAST))
+    unequal = (F.min("phrase").over(meet) < F.max("phrase").over(meet)) & (ranked(F.min("doc").over(meet)) < ranked(F.max("doc").over(meet)))
     # phrases of common anchors meet only their equals, so they are always opened
     seen = seen.select("*", ((F.col("anchor") < 0) | unequal).alias("differ"))
-    seen = seen.withColumn("done", F.col("settled") | (rank > F.min(rank).over(same))).where("done or differ")
-    all_places = F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>"))))
-    lists = seen.select("doc", "key", "done", all_places.alias("places")).groupBy("doc", "key").agg(
+    seen = seen.withColumn("done", F.col("settled") | (ranked(F.col("doc")) > ranked(F.min("doc").over(same)))).where("done or differ")
+    key, place = F.shiftright("at", bits).cast("int").alias("key"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1))
+    all_places = F.array_compact(F.concat(F.array(F.nullif(place, F.lit(0))), F.coalesce("more", F.array().cast("array<long>"))))
+    lists = seen.select("doc", key, "done", all_places.alias("places")).groupBy("doc", "key").agg(
         *[F.flatten(F.collect_list(F.when(F.col("done") == flag, F.col("places")))).alias(name) for name, flag in (("done", True), ("open", False))]
     )
 
     # all of base, so that Spark shuffles it once for this join and the last
-    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, settled boolean, key int, doc long, places array<long>")
-    least = F.min(rank).over(W.partitionBy("h1", "h2", "settled"))
-    sourced = rows.withColumn("least", least).where(F.col("settled") | (rank > F.col("least")))
+    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, key int, doc long, settled boolean, places array<long>")
+    least = ranked(F.min("doc").over(W.partitionBy("h1", "h2", "settled")))
+    sourced = rows.withColumn("least", least).where(F.col("settled") | (ranked(F.col("doc")) > F.col("least")))
     places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     out = appended(base.join(places, ["doc", "key"], "left"), list(CUT), _cut)
