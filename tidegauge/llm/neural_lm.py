@@ -72,12 +72,13 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Class vectors with biases, word vectors inside classes with biases (last column), context vectors, position weights."""
+    """Class vectors with biases, word vectors inside classes with biases (column DIM), context vectors, position weights."""
 
     def __init__(self, head: Head, seed: int = 7):
         rng = np.random.default_rng(seed)
         start = lambda n, more=0: (0.1 * rng.standard_normal((n, DIM + more))).astype(np.float32)
-        self.target, self.source, self.inner = start(head.classes), start(head.size), start(head.grouped, 1)
+        self.target, self.source = start(head.classes), start(head.size)
+        self.inner = np.pad(start(head.grouped, 1), ((0, 0), (0, 1)))  # a column of zeros, so that sums take pairs
         self.weight = np.ones((CONTEXT, DIM), np.float32)
         self.bias = np.log((head.mass + 0.5) / (head.mass + 0.5).sum()).astype(np.float32)  # the class frequencies
         self.inner[:, DIM] = np.log(head.inside)
@@ -88,12 +89,12 @@ class Model:
 
     def rows(self) -> np.ndarray:
         """All vectors, each with its bias or 0."""
-        wide = [np.column_stack((self.target, self.bias)), *[np.pad(p, ((0, 0), (0, 1))) for p in (self.source, self.weight)], self.inner]
+        wide = [np.column_stack((self.target, self.bias)), *[np.pad(p, ((0, 0), (0, 1))) for p in (self.source, self.weight)], self.inner[:, : DIM + 1]]
         return np.concatenate(wide)
 
     def load(self, rows: np.ndarray) -> None:
         at = np.cumsum([len(self.target), len(self.source), len(self.weight)])
-        target, source, weight, self.inner[...] = np.split(rows, at)
+        target, source, weight, self.inner[:, : DIM + 1] = np.split(rows, at)
         self.target[...], self.bias[...] = target[:, :DIM], target[:, DIM]
         self.source[...], self.weight[...] = source[:, :DIM], weight[:, :DIM]
 
@@ -103,33 +104,32 @@ class Model:
     def log_norm(self, pred: np.ndarray) -> np.ndarray:
         """Log of the normaliser of each predicted vector, by matrix products over all classes but the start."""
         out = np.empty(len(pred), np.float32)
-        bias = self.bias.copy()
-        bias[START] = -np.inf
+        table = np.column_stack((self.target, self.bias)).T
+        table[:, START] = [*[0] * DIM, -1e30]
+        wide = np.column_stack((pred, np.ones(len(pred), np.float32)))
         high = np.float32(np.sqrt((self.target * self.target).sum(1).max())), self.bias.max()
         for i in range(0, len(pred), 512):
             some = pred[i : i + 512]
-            s = some @ self.target.T
-            s += bias
-            out[i : i + 512] = _log_sums(s, some, *high)
+            out[i : i + 512] = _log_sums(wide[i : i + 512] @ table, some, *high)
         return out
 
     def log_inside(self, pred: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log probability of each token inside its class; 0 where a class has one token or is that of others."""
         head, out = self.head, np.zeros(len(word), np.float32)
         at = np.flatnonzero(word >= head.first)
-        group = (word[at] - head.first) // head.group
+        group = ((word[at] - head.first) // head.group).astype(np.uint16)
         order = np.argsort(group, kind="stable")
         at, group = at[order], group[order]
         cuts = np.searchsorted(group, np.arange(head.classes - head.first + 1)) if len(at) else [0]
+        wide = np.column_stack((pred, np.ones(len(pred), np.float32)))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            table = self.inner[k * head.group : (k + 1) * head.group]
+            table = self.inner[k * head.group : (k + 1) * head.group, : DIM + 1]
             high = np.float32(np.sqrt((table[:, :DIM] ** 2).sum(1).max())), table[:, DIM].max()
             for rows in (at[i : min(i + 1024, b)] for i in range(a, b, 1024)):
-                some = pred.take(rows, axis=0)
-                s = some @ table[:, :DIM].T
-                s += table[:, DIM]
+                some = wide.take(rows, axis=0)
+                s = some @ table.T
                 mine = s[np.arange(len(rows)), word[rows] - head.first - k * head.group]
-                out[rows] = mine - _log_sums(s, some, *high)
+                out[rows] = mine - _log_sums(s, some[:, :DIM], *high)
         return out
 
 
@@ -189,7 +189,8 @@ class Trainer:
         low = group[first] * head.group
         size = np.minimum(head.group, head.grouped - low)
         drawn = low[:, None] + np.minimum((self.rng.random((len(low), INNER_NOISE)) * size[:, None]).astype(np.int64), size[:, None] - 1)
-        wide = np.column_stack((pred.take(at, axis=0), np.ones(len(at), np.float32)))
+        wide = np.zeros((len(at), DIM + 2), np.float32)
+        wide[:, :DIM], wide[:, DIM] = pred.take(at, axis=0), 1
         true, noise = self.m.inner.take(own, axis=0), self.m.inner.take(drawn, axis=0)
         chance = np.log(INNER_NOISE / size).astype(np.float32)
         spread = np.repeat(np.arange(len(low)), count)
@@ -198,7 +199,8 @@ class Trainer:
         g_true = -n / (1 + np.exp(np.clip(np.einsum("id,id->i", true, wide) - chance[spread], -30, 30)))
         g_false = n / (1 + np.exp(np.clip(chance[spread, None] - np.einsum("ikd,id->ik", near, wide), -30, 30)))
         g_pred[at] += g_true[:, None] * true[:, :DIM] + np.einsum("ik,ikd->id", g_false, near)[:, :DIM]
-        g_noise = np.add.reduceat(g_false[:, :, None] * wide[:, None, :], first, axis=0).reshape(-1, DIM + 1)
+        g_noise = (g_false[:, :, None] * wide[:, None, :]).reshape(len(at), -1).view(np.complex64)  # pairs are added at once
+        g_noise = np.add.reduceat(g_noise, first, axis=0).view(np.float32).reshape(-1, DIM + 2)
         self._apply(4, np.concatenate((own, drawn.ravel())), np.concatenate((g_true[:, None] * wide, g_noise)))
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
@@ -342,10 +344,11 @@ def _score(head_shared, flat_shared):
         for batch in steps(batches):
             codes, lengths, words, places = head.codes(batch.column("text"))
             word, context = head.contexts(codes, lengths)
-            pred = model.predict(context)
-            _, some, back = np.unique(context[:, 0].astype(np.int64) * head.size + context[:, 1], return_index=True, return_inverse=True)
-            kind = head.class_of[word]
-            exact = model.log_inside(pred, word) - model.log_norm(pred[some])[back]
+            distinct = pa.array(context[:, 0].astype(np.int64) * head.size + context[:, 1]).dictionary_encode()
+            met, back = np.asarray(distinct.dictionary), np.asarray(distinct.indices)
+            once = model.predict(np.column_stack(np.divmod(met, head.size)))
+            pred, kind = once.take(back, axis=0), head.class_of[word]
+            exact = model.log_inside(pred, word) - model.log_norm(once)[back]
             exact += np.einsum("ij,ij->i", pred, model.target.take(kind, axis=0)) + model.bias[kind]
             log10 = exact / np.log(10) + within[codes]
             text = np.repeat(np.arange(len(lengths)), lengths - 1)
