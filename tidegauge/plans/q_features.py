@@ -83,7 +83,7 @@ def a9_group_median_variance(spark, d):
 
 
 _MARKED = """mk AS (SELECT s.point, g.seg_id, s.pos, s.value FROM series s JOIN segments g ON s.point = g.point AND s.pos BETWEEN g.start_pos AND g.end_pos)"""
-_FEATURES = f"""{_MARKED}, st AS (SELECT *, value - lag(value) OVER (PARTITION BY point, seg_id ORDER BY pos) AS step FROM mk),
+FEATURES = f"""{_MARKED}, st AS (SELECT *, value - lag(value) OVER (PARTITION BY point, seg_id ORDER BY pos) AS step FROM mk),
   gl AS (SELECT point, avg(value) AS gm, max(value) - min(value) AS gr, stddev_pop(value) AS gs, count(*) AS gn FROM series GROUP BY 1),
   ow AS (SELECT point, seg_id, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, max(value) - min(value) AS rg, avg(step) AS dm, stddev_pop(step) AS ds FROM st GROUP BY 1, 2),
   ftr AS (SELECT point, seg_id, n, mean, std, dm, ds, mean / gm AS mean_ratio, rg / gr AS range_ratio, std / gs AS std_ratio, std / mean AS cv, CAST(n AS DOUBLE) / gn AS length_ratio FROM ow JOIN gl USING (point))"""
@@ -96,14 +96,14 @@ def marked_segments(spark, d):
     return s.join(expanded(g, "seg_id"), ["point", "pos"]).select("point", "seg_id", "pos", "value")
 
 
-@query(f"""WITH {fx.SEGMENTS}, {_FEATURES} SELECT point, seg_id, n, round(mean, 6) AS mean, round(std, 6) AS std, round(dm, 6) AS diff_mean, round(ds, 6) AS diff_std, round(mean_ratio, 6) AS mean_ratio,
+@query(f"""WITH {fx.SEGMENTS}, {FEATURES} SELECT point, seg_id, n, round(mean, 6) AS mean, round(std, 6) AS std, round(dm, 6) AS diff_mean, round(ds, 6) AS diff_std, round(mean_ratio, 6) AS mean_ratio,
   round(range_ratio, 6) AS range_ratio, round(std_ratio, 6) AS std_ratio, round(cv, 6) AS cv, round(length_ratio, 6) AS length_ratio FROM ftr""")
 def a10_segment_features(spark, d):
     f = ft.segment_features(fx.event_series(spark, d), marked_segments(spark, d)).drop("skew", "kurt")
     return rounded(f, 6, *[c for c in f.columns if c not in ("point", "seg_id", "n")])
 
 
-@query(f"""WITH {fx.SEGMENTS}, {_FEATURES} SELECT point, CASE WHEN range_ratio >= 0.5 THEN 'global' ELSE 'local' END AS cluster, count(*) AS n_segments, round(avg(mean_ratio), 5) AS mean_ratio, round(max(range_ratio), 6) AS range_ratio FROM ftr GROUP BY 1, 2""")
+@query(f"""WITH {fx.SEGMENTS}, {FEATURES} SELECT point, CASE WHEN range_ratio >= 0.5 THEN 'global' ELSE 'local' END AS cluster, count(*) AS n_segments, round(avg(mean_ratio), 5) AS mean_ratio, round(max(range_ratio), 6) AS range_ratio FROM ftr GROUP BY 1, 2""")
 def c36_cluster_features(spark, d):
     f = ft.segment_features(fx.event_series(spark, d), marked_segments(spark, d))
     c = F.when(F.col("range_ratio") >= 0.5, "global").otherwise("local").alias("cluster")

@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 
 from tidegauge.operators import labels as lb
 from tidegauge.operators import split as sp
+from tidegauge.operators.features import segment_features
 from tidegauge.plans import fixtures as fx
+from tidegauge.plans.q_features import FEATURES, marked_segments
 from tidegauge.plans.registry import query
+from tidegauge.sources.scratch import settled
 from tidegauge.streaming.logs import latest
 
 _IN = "mk AS (SELECT g.*, s.pos, s.value FROM segments g JOIN series s ON s.point = g.point AND s.pos BETWEEN start_pos AND end_pos)"
@@ -35,11 +38,58 @@ def w22_quadratic_replacement(spark, d):
     return r.select("point", "pos", F.round("fitted", 4).alias("fitted"))
 
 
-@query()
+def _extended_sql(segments: str) -> str:
+    return f"""ends AS (SELECT point, max(pos) AS last FROM series GROUP BY 1),
+  cand AS (SELECT g.point, seg_id, k, greatest(0, start_pos - k * (end_pos - start_pos + 1)) AS a, least(last, end_pos + k * (end_pos - start_pos + 1)) AS b FROM {segments} g JOIN ends USING (point), range(0, 11) t(k)),
+  sds AS (SELECT c.point, seg_id, k, a, b, round(stddev_pop(value), 6) AS sd FROM cand c JOIN series s ON s.point = c.point AND s.pos BETWEEN a AND b GROUP BY ALL),
+  lagged AS (SELECT *, coalesce(sd <= lag(sd) OVER (PARTITION BY point, seg_id ORDER BY k), false)::INT AS stuck FROM sds),
+  grown AS (SELECT *, sum(stuck) OVER (PARTITION BY point, seg_id ORDER BY k) AS bad FROM lagged),
+  wide AS (SELECT point, seg_id, arg_max(a, k) AS start_pos, arg_max(b, k) AS end_pos FROM grown WHERE bad = 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {fx.SEGMENTS}, {_extended_sql('segments')} SELECT * FROM wide")
 def w20_extended_segments(spark, d):
     return sp.extended(fx.event_series(spark, d), fx.segment_table(spark, d))
 
 
+@query(f"""WITH {fx.SEGMENTS}, ends AS (SELECT point, max(pos) AS last FROM series GROUP BY 1),
+  g AS (SELECT g.*, end_pos - start_pos + 1 AS n, greatest(0, start_pos - (end_pos - start_pos + 1)) AS lo, least(last, end_pos + end_pos - start_pos + 1) AS hi FROM segments g JOIN ends USING (point) WHERE end_pos > start_pos),
+  sides AS (SELECT g.*, round(coalesce(stddev_pop(value) FILTER (WHERE pos > end_pos), 0), 6) > round(coalesce(stddev_pop(value) FILTER (WHERE pos < start_pos), 0), 6) AS later FROM g JOIN series s ON s.point = g.point AND s.pos BETWEEN lo AND hi GROUP BY ALL),
+  cand AS (SELECT point, seg_id, n, unnest(range(CASE WHEN later THEN start_pos ELSE lo END, CASE WHEN later THEN hi ELSE end_pos END - n + 2)) AS a FROM sides),
+  sds AS (SELECT c.point, seg_id, a, a + n - 1 AS b, round(stddev_pop(value), 6) AS sd FROM cand c JOIN series s ON s.point = c.point AND s.pos BETWEEN a AND a + n - 1 GROUP BY ALL)
+  SELECT point, seg_id, a AS start_pos, b AS end_pos, sd FROM sds WHERE sd > 0 QUALIFY row_number() OVER (PARTITION BY point, seg_id ORDER BY sd DESC, a) = 1""")
+def w19_refined_segments(spark, d):
+    return sp.refined(fx.event_series(spark, d), fx.segment_table(spark, d))
+
+
+@query(f"""WITH {fx.MASKED}, runs AS (SELECT point, pos, pos - row_number() OVER (PARTITION BY point ORDER BY pos) AS r FROM masked WHERE mask = 1),
+  segments AS (SELECT point, row_number() OVER (PARTITION BY point ORDER BY min(pos)) AS seg_id, min(pos) AS start_pos, max(pos) AS end_pos FROM runs GROUP BY point, r), {_IN},
+  c AS (SELECT point, seg_id, start_pos, end_pos, round(CASE WHEN avg(value) != 0 THEN stddev_pop(value) / abs(avg(value)) ELSE 0 END, 9) AS cv FROM mk GROUP BY 1, 2, 3, 4),
+  chosen AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY point ORDER BY cv DESC, seg_id) <= greatest(1, floor(count(*) OVER (PARTITION BY point) * 0.5 + 1e-9))), {_extended_sql('chosen')}
+  SELECT s.point, s.pos, max(w.seg_id IS NOT NULL)::INT AS mask FROM series s LEFT JOIN wide w ON w.point = s.point AND s.pos BETWEEN w.start_pos AND w.end_pos GROUP BY 1, 2""")
+def w25_post_processed_mask(spark, d):
+    hits = fx.masked_series(spark, d).where("mask = 1").select("point", "pos")
+    return sp.post_processed(fx.event_series(spark, d), hits).select("point", "pos", "mask")
+
+
+_MOVES = "".join(
+    f""", d{i} AS (SELECT *, round(power(x - hx, 2) + power(y - hy, 2), 6) < round(power(x - lx, 2) + power(y - ly, 2), 6) AS high FROM z JOIN c{i} USING (point)),
+  c{i + 1} AS (SELECT point, {", ".join(f"round(coalesce(avg({c}) FILTER (WHERE {'' if e == 'h' else 'NOT '}high), any_value({e}{c})), 6) AS {e}{c}" for e in "lh" for c in "xy")} FROM d{i} GROUP BY 1)"""
+    for i in range(6)
+)
+
+
+@query(f"""WITH {fx.SEGMENTS}, {FEATURES}, r AS (SELECT point, seg_id, coalesce(mean_ratio, 0) AS mr, coalesce(range_ratio, 0) AS rr FROM ftr),
+  sc AS (SELECT point, avg(mr) AS mm, stddev_pop(mr) AS sm, avg(rr) AS ma, stddev_pop(rr) AS sa FROM r GROUP BY 1),
+  z AS (SELECT point, seg_id, rr, round(CASE WHEN sm > 1e-12 THEN (mr - mm) / sm ELSE 0 END, 6) AS x, round(CASE WHEN sa > 1e-12 THEN (rr - ma) / sa ELSE 0 END, 6) AS y FROM r JOIN sc USING (point)),
+  c0 AS (SELECT point, arg_min(x, (y, seg_id)) AS lx, arg_min(y, (y, seg_id)) AS ly, arg_max(x, (y, -seg_id)) AS hx, arg_max(y, (y, -seg_id)) AS hy FROM z GROUP BY 1){_MOVES},
+  m AS (SELECT point, round(avg(rr) FILTER (WHERE high), 9) AS mh, round(avg(rr) FILTER (WHERE NOT high), 9) AS ml FROM d5 GROUP BY 1)
+  SELECT point, seg_id, high = coalesce(mh >= ml, mh IS NOT NULL) AS is_global FROM d5 JOIN m USING (point)""")
+def c11_split_by_two_means(spark, d):
+    features = segment_features(fx.event_series(spark, d), marked_segments(spark, d)).select("point", "seg_id", "mean_ratio", "range_ratio")
+    return sp.split_by_two_means(settled(features, "segment-features"))
+
+
 @query(f"""WITH {fx.SEGMENTS}, r AS (SELECT point, start_pos // 50 AS rec, start_pos, end_pos FROM segments) SELECT point, rec, count(*) AS n,
   string_agg('{{"status":"success","detected_anomalies":[{{"interval":[' || start_pos || ',' || end_pos || '],"type":"' || point || '"}}]}}', ',' ORDER BY start_pos) AS answer FROM r GROUP BY 1, 2""")
 def c27_annotation_to_conversation(spark, d):
