@@ -68,8 +68,8 @@ def numbered_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("seg_id", F.row_number().over(W.partitionBy("point").orderBy("start_pos", "end_pos")).cast("long"))
 
 
-def bridged(hits: DataFrame, gap: int) -> DataFrame:
-    """Hits, and the positions between two hits that are at most `gap` apart, as segments."""
+def bridged(hits: DataFrame, gap: int | Column) -> DataFrame:
+    """Hits, and the positions between two hits that are at most `gap` (of the later hit) apart, as segments."""
     w = by_point()
     new = F.coalesce((F.col("pos") - F.lag("pos").over(w) > gap).cast("int"), F.lit(1))
     runs = hits.withColumn("_n", new).withColumn("run", F.sum("_n").over(w)).groupBy("point", "run")
@@ -153,14 +153,57 @@ def prefix_sums(series: DataFrame, value: str = "value", powers: int = 2) -> Dat
     return out.drop("_d")
 
 
-def running(column: str, back: int, ahead: int) -> tuple[Column, Column]:
-    """Sum and row count of the frame [-back, ahead] from a running sum, without a scan of the frame."""
-    w = by_point()
-    i, n = F.row_number().over(w), F.count(F.lit(1)).over(all_rows())
-    total = F.last(column).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    last = F.when(i + ahead <= n, F.lead(column, ahead).over(w)).otherwise(total)
-    before = F.coalesce(F.lag(column, back + 1).over(w), F.lit(0.0))
-    return last - before, F.least(i - 1, F.lit(back)) + 1 + F.least(n - i, F.lit(ahead))
+#: Rows of a point that one task sorts at a time, at least; a longer frame makes larger blocks.
+BLOCK = 65_536
+
+
+def haloed(series: DataFrame, back: int, ahead: int, size: int | None = None) -> DataFrame:
+    """Rows dealt to blocks of consecutive positions, with `back` rows before each block and `ahead` after it: columns
+    _block, and _own for the rows that are no copies. Frames within these bounds need no other block of the point."""
+    size = size or max(BLOCK, back + ahead + 1)
+    at = lambda shift: F.floor((F.col("pos") + shift) / size)
+    spread = series.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), at(-ahead)), at(back))))
+    return spread.withColumn("_own", F.col("_block") == at(0))
+
+
+def framed(series: DataFrame, frames: dict[str, tuple[int, int]], value: str = "value", powers: int = 1) -> DataFrame:
+    """series with, for each frame [first, last] around a row, cut at the ends of the point: rows `{name}_n`, known values
+    `{name}_k`, and sums `{name}_s1`, ... of powers of the known values less their mean over the point (`centre`).
+
+    Sums are differences of running sums inside a block, so a frame's length costs nothing and no task sorts a point."""
+    back, ahead = max(1 - min(f for f, _ in frames.values()), 0), max(max(f for _, f in frames.values()), 0)
+    centres = series.groupBy("point").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("centre"))
+    d = haloed(series.join(centres, "point"), back, ahead).withColumn("_d", F.col(value) - F.col("centre"))
+    block = W.partitionBy("point", "_block")
+    order = block.orderBy("pos")
+    parts = {"n": F.lit(1), "k": F.col("_d").isNotNull().cast("int")} | {f"s{p}": F.coalesce(F.pow("_d", F.lit(p)), F.lit(0.0)) for p in range(1, powers + 1)}
+    d = d.withColumns({f"_upto_{k}": F.sum(c).over(order) for k, c in parts.items()} | {f"_all_{k}": F.sum(c).over(block) for k, c in parts.items()})
+
+    def at(part: str, shift: int) -> Column:
+        upto = F.col(f"_upto_{part}")
+        if shift == 0:
+            return upto
+        return F.coalesce(F.lead(upto, shift).over(order), F.col(f"_all_{part}")) if shift > 0 else F.coalesce(F.lag(upto, -shift).over(order), F.lit(0))
+
+    d = d.withColumns({f"{name}_{part}": at(part, last) - at(part, first - 1) for name, (first, last) in frames.items() for part in parts})
+    return d.where("_own").select(*series.columns, "centre", *[f"{name}_{part}" for name in frames for part in parts])
+
+
+def neighbour_known(df: DataFrame, *columns: str) -> DataFrame:
+    """Each null of the columns becomes the next known value of its point, or the last before where none follows. Blocks
+    are filled inside; what they need of others comes from one row a block."""
+    d = df.withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    own = W.partitionBy("point", "_block").orderBy("pos")
+    edge = lambda f, c: f(c, F.when(F.col(c).isNotNull(), F.col("pos")))
+    sums = d.groupBy("point", "_block").agg(*[x for c in columns for x in (edge(F.min_by, c).alias(f"_first_{c}"), edge(F.max_by, c).alias(f"_last_{c}"))])
+    # one row a block; backwards as a frame that grows
+    later = W.partitionBy("point").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("point").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    near = sums.select("point", "_block", *[x for c in columns for x in (F.last(f"_first_{c}", True).over(later).alias(f"_next_{c}"), F.last(f"_last_{c}", True).over(before).alias(f"_prev_{c}"))])
+    back = W.partitionBy("point", "_block").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
+    ahead = own.rowsBetween(W.unboundedPreceding, 0)
+    fill = {c: F.coalesce(F.last(c, True).over(back), F.col(f"_next_{c}"), F.last(c, True).over(ahead), F.col(f"_prev_{c}")) for c in columns}
+    return d.join(near, ["point", "_block"]).withColumns(fill).select(*df.columns)
 
 
 def next_known(value: Column, order: str = "pos") -> Column:

@@ -69,12 +69,17 @@ def hits_hbos(series: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def hits_drift(series: DataFrame, scales: tuple[tuple[int, int], ...] = ((100, 3), (3000, 100), (100_000, 2000)), th: float = 5.0) -> DataFrame:
-    """Union of hits over double rolling differences at several scales."""
-    out = None
-    for left, right in scales:
-        hits = hits_nonzero_nsigma(ft.double_rolling(series, left, right), th, "drift").select("point", "pos")
-        out = hits if out is None else out.union(hits)
-    return out.distinct()
+    """(point, pos) over th deviations from the mean in the double rolling difference of any scale, both taken over
+    differences that are not zero. All scales share one pass over the rows and one aggregation."""
+    d = ft.drifts(series.select("point", "pos", "value"), scales)
+    names = [c for c in d.columns if c.startswith("drift_")]
+    known = {c: F.when(F.col(c) != 0, F.col(c)) for c in names}
+    scale = d.groupBy("point").agg(*[f(x).alias(f"{n}_{c}") for c, x in known.items() for n, f in (("mean", F.avg), ("dev", F.stddev_pop))])
+    far = [F.abs(F.col(c) - F.col(f"mean_{c}")) > th * F.col(f"dev_{c}") for c in names]
+    any_far = far[0]
+    for f in far[1:]:
+        any_far |= f
+    return d.join(scale, "point").where(any_far).select("point", "pos").distinct()
 
 
 def chord_knee(curve: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -204,6 +209,10 @@ def windows(series: DataFrame, length: int, overlap: float) -> DataFrame:
 
 
 def isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: int = 256, bridge: int = 5, seed: int = 7) -> DataFrame:
+    return bridged(hits_isolation(series, share, trees, sample, seed), bridge)
+
+
+def hits_isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: int = 256, seed: int = 7) -> DataFrame:
     """Isolation scores on one value: seeded samples of 256 rows a point and tree, depth of each value in the trees,
     and the `share` of rows that are isolated first. Trees are small tables joined to their point's rows."""
     picks = None
@@ -245,7 +254,7 @@ def isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: i
 
     scored = series.where("value is not null").select("point", "pos", "value").join(samples, "point").mapInPandas(score, "point string, pos long, depth double")
     rank = F.percent_rank().over(W.partitionBy("point").orderBy("depth"))
-    return bridged(scored.withColumn("_r", rank).where(F.col("_r") < share), bridge)
+    return scored.withColumn("_r", rank).where(F.col("_r") < share).select("point", "pos")
 
 
 def polynomial_residual(series: DataFrame, degree: int = 12) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidegauge.operators.clean import constant_share
-from tidegauge.operators.core import all_rows, by_point, next_known, prefix_sums, rows, running
+from tidegauge.operators.core import all_rows, by_point, framed, neighbour_known, rows
+from tidegauge.operators.smoothing import smooth
 
 
 def scaled(series: DataFrame, value: str = "value") -> DataFrame:
@@ -109,29 +110,31 @@ def segment_features(series: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def double_rolling(series: DataFrame, left: int, right: int) -> DataFrame:
-    """abs(mean of this and the next rows, `right` in all, less the mean of the `left` rows before); 0 where either
-    is not full. Means come from prefix sums, so a frame's length costs nothing."""
-    p = prefix_sums(series, powers=1)
-    w = by_point()
-    upto = F.lag("s1", 1).over(w)
-    ahead = (F.lead("s1", right - 1).over(w) - F.coalesce(upto, F.lit(0.0))) / right
-    back = (upto - F.coalesce(F.lag("s1", left + 1).over(w), F.lit(0.0))) / left
-    out = p.withColumn("_a", ahead).withColumn("_b", F.when(F.col("pos") >= left, back))
-    return out.withColumn("drift", F.coalesce(F.abs(F.col("_a") - F.col("_b")), F.lit(0.0))).drop("_a", "_b", "s1", "centre")
+    """`drift` at one scale (see drifts)."""
+    return drifts(series, ((left, right),)).withColumnRenamed("drift_0", "drift")
+
+
+def drifts(series: DataFrame, scales: tuple[tuple[int, int], ...]) -> DataFrame:
+    """drift_0, drift_1, ... for scales (left, right): abs(mean of this and the next rows, `right` in all, less the mean of
+    the `left` rows before); 0 where either frame is cut by an end of the point or has no known value. Nulls count as
+    rows, not as values."""
+    frames = {f"_{side}{i}": (0, right - 1) if side == "a" else (-left, -1) for i, (left, right) in enumerate(scales) for side in "ab"}
+    d = framed(series, frames)
+    mean = lambda f, size: F.when(F.col(f"{f}_n") == size, F.col(f"{f}_s1") / F.nullif(F.col(f"{f}_k"), F.lit(0)))
+    out = {f"drift_{i}": F.coalesce(F.abs(mean(f"_a{i}", right) - mean(f"_b{i}", left)), F.lit(0.0)) for i, (left, right) in enumerate(scales)}
+    return d.withColumns(out).select(*series.columns, *out)
 
 
 def centred_rolling(series: DataFrame, width: int) -> DataFrame:
-    """Mean and sample deviation of the `width` rows around each row, where the frame is full; next, then last known
-    values elsewhere."""
+    """Mean and sample deviation of the known values in the `width` rows around each row, where the frame is whole;
+    next, then last known results elsewhere."""
     half = width // 2
-    p = prefix_sums(series)
-    (s1, n), (s2, _) = running("s1", half, width - half - 1), running("s2", half, width - half - 1)
-    p = p.withColumn("_s1", s1).withColumn("_s2", s2).withColumn("_n", n)
-    full = F.col("_n") == width
-    mean = F.when(full, F.col("centre") + F.col("_s1") / width)
-    std = F.when(full, F.sqrt(F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / width) / (width - 1))))
-    p = p.withColumn("_m", mean).withColumn("_d", std)
-    return p.select(*series.columns, next_known(F.col("_m")).alias("roll_mean"), next_known(F.col("_d")).alias("roll_std"))
+    d = framed(series, {"_f": (-half, width - half - 1)}, powers=2)
+    full, k = F.col("_f_n") == width, F.col("_f_k")
+    mean = F.when(full & (k > 0), F.col("centre") + F.col("_f_s1") / k)
+    std = F.when(full & (k > 1), F.sqrt(F.greatest(F.lit(0.0), (F.col("_f_s2") - F.col("_f_s1") * F.col("_f_s1") / k) / (k - 1))))
+    d = d.select(*series.columns, mean.alias("roll_mean"), std.alias("roll_std"))
+    return neighbour_known(d, "roll_mean", "roll_std")
 
 
 def dilation(series: DataFrame, k: int, value: str = "value", name: str = "dilated") -> DataFrame:
@@ -155,11 +158,11 @@ def closing(series: DataFrame, k: int) -> DataFrame:
 
 
 def moving_average(series: DataFrame, width: int) -> DataFrame:
-    """Centred mean over full frames of odd width, null at the ends (order-1 polynomial smoothing inside)."""
+    """Centred mean of the known values over whole frames of odd width, null at the ends."""
     half = width // 2
-    s, n = running("s1", half, half)
-    p = prefix_sums(series, powers=1).withColumn("_s", s).withColumn("_n", n)
-    return p.select(*series.columns, F.when(F.col("_n") == width, F.col("centre") + F.col("_s") / width).alias("smooth"))
+    d = framed(series, {"_f": (-half, half)})
+    mean = F.when(F.col("_f_n") == width, F.col("centre") + F.col("_f_s1") / F.nullif(F.col("_f_k"), F.lit(0)))
+    return d.select(*series.columns, mean.alias("smooth"))
 
 
 def cubic_smooth(series: DataFrame, width: int) -> DataFrame:
@@ -234,22 +237,31 @@ def wavelet_energy(series: DataFrame, level: int = 5) -> DataFrame:
 
 
 def high_frequency_share(series: DataFrame, segment: int = 256, cut: float = 0.1) -> DataFrame:
-    """Share of Welch energy at or above cut times the sampling rate: Hann segments with half overlap, means removed."""
+    """Share of Welch energy at or above cut times the sampling rate: Hann segments with half overlap, means removed. A
+    point of fewer rows is one segment; nulls count as 0."""
     half = segment // 2
     n = F.count("*").over(all_rows())
-    dealt = series.withColumn("_n", n).select("point", "pos", "value", "_n", F.explode(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1)).alias("seg"))
-    whole = dealt.where((F.col("seg") >= 0) & ((F.col("seg") + 2) * half <= F.col("_n")))
+    place = F.floor(F.col("pos") / half)
+    segments = F.when(F.col("_n") < segment, F.array(F.lit(0).cast("long"))).otherwise(F.array(place, place - 1))
+    dealt = series.withColumn("_n", n).select("point", "pos", "value", "_n", F.explode(segments).alias("seg"))
+    whole = dealt.where((F.col("_n") < segment) | (F.col("seg") >= 0) & ((F.col("seg") + 2) * half <= F.col("_n")))
     arrays = whole.groupBy("point", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda s: s["value"]).alias("x"))
 
     @F.pandas_udf("array<double>")
     def power(x: pd.Series) -> pd.Series:
-        a = np.stack(x.to_numpy()) if len(x) else np.empty((0, segment))
-        window = np.hanning(segment + 1)[:-1]
-        p = np.abs(np.fft.rfft((a - a.mean(1, keepdims=True)) * window, axis=1)) ** 2
-        return pd.Series(list(p))
+        out = pd.Series([None] * len(x), dtype=object)
+        sizes = x.map(len)
+        for size in sizes.unique():
+            at = np.flatnonzero(sizes == size)
+            a = np.stack(x.to_numpy()[at])
+            window = np.hanning(size + 1)[:-1]
+            p = np.abs(np.fft.rfft((a - a.mean(1, keepdims=True)) * window, axis=1)) ** 2
+            for k, row in zip(at, p):
+                out.iat[k] = row
+        return out
 
-    spectra = arrays.select("point", F.posexplode(power("x")).alias("freq", "p")).groupBy("point", "freq").agg(F.avg("p").alias("p"))
-    return spectra.groupBy("point").agg((F.sum(F.when(F.col("freq") >= cut * segment, F.col("p")).otherwise(0.0)) / F.sum("p")).alias("high_share"))
+    spectra = arrays.select("point", F.size("x").alias("size"), F.posexplode(power("x")).alias("freq", "p")).groupBy("point", "size", "freq").agg(F.avg("p").alias("p"))
+    return spectra.groupBy("point").agg((F.sum(F.when(F.col("freq") >= cut * F.col("size"), F.col("p")).otherwise(0.0)) / F.nullif(F.sum("p"), F.lit(0.0))).alias("high_share"))
 
 
 def noisy(series: DataFrame, limit: float = 0.45) -> DataFrame:
@@ -257,9 +269,11 @@ def noisy(series: DataFrame, limit: float = 0.45) -> DataFrame:
     return both.withColumn("noise", (F.col("high_share") + F.col("detail_share")) / 2).withColumn("is_noisy", F.col("noise") > limit)
 
 
-def seasonal_trend(series: DataFrame, period: int) -> DataFrame:
-    """Trend (centred moving average), seasonal (mean of the detrended phase, centred) and residual."""
-    t = moving_average(series, period if period % 2 else period + 1).withColumnRenamed("smooth", "trend")
+def seasonal_trend(series: DataFrame, period: int, ends: bool = False) -> DataFrame:
+    """Trend (centred moving average), seasonal (mean of the detrended phase, centred) and residual. The first and last
+    half period have no trend, or with `ends` that of a line through the first or last whole one."""
+    width = period if period % 2 else period + 1
+    t = (smooth(series, width, 1) if ends else moving_average(series, width)).withColumnRenamed("smooth", "trend")
     phase = W.partitionBy("point", F.col("pos") % period)
     t = t.withColumn("_s", F.avg(F.col("value") - F.col("trend")).over(phase))
     level = t.groupBy("point", (F.col("pos") % period).alias("p")).agg(F.first("_s").alias("s")).groupBy("point").agg(F.avg("s").alias("_level"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import density as dn
 from tidegauge.operators import mean_shift as ms
+from tidegauge.operators import residual as rs
 from tidegauge.operators.features import segment_features
 from tidegauge.plans import fixtures as fx
+from tidegauge.plans.q_clean import _m4_sql
 from tidegauge.plans.q_detect import _runs
 from tidegauge.plans.q_features import _hist
 from tidegauge.plans.q_features import FEATURES, marked_segments
@@ -73,3 +75,62 @@ def c8_mean_shift_cascade(spark, d):
 def c10_split_by_density(spark, d):
     features = segment_features(fx.event_series(spark, d), marked_segments(spark, d)).select("point", "seg_id", "mean_ratio", "range_ratio")
     return dn.split_by_density(settled(features, "segment-features"))
+
+
+# a step point, a noisy point, and three seasonal ones with a high stretch, a dead stretch and small dents
+_KINDS = """CASE point WHEN 'click' THEN CAST(50 * floor(pos * 5 / n) AS DOUBLE) WHEN 'error' THEN 2 * u - 1
+      WHEN 'purchase' THEN 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 + CASE WHEN k BETWEEN 500 AND 519 THEN 60 ELSE 0 END
+      WHEN 'signup' THEN CASE WHEN k BETWEEN 800 AND 849 THEN 0 ELSE 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 END
+      ELSE 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 + CASE WHEN k IN (150, 550) THEN -6 ELSE 0 END END"""
+KINDS = f"""placed AS (SELECT event_type AS point, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n, ts, value, {_U} AS u FROM events),
+  kinds AS (SELECT point, pos, ts, {_KINDS.replace("k BETWEEN", "pos * 1000 // n BETWEEN").replace("k IN", "pos * 1000 // n IN")} AS value FROM placed)"""
+
+
+def kinds_series(spark, d):
+    """Event series reshaped into a step point, a noisy one and seasonal ones."""
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("point"), "ts", "event_id", F.expr(_U).alias("u"))
+    s = fx.with_positions(e, "event_id").withColumn("pos", F.col("pos").cast("long"))
+    s = s.join(s.groupBy("point").agg(F.count("*").alias("n")), "point").withColumn("k", F.floor(F.col("pos") * 1000 / F.col("n")))
+    return settled(s.select("point", "pos", "ts", F.expr(_KINDS).alias("value")), "kinds")
+
+
+def _component_sql(c: str) -> str:
+    """Bridged segments of a component by the Haar residual of its scaled values."""
+    return f"""{c}_e AS (SELECT point, min({c}) AS a, max({c}) AS b, count(*) AS n FROM comp GROUP BY 1), {c}_v AS (SELECT point, pos, n, CASE WHEN a = b THEN {c} ELSE ({c} - a) / (b - a) END AS v FROM comp JOIN {c}_e USING (point)),
+  {c}_2 AS (SELECT point, pos // 2 AS k, avg(v) AS m FROM {c}_v GROUP BY 1, 2), {c}_4 AS (SELECT point, k // 2 AS k, avg(m) AS m FROM {c}_2 GROUP BY 1, 2), {c}_8 AS (SELECT point, k // 2 AS k, avg(m) AS m FROM {c}_4 GROUP BY 1, 2),
+  {c}_r AS (SELECT s.point, s.pos, n, v - m AS r FROM {c}_v s JOIN {c}_8 q ON q.point = s.point AND q.k = s.pos // 8), {c}_m AS (SELECT point, avg(r) AS m, stddev_pop(r) AS d FROM {c}_r GROUP BY 1),
+  {c}_h AS (SELECT s.point, pos, CAST(floor(n * 0.01) AS BIGINT) AS gap FROM {c}_r s JOIN {c}_m USING (point) WHERE abs(r - m) > 3 * d),
+  {c}_b AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY point ORDER BY pos) <= gap THEN 0 ELSE 1 END AS new FROM {c}_h), {c}_g AS (SELECT *, sum(new) OVER (PARTITION BY point ORDER BY pos) AS g FROM {c}_b),
+  {c}_s AS (SELECT point, unnest(range(min(pos), max(pos) + 1)) AS pos FROM {c}_g GROUP BY point, g)"""
+
+
+# the kinds of the points are known from how they are made, so the gates are lists; 96 rows are a season, 97 a frame
+_PIPELINE = f"""{KINDS}, raw AS (SELECT * FROM kinds QUALIFY row_number() OVER (PARTITION BY point, ts ORDER BY pos) = 1), {_m4_sql('one AS (SELECT 1)', 'raw', 800)},
+  smp AS (SELECT point, ds_pos AS pos, orig_pos, ts, value FROM ds), op AS (SELECT * FROM smp WHERE point NOT IN ('click', 'error')), nn AS (SELECT point, count(*) AS n FROM op GROUP BY 1),
+  fl AS (SELECT point, regr_slope(value, pos) FILTER (WHERE pos < 97) AS b1, regr_intercept(value, pos) FILTER (WHERE pos < 97) AS a1, regr_slope(value, pos) FILTER (WHERE pos >= n - 97) AS b2, regr_intercept(value, pos) FILTER (WHERE pos >= n - 97) AS a2 FROM op JOIN nn USING (point) GROUP BY 1),
+  tr AS (SELECT point, pos, value, CASE WHEN pos <= 48 THEN a1 + b1 * pos WHEN pos >= n - 49 THEN a2 + b2 * pos ELSE avg(value) OVER (PARTITION BY point ORDER BY pos ROWS BETWEEN 48 PRECEDING AND 48 FOLLOWING) END AS trend FROM op JOIN nn USING (point) JOIN fl USING (point)),
+  ph AS (SELECT point, pos % 96 AS p, avg(value - trend) AS s FROM tr GROUP BY 1, 2), lv AS (SELECT point, avg(s) AS l FROM ph GROUP BY 1),
+  comp AS (SELECT tr.point, tr.pos, trend, value - trend - (s - l) AS residual FROM tr JOIN ph ON ph.point = tr.point AND ph.p = tr.pos % 96 JOIN lv ON lv.point = tr.point),
+  {_component_sql('trend')}, {_component_sql('residual')}, ad AS (SELECT point, pos, count(*) AS outlier_mask FROM (SELECT * FROM trend_s UNION ALL SELECT * FROM residual_s) GROUP BY 1, 2),
+  rg AS (SELECT point, pos, pos - row_number() OVER (PARTITION BY point ORDER BY pos) AS g FROM ad), ra AS (SELECT rg.point, g, max(abs(value)) - min(abs(value)) AS r FROM rg JOIN smp s ON s.point = rg.point AND s.pos = rg.pos GROUP BY 1, 2),
+  wh AS (SELECT point, max(abs(value)) - min(abs(value)) AS w FROM smp GROUP BY 1), sd AS (SELECT rg.point, rg.pos, r / w >= 0.5 AS is_global FROM rg JOIN ra ON ra.point = rg.point AND ra.g = rg.g JOIN wh ON wh.point = rg.point),
+  ci AS (SELECT *, CASE WHEN pos = 0 OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS c FROM op WINDOW w AS (PARTITION BY point ORDER BY pos)), gi AS (SELECT *, sum(c) OVER (PARTITION BY point ORDER BY pos) AS g FROM ci),
+  dd AS (SELECT point, pos FROM gi WHERE value = 0 QUALIFY max(ts) OVER (PARTITION BY point, g) - min(ts) OVER (PARTITION BY point, g) > INTERVAL 72000 SECOND),
+  res AS (SELECT s.point, s.pos, s.orig_pos, coalesce(outlier_mask, 0) AS outlier_mask, CASE WHEN coalesce(is_global, false) OR dd.pos IS NOT NULL THEN 1 ELSE 0 END AS global_mask, CASE WHEN NOT is_global THEN 1 ELSE 0 END AS local_mask
+    FROM smp s LEFT JOIN ad ON ad.point = s.point AND ad.pos = s.pos LEFT JOIN sd ON sd.point = s.point AND sd.pos = s.pos LEFT JOIN dd ON dd.point = s.point AND dd.pos = s.pos)"""
+
+
+def _pipeline(spark, d, **kw):
+    return rs.residual_pipeline(kinds_series(spark, d), 800, th=3.0, period=96, range_th=0.5, **kw)
+
+
+@query(f"WITH {_PIPELINE} SELECT point, pos, orig_pos, CAST(outlier_mask AS INTEGER) AS outlier_mask, global_mask, local_mask, global_mask AS global_mask_cluster, local_mask AS local_mask_cluster FROM res")
+def c15_residual_pipeline(spark, d):
+    return _pipeline(spark, d).select("point", "pos", "orig_pos", *rs.MASKS)
+
+
+@query(f"""WITH {_PIPELINE}, gg AS (SELECT point, orig_pos, pos - row_number() OVER (PARTITION BY point ORDER BY pos) AS g FROM res WHERE global_mask = 1), sp AS (SELECT point, min(orig_pos) AS a, max(orig_pos) AS b FROM gg GROUP BY point, g)
+  SELECT k.point, k.pos, max(CASE WHEN sp.point IS NULL THEN 0 ELSE 1 END) AS global_mask FROM kinds k LEFT JOIN sp ON sp.point = k.point AND k.pos BETWEEN a AND b GROUP BY 1, 2""")
+def c15_residual_raw_rows(spark, d):
+    found = settled(_pipeline(spark, d), "found")
+    return rs.to_raw_rows(kinds_series(spark, d), found).select("point", "pos", "global_mask")
