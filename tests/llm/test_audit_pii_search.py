@@ -226,3 +226,19 @@ def test_accumulators_are_limited():
     best = Watched(2)
     ranked_search.Postings(index, 5, 7).search(np.array([0, 1]), np.array([1000, 1]), best)
     assert seen == [[0, 1]] and best.doc.tolist() == [1, 0]
+
+
+def test_texts_of_one_id_stay_apart(spark, monkeypatch):
+    """Two texts of one id with equal 32-bit hashes: the second shares no word with any other document."""
+    from pyspark.sql import functions as F
+
+    from tidegauge.llm.substring_dedup import substring_duplicates
+
+    words = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    many = spark.range(400_000).select(F.concat(F.lit(words("q") + " "), F.col("id")).alias("text")).withColumn("h", F.hash("text"))
+    pair = many.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count("*").alias("n")).where("n > 1").first()
+    first, second = pair.a, pair.b
+    # both begin with the words of document 1, so only what follows could be mixed up
+    rows = [(1, words("q")), (7, first), (7, second), (8, words("z")), (None, first), (None, second)]
+    got = {(r.doc_id, r.text): r.n_removed for r in substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, words("q")): 0, (7, first): 20, (7, second): 20, (8, words("z")): 0, (None, first): 21, (None, second): 21}

@@ -25,8 +25,8 @@ than one row for it from each step, however common it is.
 
 Edge cases: a null text has no words; fewer than WINDOW words have no window; rows with equal doc_id do not remove
 from each other, nor do null ones; a null doc_id counts after every other id (ids from 2**63 - 2**32 on count as null);
-rows of one doc_id with different texts are told apart by 32 bits of text hash, null ones by 64; repeated rows are cut
-alike; a text of any length is parsed whole; carried columns must not bear a result's name; an empty table gives an
+rows that repeat a doc_id are told apart by 128 bits of text hash, null ones by 160, and ids that stand once need none;
+repeated rows are cut alike; a text of any length is parsed whole; carried columns must not bear a result's name; an empty table gives an
 empty result.
 """
 
@@ -43,15 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidegauge.llm.common import appended, splitmix, steps, texts_of
+from tidegauge.llm.common import appended, splitmix, steps, texts_of, written
 
 WINDOW, ANCHOR_WORDS = 13, 5
 ANCHOR_SPAN = WINDOW - ANCHOR_WORDS + 1
 #: Null ids are this number and 32 bits of text hash more, and equal in order.
 LAST = (1 << 63) - (1 << 32)
 #: Documents in the sample that names common anchors, the share of them that an anchor must be in, and the least number.
-SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.02, 50
-#: Bits of a place beside a key of 32 bits; further places go in a list.
+SAMPLE, COMMON_SHARE, COMMON_LEAST = 20_000, 0.005, 50
+#: Bits of a place that stands in a column of its own; further places go in a list.
 PLACE_BITS = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -149,11 +149,11 @@ def common_anchors(base: DataFrame) -> np.ndarray:
 
 
 def _phrase_rows(batches, common: np.ndarray, bits: int):
-    """Rows (anchor, phrase, at, doc, settled, more), the anchor negative and drawn from the phrase where it is common.
-    `at` is key << bits | place, a place being first window << 8 | windows; `more` has further places of the same phrase
-    in the document, and those beyond bits. A settled row lists, in `more`, places of a document whose phrase a
+    """Rows (anchor, phrase, doc, at, k1, k2, settled, more), the anchor negative and drawn from the phrase where it is
+    common. `at` is a place, first window << 8 | windows; `more` has further places of the same phrase in the document,
+    and those beyond bits. A settled row lists, in `more`, places of a document whose phrase a
     smaller document of the step has. Columns that are mostly zero stand last, where a shuffle packs them together."""
-    names = ["anchor", "phrase", "at", "doc", "settled", "more"]
+    names = ["anchor", "phrase", "doc", "at", "k1", "k2", "settled", "more"]
     for batch in steps(batches):
         words = Words(texts_of(batch.column("text")))
         anchor, phrase, start, count = phrases(words)
@@ -161,49 +161,49 @@ def _phrase_rows(batches, common: np.ndarray, bits: int):
             continue
         row = words.row_of()[start]
         place = (start - words.starts_of[row]) << 8 | count
-        doc, key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("key"))[row].astype(np.int64)
+        doc, k1, k2 = (np.asarray(batch.column(c))[row] for c in ("doc", "k1", "k2"))
         anchor = _short(anchor)
         anchor = np.where(np.isin(anchor, common), (phrase | HIGH).view(np.int64), anchor)
-        order = np.lexsort((place, key, doc, phrase, anchor))
-        anchor, phrase, key, doc, place = anchor[order], phrase[order].view(np.int64), key[order], doc[order], place[order]
+        order = np.lexsort((place, k2, k1, doc, phrase, anchor))
+        anchor, phrase, k1, k2, doc, place = anchor[order], phrase[order].view(np.int64), k1[order], k2[order], doc[order], place[order]
         new = _starts(anchor, phrase)
         later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
-        a, f, k, d, p = (c[~later] for c in (anchor, phrase, key, doc, place))
-        new = _starts(a, f, k, d)
+        a, f, k, l, d, p = (c[~later] for c in (anchor, phrase, k1, k2, doc, place))
+        new = _starts(a, f, k, l, d)
         wide = p >> bits != 0
         rest = ~new | wide
         sizes = np.add.reduceat(rest, np.flatnonzero(new), dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(sizes == 0, False)), pa.array(p[rest]))
-        at = (k << bits | np.where(wide, 0, p))[new]
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(f[new]), pa.array(at), pa.array(d[new]), pa.array(np.zeros(len(sizes), bool)), more], names=names)
+        at = np.where(wide, 0, p)[new]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (a[new], f[new], d[new], at, k[new], l[new], np.zeros(len(sizes), bool))), more], names=names)
         if later.any():
-            k, d, p = key[later], doc[later], place[later]
-            order = np.lexsort((d, k))
-            k, d, p = k[order], d[order], p[order]
-            new = _starts(k, d)
+            k, l, d, p = k1[later], k2[later], doc[later], place[later]
+            order = np.lexsort((d, l, k))
+            k, l, d, p = k[order], l[order], d[order], p[order]
+            new = _starts(k, l, d)
             n = int(new.sum())
             spread = splitmix(k[new].view(np.uint64) ^ splitmix(d[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(_short(spread)), pa.array(spread.view(np.int64)), pa.array(k[new] << bits), pa.array(d[new]), pa.array(np.ones(n, bool)), _lists(p, new)], names=names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (_short(spread), spread.view(np.int64), d[new], np.zeros(n, np.int64), k[new], l[new], np.ones(n, bool))), _lists(p, new)], names=names)
 
 
 def _window_rows(batches):
-    """Rows (h1, h2, key, doc, settled, places). Windows of the places in `open` go to their blocks, one row for a
+    """Rows (h1, h2, doc, k1, k2, settled, places). Windows of the places in `open` go to their blocks, one row for a
     window from each step; those that a smaller document of the step has, and the places in `done`, are settled."""
-    names = ["h1", "h2", "key", "doc", "settled", "places"]
+    names = ["h1", "h2", "doc", "k1", "k2", "settled", "places"]
 
-    def settled(key, doc, place):
-        order = np.lexsort((doc, key))
-        key, doc, place = key[order], doc[order], place[order]
-        new = _starts(key, doc)
-        spread = splitmix(key[new].astype(np.int64).view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(key[new]), pa.array(doc[new]), pa.array(np.ones(len(spread), bool)), _lists(place, new)], names=names)
+    def settled(doc, k1, k2, place):
+        order = np.lexsort((doc, k2, k1))
+        doc, k1, k2, place = doc[order], k1[order], k2[order], place[order]
+        new = _starts(doc, k1, k2)
+        spread = splitmix(k1[new].view(np.uint64) ^ splitmix(doc[new])).view(np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (spread, spread, doc[new], k1[new], k2[new], np.ones(len(spread), bool))), _lists(place, new)], names=names)
 
     for batch in steps(batches):
-        docs, keys = np.asarray(batch.column("doc")), np.asarray(batch.column("key"))
+        docs, keys1, keys2 = (np.asarray(batch.column(c)) for c in ("doc", "k1", "k2"))
         done, owner = np.asarray(pc.list_flatten(batch.column("done"))), np.asarray(pc.list_parent_indices(batch.column("done")))
         if len(done):
-            yield settled(keys[owner], docs[owner], done)
+            yield settled(docs[owner], keys1[owner], keys2[owner], done)
         places, owner = np.asarray(pc.list_flatten(batch.column("open"))), np.asarray(pc.list_parent_indices(batch.column("open")))
         if not len(places):
             continue
@@ -215,16 +215,16 @@ def _window_rows(batches):
         buf, digest = words.buf, xxhash.xxh3_128_digest
         raw = b"".join([digest(buf[a:b]) for a, b in zip(words.start[at].tolist(), words.end[at + WINDOW - 1].tolist())])
         h1, h2 = np.frombuffer(raw, np.int64).reshape(-1, 2).T
-        doc, key, place = docs[row], keys[row], pos << 8 | 1
-        order = np.lexsort((place, key, doc, h2, h1))
-        h1, h2, doc, key, place = h1[order], h2[order], doc[order], key[order], place[order]
+        doc, k1, k2, place = docs[row], keys1[row], keys2[row], pos << 8 | 1
+        order = np.lexsort((place, k2, k1, doc, h2, h1))
+        h1, h2, doc, k1, k2, place = h1[order], h2[order], doc[order], k1[order], k2[order], place[order]
         new = _starts(h1, h2)
         later = np.minimum(doc, LAST) > np.minimum(doc, LAST)[new][np.cumsum(new) - 1]
-        a, b, k, d, p = (c[~later] for c in (h1, h2, key, doc, place))
-        new = _starts(a, b, k, d)
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(k[new]), pa.array(d[new]), pa.array(np.zeros(int(new.sum()), bool)), _lists(p, new)], names=names)
+        a, b, d, k, l, p = (c[~later] for c in (h1, h2, doc, k1, k2, place))
+        new = _starts(a, b, d, k, l)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (a[new], b[new], d[new], k[new], l[new], np.zeros(int(new.sum()), bool))), _lists(p, new)], names=names)
         if later.any():
-            yield settled(key[later], doc[later], place[later])
+            yield settled(doc[later], k1[later], k2[later], place[later])
 
 
 def _spans(places: list[int]) -> list[tuple[int, int]]:
@@ -264,11 +264,14 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """Each row's doc_id, carried columns, text, word counts, removed spans, kept text and its SHA-256."""
     null_id = F.lit(LAST) + F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    # tells apart rows of one doc_id whose texts differ
-    base = base.withColumn("key", F.hash("text"))
+    # rows of one doc_id whose texts differ are told apart by two hashes; ids that stand once have none to shuffle
+    repeated = written(base.groupBy("doc").agg(F.count("*").alias("_n")).where("_n > 1").select("doc", F.lit(True).alias("_again")), "repeated-ids")
+    apart = lambda seed: F.when(F.coalesce("_again", F.lit(False)) | F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.length("text"), "text")).otherwise(F.lit(0).cast("long"))
+    base = base.join(repeated, "doc", "left").withColumns({"k1": apart(1), "k2": apart(2)}).drop("_again")
+    key = ["doc", "k1", "k2"]
     shared, bits = docs.sparkSession.sparkContext.broadcast(common_anchors(base)), PLACE_BITS
 
-    seen = base.select("key", "doc", "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value, bits), "anchor long, phrase long, at long, doc long, settled boolean, more array<long>")
+    seen = base.select(*key, "text").mapInArrow(lambda batches: _phrase_rows(batches, shared.value, bits), "anchor long, phrase long, doc long, at long, k1 long, k2 long, settled boolean, more array<long>")
     meet, same = W.partitionBy("anchor", "settled"), W.partitionBy("anchor", "settled", "phrase")
     # ranks after the least and largest id, so that no rank goes through the shuffle
     ranked = lambda doc: F.least(doc, F.lit(LAST))
@@ -276,17 +279,16 @@ def substring_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     # phrases of common anchors meet only their equals, so they are always opened
     seen = seen.select("*", ((F.col("anchor") < 0) | unequal).alias("differ"))
     seen = seen.withColumn("done", F.col("settled") | (ranked(F.col("doc")) > ranked(F.min("doc").over(same)))).where("done or differ")
-    key, place = F.shiftright("at", bits).cast("int").alias("key"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1))
-    all_places = F.array_compact(F.concat(F.array(F.nullif(place, F.lit(0))), F.coalesce("more", F.array().cast("array<long>"))))
-    lists = seen.select("doc", key, "done", all_places.alias("places")).groupBy("doc", "key").agg(
+    all_places = F.array_compact(F.concat(F.array(F.nullif("at", F.lit(0))), F.coalesce("more", F.array().cast("array<long>"))))
+    lists = seen.select(*key, "done", all_places.alias("places")).groupBy(*key).agg(
         *[F.flatten(F.collect_list(F.when(F.col("done") == flag, F.col("places")))).alias(name) for name, flag in (("done", True), ("open", False))]
     )
 
     # all of base, so that Spark shuffles it once for this join and the last
-    rows = base.join(lists, ["doc", "key"]).mapInArrow(_window_rows, "h1 long, h2 long, key int, doc long, settled boolean, places array<long>")
+    rows = base.join(lists, key).mapInArrow(_window_rows, "h1 long, h2 long, doc long, k1 long, k2 long, settled boolean, places array<long>")
     least = ranked(F.min("doc").over(W.partitionBy("h1", "h2", "settled")))
     sourced = rows.withColumn("least", least).where(F.col("settled") | (ranked(F.col("doc")) > F.col("least")))
-    places = sourced.groupBy("doc", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = sourced.groupBy(*key).agg(F.flatten(F.collect_list("places")).alias("places"))
 
-    out = appended(base.join(places, ["doc", "key"], "left"), list(CUT), _cut)
+    out = appended(base.join(places, key, "left"), list(CUT), _cut)
     return out.select("doc_id", "text", *[F.col("carried")[c].alias(c) for c in carry], *[f.name for f in CUT])
