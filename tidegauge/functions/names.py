@@ -50,12 +50,6 @@ def safe_int(text: Column, default: int = 0) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(default))
 
 
-def ranked_match(name: Column, point: Column) -> Column:
-    """Score of a candidate file for a point: prefix bonus less length; null where the point is not in the name."""
-    bonus = F.when(F.startswith(name, point), 100).when(F.contains(name, F.concat(F.lit("_"), point)), 60).otherwise(30)
-    return F.when(F.contains(name, point), bonus - F.length(name))
-
-
 def widened(start: Column, end: Column, by: int = 5) -> tuple[Column, Column]:
     """A single-row label grows by `by` on either side, not below 0."""
     one = start == end

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidegauge.functions.names import ranked_match
-
 #: How names of generated files begin, and what marks them elsewhere.
 GENERATED_PREFIXES = ("global_chatts_", "chatts_", "_chatts_", "timer_", "adtk_hbos_", "ensemble_", "_qwen", "qwen_")
 GENERATED_MARK = "_trend_resid"
@@ -97,25 +95,6 @@ def registry_status(registry: DataFrame, inventory: DataFrame) -> DataFrame:
     return both.select("dataset", status.alias("status"))
 
 
-def repaired_names(records: DataFrame, inventory: DataFrame) -> DataFrame:
-    """records (record, name, point) with `file_name` and `outcome`: the name itself where a file bears it, else the best
-    file with the point as one of its parts, else none. Parts are joined by equality, so files never meet all points."""
-    exact = records.join(inventory.select(F.col("file_name").alias("name")).distinct(), "name", "left_semi").select("record", F.col("name").alias("file_name"), F.lit("unchanged").alias("outcome"))
-    rest = records.join(exact.select("record"), "record", "left_anti")
-    near = best_file(rest.select("record", "point"), inventory, "record").select("record", "file_name", F.lit("changed").alias("outcome"))
-    missing = rest.join(near.select("record"), "record", "left_anti").select("record", F.lit(None).cast("string").alias("file_name"), F.lit("missing").alias("outcome"))
-    return exact.union(near).union(missing)
-
-
-def best_file(points: DataFrame, inventory: DataFrame, *keys: str) -> DataFrame:
-    """For each (keys, point) the best ranked file that has the point among the parts of its name."""
-    stem = F.regexp_replace("file_name", r"\.(csv|json)$", "")
-    parts = inventory.select("file_name", F.explode(F.array_distinct(F.split(stem, "_"))).alias("point")).distinct()
-    scored = points.join(parts, "point").withColumn("score", ranked_match(F.col("file_name"), F.col("point")))
-    best = F.min_by(F.struct("file_name", "score"), F.struct(-F.col("score"), F.col("file_name"))).alias("b")
-    return scored.groupBy(*dict.fromkeys((*keys, "point"))).agg(best).select(*dict.fromkeys((*keys, "point")), "b.file_name", "b.score")
-
-
 def filtered_results(results: DataFrame, method: str | None = None, least: float | None = None, most: float | None = None, score_by: str = "score_avg", limit: int | None = None) -> DataFrame:
     """Results of a method (all, any, none or empty: every one) with a score in bounds, by the mean or the largest score."""
     score = "score_avg" if score_by.strip().lower() in ("avg", "score_avg", "mean") else "score_max"

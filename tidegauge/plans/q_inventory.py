@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import names as nm
 from tidegauge.operators import detect as dt
 from tidegauge.operators import inventory as iv
+from tidegauge.operators import matching as mt
 from tidegauge.operators import records as rc
 from tidegauge.operators import score as sc
 from tidegauge.operators.core import mask_from_segments
@@ -68,9 +69,11 @@ def _named_records(spark, d):
     return records, files.union(longer)
 
 
-@query("""SELECT doc_id AS record, CASE doc_id % 3 WHEN 0 THEN source || '.' || doc_id || '.csv' WHEN 1 THEN 'm4_' || source || '.' || doc_id || '_2024.csv' END AS file_name, CASE doc_id % 3 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' ELSE 'missing' END AS outcome FROM documents""")
+@query("""WITH r AS (SELECT doc_id AS record, source || '.' || doc_id AS point FROM documents), f AS (SELECT CASE doc_id % 3 WHEN 0 THEN source || '.' || doc_id || '.csv' ELSE 'm4_' || source || '.' || doc_id || '_2024.csv' END AS file_name FROM documents WHERE doc_id % 3 < 2
+    UNION SELECT 'm4_' || source || '.' || doc_id || '_20240101.csv' FROM documents WHERE doc_id % 3 = 1), b AS (SELECT record, arg_min(file_name, (length(file_name), file_name)) AS file_name FROM r JOIN f ON contains(file_name, point) GROUP BY 1)
+  SELECT record, CASE WHEN record % 3 = 0 THEN point || '.csv' ELSE b.file_name END AS file_name, CASE WHEN record % 3 = 0 THEN 'unchanged' WHEN b.file_name IS NULL THEN 'missing' ELSE 'changed' END AS outcome FROM r LEFT JOIN b USING (record)""")
 def j3_repaired_names(spark, d):
-    return iv.repaired_names(*_named_records(spark, d))
+    return mt.repaired_names(*_named_records(spark, d))
 
 
 @query("""SELECT event_type AS path, count(*) AS n, count(DISTINCT user_id) AS n_users, min(ts) AS first_ts FROM events e JOIN (SELECT event_type, user_id FROM events GROUP BY 1, 2 HAVING count(*) > 1) u USING (event_type, user_id)
@@ -196,3 +199,18 @@ def f4_prompt_templates(spark, d):
     table = iv.prompt_templates(spark, {"question": "Q{turn}: {n} characters", "other": "{role} says {n}"})
     out = c.join(F.broadcast(table), "name")
     return out.select("conv_id", "turn", rc.filled_template(F.col("template"), {"turn": F.col("turn"), "n": F.length("text"), "role": F.col("role")}).alias("prompt"))
+
+
+_OLD = """CASE doc_id % 4 WHEN 0 THEN concat('_chatts_P_', doc_id, '.csv') WHEN 1 THEN concat('P_', doc_id, '.csv') ELSE concat('timer_P_', doc_id, '_old.csv') END"""
+_NEW = """CASE doc_id % 3 WHEN 0 THEN concat('P_', doc_id, '.csv') WHEN 1 THEN concat('_chatts_P_', doc_id, '_v2.csv') ELSE concat('m4_P_', doc_id, '.txt') END"""
+
+
+@query(f"""WITH r AS (SELECT doc_id AS record, {_OLD} AS name, concat('P_', doc_id) AS point FROM documents), f AS (SELECT {_NEW} AS file_name, TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 5) DAY AS modified FROM documents),
+  c AS (SELECT record, file_name, modified, coalesce(contains(file_name, CASE WHEN starts_with(name, '_chatts_') THEN '_chatts_' WHEN starts_with(name, 'timer_') THEN 'timer_' END), false) AS same FROM r JOIN f ON contains(file_name, point) WHERE file_name LIKE '%.csv'),
+  b AS (SELECT record, file_name FROM c QUALIFY row_number() OVER (PARTITION BY record ORDER BY same DESC, modified DESC, length(file_name), file_name) = 1)
+  SELECT record, CASE WHEN name IN (SELECT file_name FROM f) THEN name ELSE b.file_name END AS file_name, CASE WHEN name IN (SELECT file_name FROM f) THEN 'unchanged' WHEN b.file_name IS NULL THEN 'missing' ELSE 'changed' END AS outcome FROM r LEFT JOIN b USING (record)""")
+def j3_repair_by_prefix_and_time(spark, d):
+    docs = fx.table(spark, d, "documents")
+    records = docs.select(F.col("doc_id").alias("record"), F.expr(_OLD).alias("name"), F.expr("concat('P_', doc_id)").alias("point"))
+    files = docs.select(F.expr(_NEW).alias("file_name"), (F.lit("2024-01-01").cast("timestamp") + F.expr("make_dt_interval(cast(doc_id % 5 as int))")).alias("modified"))
+    return mt.repaired_names(records, files)

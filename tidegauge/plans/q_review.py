@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from tidegauge.functions import names as nm
 from tidegauge.operators import inventory as iv
+from tidegauge.operators import matching as mt
 from tidegauge.operators import review as rv
 from tidegauge.plans import fixtures as fx
 from tidegauge.plans.registry import query
@@ -59,14 +60,22 @@ def j1_annotation_join_with_reasons(spark, d):
     return fx.table(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", "quality", "lang", reason.alias("outcome"))
 
 
-@query("""WITH w AS (SELECT DISTINCT p_brand AS point FROM part), f AS (SELECT DISTINCT p_brand || '_' || p_type AS name FROM part UNION SELECT DISTINCT 'x_' || p_brand FROM part),
-  s AS (SELECT point, name, CASE WHEN starts_with(name, point) THEN 100 WHEN contains(name, '_' || point) THEN 60 ELSE 30 END - length(name) AS score FROM w JOIN f ON contains(name, point))
-  SELECT point, arg_min(name, (-score, name)) AS name, max(score) AS score FROM s GROUP BY 1""")
+_FILE = """CASE p_partkey % 4 WHEN 0 THEN concat('AC_', p_partkey, '.PV_2024.csv') WHEN 1 THEN concat('m4_AC_', p_partkey, '_trend_resid_2024.csv') WHEN 2 THEN concat('_qwen_AC_', p_partkey, '.csv') ELSE concat('xAC_', p_partkey, '.csv') END"""
+_FILES = f"""f AS (SELECT {_FILE} AS file_name, TIMESTAMP '2024-01-01' + INTERVAL (p_partkey % 28) DAY AS modified FROM part UNION ALL SELECT concat('AC_', p_partkey, '_resid.CSV'), TIMESTAMP '2024-02-01' FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT concat('AC_', p_partkey, '.json'), TIMESTAMP '2024-03-01' FROM part)"""
+
+
+@query(f"""WITH {_FILES}, w AS (SELECT concat('AC_', p_partkey) AS point, CASE WHEN p_partkey % 5 = 0 THEN 'resid' END AS hint FROM part),
+  s AS (SELECT point, file_name, modified, coalesce(contains(file_name, hint), false) AS hinted, round(CASE WHEN starts_with(file_name, point) THEN 100 ELSE 0 END + CASE WHEN contains(file_name, '_' || point) THEN 60 ELSE 0 END + 30 + CASE WHEN contains(file_name, hint) THEN 10 ELSE 0 END
+      - CASE WHEN starts_with(file_name, '_') THEN 3 ELSE 0 END - CASE WHEN contains(lower(file_name), 'qwen') THEN 5 ELSE 0 END - length(file_name) / 200, 6) AS score FROM w JOIN f ON contains(file_name, point) WHERE lower(file_name) LIKE '%.csv')
+  SELECT point, file_name, score FROM s QUALIFY row_number() OVER (PARTITION BY point ORDER BY hinted DESC, score DESC, modified DESC, file_name) = 1""")
 def j2_ranked_fuzzy_match(spark, d):
     p = fx.table(spark, d, "part")
-    points = p.select(F.col("p_brand").alias("point")).distinct()
-    files = p.select(F.concat_ws("_", "p_brand", "p_type").alias("name")).union(p.select(F.concat(F.lit("x_"), "p_brand"))).distinct()
-    return iv.best_file(points, files.withColumnRenamed("name", "file_name")).select("point", F.col("file_name").alias("name"), "score")
+    day = lambda t: F.lit(t).cast("timestamp")
+    points = p.select(F.expr("concat('AC_', p_partkey)").alias("point"), F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'resid' END").alias("hint"))
+    files = p.select(F.expr(_FILE).alias("file_name"), (day("2024-01-01") + F.expr("make_dt_interval(cast(p_partkey % 28 as int))")).alias("modified"))
+    files = files.union(p.where("p_partkey % 3 = 0").select(F.expr("concat('AC_', p_partkey, '_resid.CSV')"), day("2024-02-01"))).union(p.select(F.expr("concat('AC_', p_partkey, '.json')"), day("2024-03-01")))
+    return mt.best_file(points, files, extensions=(".csv",)).select("point", "file_name", "score")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || doc_id || '.csv' WHEN doc_id % 3 = 1 THEN 'annotations_' || source || doc_id END AS file_name FROM documents""")
