@@ -138,3 +138,33 @@ def to_raw_rows(series: DataFrame, sampled: DataFrame, mask: str = "global_mask"
     runs = split_runs(sampled.where(F.col(mask) > 0).select("point", "pos"))
     ends = runs.join(at.select("point", F.col("pos").alias("start_pos"), F.col("orig_pos").alias("_a")), ["point", "start_pos"]).join(at.select("point", F.col("pos").alias("end_pos"), F.col("orig_pos").alias("_b")), ["point", "end_pos"])
     return mask_from_segments(series, ends.select("point", F.col("_a").alias("start_pos"), F.col("_b").alias("end_pos")), mask)
+
+
+def index_spaces(series: DataFrame, masks: DataFrame) -> DataFrame:
+    """(point, index_space) of masks (point, pos, orig_pos, mask) over a series: unknown where a point has masks alone,
+    empty where it has no mask rows, raw where there are as many as rows, raw_mapped where the others all know their
+    raw position and some is hit, else downsample."""
+    rows = series.groupBy("point").agg(F.count("*").alias("n_raw"))
+    own = masks.groupBy("point").agg(F.count("*").alias("n_mask"), F.count("orig_pos").alias("n_at"), F.max(F.coalesce("mask", F.lit(0))).alias("hit"))
+    d = rows.join(own, "point", "full")
+    space = F.when(F.col("n_raw").isNull(), "unknown").when(F.col("n_mask").isNull(), "empty").when(F.col("n_mask") == F.col("n_raw"), "raw").when((F.col("n_at") == F.col("n_mask")) & (F.col("hit") > 0), "raw_mapped").otherwise("downsample")
+    return d.select("point", space.alias("index_space"))
+
+
+def resolved_masks(series: DataFrame, masks: DataFrame) -> DataFrame:
+    """(point, pos, value, mask, index_space): the rows that an evaluation reads. A raw mask stands as it is; runs of a
+    mapped one cover all raw rows between the positions of their ends; a sampled one is laid on its own rows, which are
+    those at its positions, or the first ones of the point where it has none. Points with an empty mask have their rows
+    unmasked; unknown points have none."""
+    spaces = settled(index_spaces(series, masks), "spaces")
+    tagged = masks.join(spaces, "point")
+    raw = tagged.where("index_space = 'raw'").select("point", "pos", "mask")
+    mapped = tagged.where("index_space = 'raw_mapped'").select("point", "pos", "orig_pos", F.col("mask").alias("global_mask"))
+    runs = split_runs(mapped.where("global_mask > 0").select("point", "pos"))
+    at = lambda end, name: mapped.select("point", F.col("pos").alias(end), F.col("orig_pos").alias(name))
+    ends = runs.join(at("start_pos", "_a"), ["point", "start_pos"]).join(at("end_pos", "_b"), ["point", "end_pos"])
+    spread = expanded(ends.select("point", F.col("_a").alias("start_pos"), F.col("_b").alias("end_pos"))).distinct().withColumn("mask", F.lit(1))
+    laid = tagged.where("index_space = 'downsample'").select("point", F.coalesce("orig_pos", "pos").alias("pos"), "mask")
+    read = series.select("point", "pos", "value").join(spaces, "point")
+    full = read.where("index_space <> 'downsample'").join(raw.unionByName(spread), ["point", "pos"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    return full.select("point", "pos", "value", "mask", "index_space").unionByName(read.join(laid, ["point", "pos"]).select("point", "pos", "value", "mask", "index_space"))
