@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tidegauge.operators import clean
 from tidegauge.operators import features as ft
-from tidegauge.operators.core import all_rows, bridged, by_point, expanded, first_by, mask_from_segments, mask_in_time, mask_intervals, rows, split_runs
+from tidegauge.operators.core import all_rows, bridged, by_point, expanded, first_by, haloed, mask_from_segments, mask_in_time, mask_intervals, rows, split_runs
 from tidegauge.operators.reduce import m4
 from tidegauge.sources.scratch import settled
 
@@ -178,12 +178,45 @@ def residual_runs(series: DataFrame, k: float = 3.0, min_run: int = 1, robust: b
     return expanded(runs, "seg_id", "start_pos", "end_pos").join(z.select("point", "pos", "z"), ["point", "pos"]).groupBy("point", "seg_id", "start_pos", "end_pos").agg(F.max("z").alias("score"))
 
 
-FORECASTERS: dict[str, Callable] = {}
+#: Name to forecaster: windows as a matrix (window, lookback) to the next value of each window; register_forecaster adds.
+FORECASTERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
+
+
+def register_forecaster(name: str, forecaster: Callable[[np.ndarray], np.ndarray]) -> None:
+    FORECASTERS[name] = forecaster
+
+
+def forecasts(series: DataFrame, lookback: int, forecaster: Callable[[np.ndarray], np.ndarray], batch: int = 8192) -> DataFrame:
+    """(point, pos, forecast) from the `lookback` known values right before each row, where there are that many.
+
+    A block of a point with a halo of `lookback` rows goes to a task, which gives the forecaster its sliding windows in
+    batches, so neither a window nor a point is ever a row of its own."""
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        value, pos, own = rows["value"].to_numpy(float), rows["pos"].to_numpy(), rows["_own"].to_numpy(bool)
+        out = np.full(len(rows), np.nan)
+        if len(value) > lookback:
+            windows = sliding_window_view(value[:-1], lookback)
+            good = np.flatnonzero(own[lookback:] & ~np.isnan(windows).any(1))
+            for a in range(0, len(good), batch):
+                out[lookback + good[a : a + batch]] = forecaster(windows[good[a : a + batch]])
+        return pd.DataFrame({"point": rows["point"], "pos": pos, "forecast": out})[own]
+
+    kind = series.schema["point"].dataType.simpleString()
+    dealt = haloed(series.select("point", "pos", "value"), lookback, 0)
+    found = dealt.groupBy("point", "_block").applyInPandas(run, f"point {kind}, pos long, forecast double")
+    return found.where(~F.isnan("forecast"))
 
 
 def rolling_residual(series: DataFrame, lookback: int, forecaster: str = "mean") -> DataFrame:
-    """Value less its forecast from the `lookback` rows before: last, mean, or linear; a constant window forecasts its
-    last value; null until the window is full."""
+    """Value less its forecast from the `lookback` rows before: last, mean, linear, or a registered forecaster; a constant
+    window forecasts its last value; null until the window is full."""
+    if forecaster in FORECASTERS:
+        own = FORECASTERS[forecaster]
+        ahead = forecasts(series, lookback, lambda x: np.where(x.max(1) == x.min(1), x[:, -1], own(x)))
+        return series.join(ahead, ["point", "pos"], "left").withColumn("residual", F.col("value") - F.col("forecast")).drop("forecast")
     w = rows(-lookback, -1)
     full = F.count("value").over(w) == lookback
     last = F.lag("value").over(by_point())
@@ -194,7 +227,7 @@ def rolling_residual(series: DataFrame, lookback: int, forecaster: str = "mean")
     elif forecaster == "linear":
         forecast = F.regr_intercept("value", "pos").over(w) + F.regr_slope("value", "pos").over(w) * F.col("pos")
     else:
-        forecast = FORECASTERS[forecaster](series, w)
+        raise KeyError(forecaster)
     flat = F.max("value").over(w) == F.min("value").over(w)
     return series.withColumn("residual", F.when(full, F.col("value") - F.when(flat, last).otherwise(forecast)))
 

@@ -51,3 +51,28 @@ def ngram_overlap(pairs: DataFrame, key: str, prediction: str, label: str, n: in
     out = sizes.join(common, key, "left").fillna(0, ["n_pred", "n_label", "common"])
     total = F.col("n_pred") + F.col("n_label")
     return out.withColumn("f", F.when(total > 0, 2 * F.col("common") / total).otherwise(0.0))
+
+
+def bleu(pairs: DataFrame, key: str, prediction: str, label: str, orders: int = 4) -> DataFrame:
+    """(key, bleu): character BLEU of each pair up to a length of n-grams, in percent to four digits.
+
+    Precisions are clipped counts over the prediction's n-grams (at least 1); the k-th precision of zero counts as 1 over
+    2**k of those; a prediction shorter than its label is scaled by exp(1 - label / prediction). A pair without a common
+    character, or with a null or empty text, scores 0."""
+
+    def grams(c: str) -> DataFrame:
+        text = pairs.select(key, F.coalesce(c, F.lit("")).alias("t")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(orders)))).where(F.length("t") >= F.col("n"))
+        g = text.select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring("t", i, F.col("n")))).alias("g"))
+        return g.groupBy(key, "n", "g").agg(F.count("*").alias("c"))
+
+    common = grams(prediction).join(grams(label).withColumnRenamed("c", "c2"), [key, "n", "g"]).groupBy(key, "n").agg(F.sum(F.least("c", "c2")).alias("m"))
+    hits = common.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"m{n}") for n in range(1, orders + 1)])
+    p, t = F.length(F.coalesce(prediction, F.lit(""))), F.length(F.coalesce(label, F.lit("")))
+    d = pairs.select(key, p.alias("p"), t.alias("t")).join(hits, key, "left").fillna(0, [f"m{n}" for n in range(1, orders + 1)])
+    logs, zeros = F.lit(0.0), F.lit(0)
+    for n in range(1, orders + 1):
+        size, none = F.greatest(F.col("p") - n + 1, F.lit(1)), F.col(f"m{n}") == 0
+        zeros = zeros + none.cast("int")
+        logs = logs + F.log(F.when(none, 1 / (F.pow(F.lit(2.0), zeros) * size)).otherwise(F.col(f"m{n}") / size)) / orders
+    short = F.when(F.col("p") > F.col("t"), 1.0).otherwise(F.exp(1 - F.col("t") / F.col("p")))
+    return d.select(key, F.when(F.col("m1") > 0, F.round(100 * short * F.exp(logs), 4)).otherwise(0.0).alias("bleu"))

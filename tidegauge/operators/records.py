@@ -41,9 +41,9 @@ OTHER_REASON = ("索引位置{start}处数据存在异常", "索引区间[{start
 #: Words for the attributes of a whole series, in their order.
 ATTRIBUTES = {
     "frequency": {"high_freq": "高频", "low_freq": "低频"},
-    "noise": {"noisy": "高噪声", "clean": "中等噪声", "almost_no_noise": "低噪声"},
-    "seasonal": {"has_periodic": "有周期性", "no_periodic": "无周期性"},
-    "trend": {"increase": "上升趋势", "decrease": "下降趋势", "stable": "趋势稳定", "multiple": "多段式趋势"},
+    "noise": {"noisy": "高噪声", "clean": "中等噪声", "almost_no_noise": "低噪声", "label_1766469170459": "无噪声"},
+    "seasonal": {"has_periodic": "有周期性", "no_periodic": "无周期性", "label_1766475567943": "局部有周期性"},
+    "trend": {"increase": "上升趋势", "decrease": "下降趋势", "stable": "趋势稳定", "multiple": "多段式趋势", "label_1766469189296": "无明显趋势"},
 }
 #: The label of no anomaly, its range and its reason; the label that is renamed, and where it stands in reasons.
 NO_ANOMALY, WHOLE, NO_REASON = "无异常", (0, 4999), "该区间内无检测到异常"
