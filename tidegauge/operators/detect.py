@@ -207,7 +207,7 @@ def forecasts(series: DataFrame, lookback: int, forecaster: Callable[[np.ndarray
     kind = series.schema["point"].dataType.simpleString()
     dealt = haloed(series.select("point", "pos", "value"), lookback, 0)
     found = dealt.groupBy("point", "_block").applyInPandas(run, f"point {kind}, pos long, forecast double")
-    return found.where(~F.isnan("forecast"))
+    return found.where(F.col("forecast").isNotNull() & ~F.isnan("forecast"))
 
 
 def rolling_residual(series: DataFrame, lookback: int, forecaster: str = "mean") -> DataFrame:

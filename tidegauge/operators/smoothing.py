@@ -37,15 +37,15 @@ def smooth(series: DataFrame, width: int, order: int) -> DataFrame:
     """`smooth`: at each row the value of the least-squares polynomial of an order up to 3 over `width` rows around it; at
     the ends of a point that of its first or last such frame. Points with fewer rows use the largest odd number of them.
 
-    A frame with a null gives null. Inside, moments come from running sums over blocks whose positions count from the
+    Positions are consecutive, from any first one. A frame with a null gives null. Inside, moments come from running sums over blocks whose positions count from the
     block, so that they keep their digits at any position; the two end frames of a point are one aggregation.
     """
     if width % 2 == 0 or not 0 <= order <= 3:
         raise ValueError("width must be odd and order 0 to 3")
     half = width // 2
-    sizes = series.groupBy("point").agg(F.count("*").alias("_n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("_c"))
+    sizes = series.groupBy("point").agg(F.count("*").alias("_n"), F.min("pos").alias("_0"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("_c"))
     sizes = sizes.withColumn("_m", F.least(F.lit(width), F.col("_n") - 1 + F.col("_n") % 2).cast("long") - 1).withColumn("_m", F.floor(F.col("_m") / 2))
-    d = series.join(sizes, "point").withColumn("_v", F.col("value") - F.col("_c"))
+    d = series.join(sizes, "point").withColumn("_v", F.col("value") - F.col("_c")).withColumn("_p", F.col("pos") - F.col("_0"))
 
     size = 4 * width  # running sums of squared positions lose no digits in blocks of a few frames
     block = W.partitionBy("point", "_block").orderBy("pos")
@@ -56,17 +56,17 @@ def smooth(series: DataFrame, width: int, order: int) -> DataFrame:
     j2, j4 = sum(j * j for j in range(-half, half + 1)), sum(j**4 for j in range(-half, half + 1))
     around = F.col("_fx2") - 2 * F.col("_j") * F.col("_fx1") + F.col("_j") * F.col("_j") * F.col("_fx0")
     centre = F.col("_fx0") / width if order < 2 or half == 0 else (j4 * F.col("_fx0") - j2 * around) / float(width * j4 - j2 * j2)
-    whole = (F.col("pos") > F.col("_m")) & (F.col("pos") < F.col("_n") - 1 - F.col("_m"))
+    whole = (F.col("_p") > F.col("_m")) & (F.col("_p") < F.col("_n") - 1 - F.col("_m"))
     inner = inner.withColumn("_inside", F.when(whole & (F.col("_fk") == width), centre))
 
-    first, last = F.col("pos") <= 2 * F.col("_m"), F.col("pos") >= F.col("_n") - 1 - 2 * F.col("_m")
-    offsets = {"a": (first, F.col("pos") - F.col("_m")), "z": (last, F.col("pos") - (F.col("_n") - 1 - F.col("_m")))}
+    first, last = F.col("_p") <= 2 * F.col("_m"), F.col("_p") >= F.col("_n") - 1 - 2 * F.col("_m")
+    offsets = {"a": (first, F.col("_p") - F.col("_m")), "z": (last, F.col("_p") - (F.col("_n") - 1 - F.col("_m")))}
     moments = [F.sum(F.when(there, F.col("_v") * F.pow(t.cast("double"), F.lit(k)))).alias(f"_{e}{k}") for e, (there, t) in offsets.items() for k in range(4)]
     known = [F.count(F.when(there, F.col("_v"))).alias(f"_{e}n") for e, (there, _) in offsets.items()]
     ends = d.where(first | last).groupBy("point").agg(*moments, *known)
     m = F.col("_m").cast("double")
     fit = {e: F.when(F.col(f"_{e}n") == 2 * F.col("_m") + 1, _fitted_end(f"_{e}", m, t.cast("double"), order)) for e, (_, t) in offsets.items()}
-    value = F.when(whole, F.col("_inside")).when(F.col("pos") <= F.col("_m"), fit["a"]).otherwise(fit["z"])
+    value = F.when(whole, F.col("_inside")).when(F.col("_p") <= F.col("_m"), fit["a"]).otherwise(fit["z"])
     return inner.join(ends, "point").select(*series.columns, (value + F.col("_c")).alias("smooth"))
 
 

@@ -77,11 +77,11 @@ def c10_split_by_density(spark, d):
     return dn.split_by_density(settled(features, "segment-features"))
 
 
-# a step point, a noisy point, and three seasonal ones with a high stretch, a dead stretch and small dents
+# a step point, a noisy point, and three seasonal ones with a high stretch, a dead stretch and dents
 _KINDS = """CASE point WHEN 'click' THEN CAST(50 * floor(pos * 5 / n) AS DOUBLE) WHEN 'error' THEN 2 * u - 1
       WHEN 'purchase' THEN 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 + CASE WHEN k BETWEEN 500 AND 519 THEN 60 ELSE 0 END
       WHEN 'signup' THEN CASE WHEN k BETWEEN 800 AND 849 THEN 0 ELSE 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 END
-      ELSE 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 + CASE WHEN k IN (150, 550) THEN -6 ELSE 0 END END"""
+      ELSE 100 + 10 * sin(2 * pi() * pos / 240) + u / 10 + CASE WHEN k IN (150, 550) THEN -25 ELSE 0 END END"""
 KINDS = f"""placed AS (SELECT event_type AS point, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n, ts, value, {_U} AS u FROM events),
   kinds AS (SELECT point, pos, ts, {_KINDS.replace("k BETWEEN", "pos * 1000 // n BETWEEN").replace("k IN", "pos * 1000 // n IN")} AS value FROM placed)"""
 
