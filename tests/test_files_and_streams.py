@@ -17,6 +17,24 @@ def test_series_csv_and_inventory(spark, tmp_path):
     assert [(r.file_name, r.size_bytes > 0) for r in found] == [("a.csv", True)]
 
 
+def test_each_series_file_has_its_own_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,other,value\n2024-01-01 00:00:00,x,1.5\n2024-01-01 00:01:00,x,bad\n,x,3\n")
+    (tmp_path / "b.csv").write_text('name, level ,Time\n"p, q",7,2024-01-02\nr,8,2024-01-03\n\n')
+    (tmp_path / "c.csv").write_text("stamp,first,second\n2024-01-05,4,5\n")
+    (tmp_path / "d.csv").write_text("time\n2024-01-06\n")
+    (tmp_path / "e.csv").write_text("time,value\n")
+    (tmp_path / "f.csv").write_text("")
+
+    def got(numeric):
+        rows = files.series_files(spark, f"{tmp_path}/*.csv", numeric).collect()
+        return list((r.file[-5:-4], r.ts.day, r.value, r.raw) for r in rows)
+
+    fixed = [("a", 1, 1.5, "1.5"), ("a", 1, None, "bad"), ("c", 5, 4.0, "4"), ("d", 6, None, "2024-01-06")]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got(True)) == order([*fixed, ("b", 2, 7.0, "7"), ("b", 3, 8.0, "8")])
+    assert order(got(False)) == order([*fixed, ("b", 2, None, "p, q"), ("b", 3, None, "r")])
+
+
 def test_json_lines_leave_out_bad_ones(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"input":"a"}\n\nnot json\n{"input":"b"}\n')
     got = files.json_lines(spark, str(tmp_path / "a.jsonl"), "input string").where("input is not null").collect()
