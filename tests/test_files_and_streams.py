@@ -75,3 +75,20 @@ def test_exponential_mean(spark):
     want = [1.0, w + (1 - w) * 3]
     want.append(want[1] * w + (1 - w) * 2)
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
+def test_batches_merge_once(spark, tmp_path):
+    table = logs.LatestTable(spark, f"file://{tmp_path}/table")
+    assert table.read().count() == 0
+    (tmp_path / "in").mkdir()
+    lines = lambda rows: "\n".join(json.dumps(dict(zip(("run", "step", "loss"), r))) for r in rows)
+    for k, rows in enumerate(([("a", 1, 0.5), ("a", 3, 0.3), ("b", 2, 0.9)], [("a", 2, 0.4), ("c", 1, 0.1)])):
+        (tmp_path / "in" / f"{k}.json").write_text(lines(rows))
+        table.follow(f"file://{tmp_path}/in", f"file://{tmp_path}/ck").awaitTermination(120)
+    state = lambda: sorted(tuple(r) for r in table.read().collect())
+    assert state() == [("a", 3, 0.3, 3), ("b", 2, 0.9, 1), ("c", 1, 0.1, 1)]
+    again = spark.createDataFrame([("a", 2, 0.4), ("c", 1, 0.1)], logs.SCHEMA)
+    table.merge(again, 1)  # the last batch once more
+    assert state() == [("a", 3, 0.3, 3), ("b", 2, 0.9, 1), ("c", 1, 0.1, 1)]
+    table.merge(spark.createDataFrame([("b", 7, 0.2)], logs.SCHEMA), 2)
+    assert state()[1] == ("b", 7, 0.2, 2)
