@@ -479,9 +479,20 @@ def test_rare_languages_are_learned(spark):
     assert model.names == ["el", "en", "ru"] and (model.weights != 0).any(0).all()
     got = language_id.predict_languages(table.where("lang <> 'el'"), sample=60).join(table, "doc_id")
     assert got.where("lang <> lang_pred").count() == 0
+    near, share = language_id.sampled(table, 60)
+    assert all(near.where(F.col("lang") == name).count() >= n for name, n in share.items())
     assert language_id.shares({"a": 1_000_000, "b": 3, "c": 500}, 3000) == {"a": 2497, "b": 3, "c": 500}
 
 
+def test_repeated_rows_take_no_share(spark):
+    rows = [(k, f"text number {k}", "ru") for k in range(200)] + [(1000, "the same again", "ru")] * 5000
+    rows += [(2000 + k, f"other words {k}", "en") for k in range(900)]
+    near, share = language_id.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600)
+    got = {r.lang: (r.n, r.texts) for r in near.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()}
+    assert share == {"ru": 201, "en": 399} and got["ru"] == (201, 201) and got["en"][0] >= 399
+    assert got["en"][0] == got["en"][1]
+
+
 def test_quality_on_held_out_rows(spark, sf_dir, docs, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,7 +2,7 @@
 
 n-grams of 1 to MOST characters are hashed to BUCKETS features. Their document frequencies are counted by Spark over
 all training documents. The weights are trained by follow-the-regularised-leader with elastic-net penalties on at
-most SAMPLE training documents. Spark counts the languages of all training rows, and each gets an equal share of SAMPLE,
+most SAMPLE training documents. Spark counts the distinct training rows of each language, and each gets an equal share of SAMPLE,
 those of its smallest hashes of id and text; what small languages leave over goes to the others. A share is never under
 LEAST, so only more than SAMPLE / LEAST languages take more rows. A fifth of the sample is held back to fit a
 temperature, but never all rows of a language. A language costs the driver and each worker about 0.8 MB.
@@ -127,6 +127,25 @@ def shares(sizes: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
+def sampled(train: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, int]]:
+    """(h, lang, text) of distinct rows, about twice a language's share or more, and the shares. Repeated rows are one row
+    before shares are dealt, so they take nothing from their language."""
+    chance = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")))
+    apart = train.select("lang", chance.alias("h")).distinct()
+    sizes = {r["lang"]: (r["n"], r["low"]) for r in apart.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()}  # a row for each language
+    share = shares({name: n for name, (n, _) in sizes.items()}, sample)
+
+    def bound(name: str) -> int:
+        """A hash under which about twice the share lies, and one row at least."""
+        n, low = sizes[name]
+        want = 2 * share[name] + 20
+        return max(low, (1 << 64) * want // n - (1 << 63)) if want < n else (1 << 63) - 1
+
+    bounds = train.sparkSession.createDataFrame([(name, bound(name)) for name in sizes], "lang string, bound long")
+    near = train.withColumn("h", chance).join(F.broadcast(bounds), "lang").where("h <= bound")
+    return near.select("h", "lang", "text").dropDuplicates(["h", "lang"]), share
+
+
 def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
     """train: rows (doc_id, text, lang), lang not null."""
 
@@ -148,19 +167,9 @@ def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
     freq[at[at >= 0]] = n[at >= 0]
     model = Languages([], np.log((1 + docs) / (1 + freq)) + 0.1, np.zeros((BUCKETS, 0)), np.zeros(0))
 
-    chance = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")))
-    sizes = {r["lang"]: (r["n"], r["low"]) for r in train.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("low")).collect()}  # a row for each language
-    if not sizes:
+    near, share = sampled(train, sample)
+    if not share:
         return model
-    share = shares({name: n for name, (n, _) in sizes.items()}, sample)
-
-    def bound(name: str) -> int:
-        """A hash under which about twice the share lies, and one row at least."""
-        n, low = sizes[name]
-        want = 2 * share[name] + 20
-        return max(low, (1 << 64) * want // n - (1 << 63)) if want < n else (1 << 63) - 1
-
-    bounds = train.sparkSession.createDataFrame([(name, bound(name)) for name in sizes], "lang string, bound long")
 
     def features(batches):
         for batch in steps(batches):
@@ -171,7 +180,6 @@ def train_languages(train: DataFrame, sample: int = SAMPLE) -> Languages:
                 rows.append((at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), *[pa.array(list(c), pa.binary()) for c in zip(*rows)]], names=["h", "lang", "features", "tf"])
 
-    near = train.withColumn("h", chance).join(F.broadcast(bounds), "lang").where("h <= bound").select("h", "lang", "text").dropDuplicates(["h", "lang"])
     drawn = near.mapInArrow(features, "h long, lang string, features binary, tf binary").toArrow().to_pylist()
     got, left = [], dict(share)
     for r in sorted(drawn, key=lambda r: (r["h"], r["lang"])):
