@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Methods that have a folder of results.
+METHODS = ("chatts", "qwen", "timer", "adtk_hbos", "ensemble")
+
 
 def sanitized(name: Column) -> Column:
     """Characters that are unsafe in file names become underscores."""
@@ -35,6 +38,13 @@ def path_part_after(path: Column, marker: str) -> Column:
     return F.when(at > 0, F.try_element_at(parts, (at + 1).cast("int")))
 
 
+def method_from_path(path: Column, known: bool = True) -> Column:
+    """The method whose folder follows the first `inference` in a path, lower-cased. With `known` it is empty for a method
+    that is not in METHODS and for other paths; without, any folder counts and other paths give null."""
+    found = F.lower(path_part_after(F.regexp_replace(path, "/+", "/"), "inference"))
+    return F.when(found.isin(*METHODS), found).otherwise("") if known else found
+
+
 def candidate_names(name: Column) -> Column:
     """Ordered, distinct names that a record's file may bear."""
     stem = F.regexp_replace(name, r"\.json$", "")

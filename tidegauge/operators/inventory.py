@@ -41,11 +41,6 @@ def snapshot_changes(before: DataFrame, now: DataFrame, key: str, *values: str)
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
-def synchronised(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
-    """The inventory after a sync: what is there now, in the columns of before."""
-    return now.select(*before.columns).unionByName(before.join(now, key, "left_semi").join(now, key, "left_anti"))
-
-
 def preview(df: DataFrame, order: str, size: int, number: int = 0) -> DataFrame:
     """A page of rows without index and category columns."""
     keep = [c for c in df.columns if not c.startswith(("Unnamed", "category"))]
@@ -121,25 +116,6 @@ def narrowed(results: DataFrame) -> DataFrame:
     return results.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in results.columns])
 
 
-def write_results(results: DataFrame, path: str, sampled: DataFrame | None = None) -> int:
-    """Append results (method, point, ...) as partitions of method and point that are not there yet; `sampled` (point,
-    orig_pos) restricts the rows to sampled ones. Returns how many rows were written."""
-    spark = results.sparkSession
-    if sampled is not None:
-        results = results.join(sampled.select("point", F.col("orig_pos").alias("pos")).distinct(), ["point", "pos"], "left_semi")
-    try:
-        there = spark.read.parquet(path).select("method", "point").distinct()
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = spark.createDataFrame([], "method string, point string")
-    fresh = narrowed(results).join(there, ["method", "point"], "left_anti")
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("method", "point").parquet(path)
-    return n
-
-
 def evaluation_tables(segments: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
     """(metrics, segments) as stored: one metrics row for each point and its segments, under the same inference_id."""
     from tidegauge.operators.score import score_summary

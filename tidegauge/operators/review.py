@@ -47,11 +47,19 @@ def hash_split(df: DataFrame, key: str, parts: int, held: int = 0) -> DataFrame:
     return df.withColumn("split", F.when(r == held, "validation").otherwise("train"))
 
 
-def interleaved(df: DataFrame, source: str, order: str) -> DataFrame:
-    """Rows of the sources in turn, each cut at the size of the smallest."""
+def interleaved(df: DataFrame, source: str, order: str, over: bool = False) -> DataFrame:
+    """Rows of the sources in turn, each cut at the size of the smallest, or with `over` repeated up to that of the largest."""
     ranked = df.withColumn("_k", F.row_number().over(W.partitionBy(source).orderBy(order)))
-    least = df.groupBy(source).count().agg(F.min("count").alias("_least"))
-    return ranked.crossJoin(F.broadcast(least)).where("_k <= _least").withColumn("turn", F.col("_k")).drop("_k", "_least")
+    sizes = df.groupBy(source).count()
+    if not over:
+        ends = sizes.agg(F.min("count").alias("_least"))
+        return ranked.crossJoin(F.broadcast(ends)).where("_k <= _least").withColumn("turn", F.col("_k")).drop("_k", "_least")
+    ends = sizes.select(F.col(source).alias("_s"), F.col("count").alias("_n")).crossJoin(F.broadcast(sizes.agg(F.max("count").alias("_most"))))
+    ranked = ranked.join(ends, F.col(source).eqNullSafe(F.col("_s")))
+    # a row comes back every _n turns; blocks of rounds keep the exploded arrays small
+    blocks = ranked.withColumn("_rounds", F.expr("(_most - _k) div _n")).withColumn("_b", F.explode(F.expr("sequence(0L, _rounds div 1000)")))
+    turns = F.explode(F.expr("transform(sequence(_b * 1000, least(_rounds, _b * 1000 + 999)), r -> _k + r * _n)"))
+    return blocks.withColumn("turn", turns).drop("_k", "_s", "_n", "_most", "_rounds", "_b")
 
 
 def rolled_accuracy(answers: DataFrame, category: str) -> DataFrame:

@@ -54,8 +54,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def annotation_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each JSON file with a `_corrupt_record` where it cannot be read."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """One row for each JSON file, with its `file` and a `_corrupt_record` where it cannot be read."""
+    read = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return read.select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
