@@ -8,7 +8,7 @@ from tidegauge.operators import detect as dt
 from tidegauge.operators.core import split_runs
 from tidegauge.plans import fixtures as fx
 from tidegauge.plans.q_clean import _m4_sql
-from tidegauge.plans.q_features import _hist
+from tidegauge.plans.q_features import _hist, step_signal_sql
 from tidegauge.plans.registry import query
 
 
@@ -223,16 +223,42 @@ def _shift(edge: float, least: int, name: str) -> str:
 
 
 _SHORT = ((20, 3), (100, 10))
-# the values of events never repeat for most of a point, so no point is a step signal, and none has dead runs
-_COMPOSED = f"""raw AS (WITH {fx.SERIES} SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY point, ts ORDER BY pos) = 1),
+
+
+def _composed(rows: str, dead: str = "") -> str:
+    """SQL of the composed detector over rows without step signals; dead gives more segments."""
+    return f"""raw AS ({rows} QUALIFY row_number() OVER (PARTITION BY point, ts ORDER BY pos) = 1),
   {_m4_sql('one AS (SELECT 1)', 'raw', 400)}, series AS (SELECT point, ds_pos AS pos, ts, value FROM ds),
   jb AS (WITH {_HBOS}, {_drift('series', _SHORT).format(th=5.0)}, al AS (SELECT point, pos FROM hb UNION SELECT point, pos FROM dr), {_runs('al')}, {_range_filter('rn', 'WHERE loc >= 0.3 * g')} SELECT point, start_pos, end_pos FROM rf),
-  {_shift(0.009, 2, 'ms')}, fo AS (SELECT * FROM jb UNION SELECT * FROM ms),
+  {_shift(0.009, 2, 'ms')}, fo AS (SELECT * FROM jb UNION SELECT * FROM ms {dead}),
   mk AS (SELECT s.point, s.pos, s.ts, max(CASE WHEN fo.point IS NULL THEN 0 ELSE 1 END) AS m FROM series s LEFT JOIN fo ON fo.point = s.point AND s.pos BETWEEN start_pos AND end_pos GROUP BY 1, 2, 3),
   gi AS (SELECT point, ts, pos - row_number() OVER (PARTITION BY point ORDER BY pos) AS g FROM mk WHERE m = 1), sp AS (SELECT point, min(ts) AS a, max(ts) AS b FROM gi GROUP BY point, g),
   am AS (SELECT r.point, r.pos, max(CASE WHEN sp.point IS NULL THEN 0 ELSE 1 END) AS mask FROM raw r LEFT JOIN sp ON sp.point = r.point AND r.ts BETWEEN a AND b GROUP BY 1, 2)"""
 
 
+# the values of events never repeat for most of a point, so no point is a step signal, and none has dead runs
+_COMPOSED = _composed(f"WITH {fx.SERIES} SELECT * FROM series")
+
+
 @query(f"WITH {_COMPOSED} SELECT point, pos, mask FROM am")
 def c14_composed_detector(spark, d):
     return dt.adtk_hbos(fx.event_series(spark, d), 400, _SHORT, min_rows=2).select("point", "pos", "mask")
+
+
+_GATED = f"""gated AS (WITH {fx.SERIES}, n AS (SELECT point, count(*) AS n FROM series GROUP BY 1)
+  SELECT point, pos, ts, CAST(CASE WHEN point = 'view' THEN pos // 40 % 3 * 50 WHEN point = 'click' AND pos * 10 BETWEEN n * 3 AND n * 5 THEN 42 WHEN point = 'error' AND pos * 100 < n * 79 THEN 30 WHEN point = 'error' THEN pos ELSE value END AS DOUBLE) AS value FROM series JOIN n USING (point)),
+  steps AS (WITH {step_signal_sql('gated', 20, 0.25)}), calm AS (SELECT * FROM gated WHERE point NOT IN (SELECT point FROM steps WHERE is_step))"""
+_DEAD = f"""UNION SELECT point, start_pos, end_pos FROM (WITH di AS (SELECT *, CASE WHEN pos = 0 OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS nn FROM series WINDOW w AS (PARTITION BY point ORDER BY pos)),
+  dg AS (SELECT *, sum(nn) OVER (PARTITION BY point ORDER BY pos) AS grp FROM di), dl AS (SELECT point, grp, max(ts) - min(ts) > INTERVAL 20 HOUR AS long FROM dg GROUP BY 1, 2), dk AS (SELECT point, count(DISTINCT value) AS kinds FROM series GROUP BY 1),
+  dd AS (SELECT dg.point, pos, long AND kinds >= 10 AND value IS NOT NULL AS dead FROM dg JOIN dl ON dl.point = dg.point AND dl.grp = dg.grp JOIN dk ON dk.point = dg.point),
+  few AS (SELECT point FROM dd GROUP BY 1 HAVING avg(CAST(dead AS INTEGER)) < 0.7), dh AS (SELECT dd.point, pos FROM dd JOIN few ON few.point = dd.point WHERE dead), {_runs('dh')} SELECT * FROM rn)"""
+
+
+@query(f"WITH {_GATED}, {_composed('SELECT * FROM calm', _DEAD)} SELECT point, pos, mask FROM am")
+def c14_gated_detector(spark, d):
+    """One point is a step signal, one has a dead stretch and one is dead for most of its rows."""
+    s = fx.event_series(spark, d)
+    s = s.join(s.groupBy("point").agg(F.count("*").alias("n")), "point")
+    steps = F.expr("pos div 40 % 3 * 50D")
+    value = F.when(F.col("point") == "view", steps).when(F.expr("point = 'click' and pos * 10 between n * 3 and n * 5"), 42.0).when(F.expr("point = 'error' and pos * 100 < n * 79"), 30.0).when(F.col("point") == "error", F.col("pos").cast("double")).otherwise(F.col("value"))
+    return dt.adtk_hbos(s.withColumn("value", value).drop("n"), 400, _SHORT, min_rows=2).select("point", "pos", "mask")

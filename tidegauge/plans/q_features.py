@@ -44,22 +44,30 @@ def a5_histogram(spark, d):
     return h.select("point", "bin", F.round("low", 6).alias("low"), F.round("width", 9).alias("width"), "total", "n")
 
 
-_STEP_SHAPE = f"""{_hist('quantity', 100)}, m AS (SELECT *, max(n) OVER (PARTITION BY point) AS most, row_number() OVER (PARTITION BY point ORDER BY n DESC, bin) AS k FROM h),
+def step_shape_sql(source: str, bins: int, share: float) -> str:
+    return f"""{_hist(source, bins)}, m AS (SELECT *, max(n) OVER (PARTITION BY point) AS most, row_number() OVER (PARTITION BY point ORDER BY n DESC, bin) AS k FROM h),
   p AS (SELECT a.point, bool_and(EXISTS (SELECT 1 FROM m c WHERE c.point = a.point AND c.bin > a.bin AND c.bin < b.bin AND c.n < 0.01 * c.most)) AS apart
         FROM m a JOIN m b ON a.point = b.point AND a.bin < b.bin AND a.k <= 5 AND b.k <= 5 AND a.n >= 0.01 * a.most AND b.n >= 0.01 * b.most GROUP BY 1),
-  f AS (SELECT point, count(*) FILTER (WHERE n >= 0.01 * most) <= 0.6 * 100 AS sparse FROM m GROUP BY 1),
+  f AS (SELECT point, count(*) FILTER (WHERE n >= 0.01 * most) <= {share} * {bins} AS sparse FROM m GROUP BY 1),
   shape AS (SELECT f.point, sparse AND coalesce(apart, true) AS is_step_shape FROM f LEFT JOIN p ON f.point = p.point)"""
 
 
+_STEP_SHAPE = step_shape_sql("quantity", 100, 0.6)
+
+
 @query(f"WITH {fx.QUANTITY}, {_STEP_SHAPE} SELECT point, is_step_shape FROM shape")
 def a6_step_distribution(spark, d):
     return ft.step_shape(fx.quantity_series(spark, d), th=0.6, bins=100)
 
 
-@query(f"""WITH {fx.QUANTITY}, {_STEP_SHAPE}, c AS (SELECT *, CASE WHEN pos = 0 OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS nn FROM quantity WINDOW w AS (PARTITION BY point ORDER BY pos)),
+def step_signal_sql(source: str, bins: int, share: float) -> str:
+    return f"""{step_shape_sql(source, bins, share)}, c AS (SELECT *, CASE WHEN pos = 0 OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS nn FROM {source} WINDOW w AS (PARTITION BY point ORDER BY pos)),
   g AS (SELECT point, sum(nn) OVER (PARTITION BY point ORDER BY pos) AS grp FROM c), r AS (SELECT point, grp, count(*) AS n FROM g GROUP BY 1, 2),
   k AS (SELECT point, round(coalesce(sum(n) FILTER (WHERE n > 5), 0) / sum(n), 3) AS constant_ratio FROM r GROUP BY 1)
-  SELECT point, constant_ratio, is_step_shape, constant_ratio > 0.8 AND is_step_shape AS is_step FROM k JOIN shape USING (point)""")
+  SELECT point, constant_ratio, is_step_shape, constant_ratio > 0.8 AND is_step_shape AS is_step FROM k JOIN shape USING (point)"""
+
+
+@query(f"WITH {fx.QUANTITY}, {step_signal_sql('quantity', 100, 0.6)}")
 def a7_step_signal(spark, d):
     return ft.step_signal(fx.quantity_series(spark, d), th=0.6, bins=100)
 
