@@ -248,12 +248,14 @@ def isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: i
 def hits_isolation(series: DataFrame, share: float = 0.01, trees: int = 20, sample: int = 256, seed: int = 7) -> DataFrame:
     """Isolation scores on one value: seeded samples of 256 rows a point and tree, depth of each value in the trees,
     and the `share` of rows that are isolated first. Trees are small tables joined to their point's rows."""
-    picks = None
-    for t in range(trees):
-        order = F.xxhash64("pos", F.lit(seed * 1000 + t))
-        p = series.where("value is not null").withColumn("_k", F.row_number().over(W.partitionBy("point").orderBy(order, "pos"))).where(F.col("_k") <= sample).select("point", F.lit(t).alias("tree"), "value")
-        picks = p if picks is None else picks.union(p)
-    samples = picks.groupBy("point", "tree").agg(F.sort_array(F.collect_list("value")).alias("x")).groupBy("point").agg(F.collect_list(F.struct("tree", "x")).alias("trees"))
+    # only rows whose hash lies under a bound that about twice the sample meets are gathered, in one pass for all trees
+    want = F.lit(2.0 * sample + 100) / F.count("*")
+    bounds = series.where("value is not null").groupBy("point").agg(F.when(want >= 1, (1 << 63) - 1).otherwise((want * 2.0**64 - 2.0**63).cast("long")).alias("_bound"))
+    mark = lambda t: F.xxhash64("pos", F.lit(seed * 1000) + t)
+    low = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: mark(t) <= F.col("_bound"))
+    near = series.where("value is not null").join(bounds, "point").select("point", "pos", "value", F.explode(low).alias("tree"))
+    drawn = near.groupBy("point", "tree").agg(F.slice(F.sort_array(F.collect_list(F.struct(mark(F.col("tree")).alias("h"), "pos", "value"))), 1, sample)["value"].alias("x"))
+    samples = drawn.withColumn("x", F.sort_array("x")).groupBy("point").agg(F.collect_list(F.struct("tree", "x")).alias("trees"))
 
     def path_lengths(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Leaf edges and depths of a random tree over sorted values."""
@@ -286,8 +288,14 @@ def hits_isolation(series: DataFrame, share: float = 0.01, trees: int = 20, samp
             yield pd.DataFrame({"point": pdf["point"], "pos": pdf["pos"], "depth": out})
 
     scored = series.where("value is not null").select("point", "pos", "value").join(samples, "point").mapInPandas(score, "point string, pos long, depth double")
-    rank = F.percent_rank().over(W.partitionBy("point").orderBy("depth"))
-    return scored.withColumn("_r", rank).where(F.col("_r") < share).select("point", "pos")
+    scored = settled(scored, "depths")
+    # a point has no more depths than its trees have leaves, so ranks come from counts by depth
+    counts = scored.groupBy("point", "depth").agg(F.count("*").alias("n"))
+    w = W.partitionBy("point")
+    before = F.sum("n").over(w.orderBy("depth")) - F.col("n")
+    rank = F.coalesce(before / F.nullif(F.sum("n").over(w) - 1, F.lit(0)), F.lit(0.0))
+    least = counts.withColumn("_r", rank).where(F.col("_r") < share).groupBy("point").agg(F.max("depth").alias("_depth"))
+    return scored.join(least, "point").where("depth <= _depth").select("point", "pos")
 
 
 def polynomial_residual(series: DataFrame, degree: int = 12) -> DataFrame:

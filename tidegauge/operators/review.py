@@ -47,6 +47,17 @@ def hash_split(df: DataFrame, key: str, parts: int, held: int = 0) -> DataFrame:
     return df.withColumn("split", F.when(r == held, "validation").otherwise("train"))
 
 
+def support_sample(df: DataFrame, subject: str, key: str, shots: int, seed: int = 7) -> DataFrame:
+    """`shots` rows of each subject with their number k, those of the smallest hashes of key and seed; a null subject is one too."""
+    order = F.xxhash64(key, F.lit(seed))
+    first = F.slice(F.sort_array(F.collect_list(F.struct(order.alias("h"), F.col(key).alias("key")))), 1, shots)
+    # hashes of a part of a subject first, so that no task gathers a large one
+    part = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1024))
+    parts = df.select(F.col(subject).alias("subject"), F.col(key)).groupBy("subject", part.alias("part")).agg(first.alias("x"))
+    best = parts.groupBy("subject").agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, shots).alias("x"))
+    return best.select(F.col("subject").alias(subject), F.posexplode("x").alias("k", "x")).select(F.col("x.key").alias(key), subject, (F.col("k") + 1).alias("k"))
+
+
 def interleaved(df: DataFrame, source: str, order: str, over: bool = False) -> DataFrame:
     """Rows of the sources in turn, each cut at the size of the smallest, or with `over` repeated up to that of the largest."""
     ranked = df.withColumn("_k", F.row_number().over(W.partitionBy(source).orderBy(order)))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidegauge.operators import labels as lb
+from tidegauge.operators import review as rv
 from tidegauge.operators import split as sp
 from tidegauge.operators.features import segment_features
 from tidegauge.plans import fixtures as fx
@@ -150,6 +150,4 @@ def k7_latest_checkpoint(spark, d):
 
 @query()
 def k8_support_sample(spark, d):
-    x = fx.table(spark, d, "documents").select("doc_id", "lang")
-    k = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    return x.withColumn("k", k).where("k <= 5")
+    return rv.support_sample(fx.table(spark, d, "documents"), "lang", "doc_id", 5)
