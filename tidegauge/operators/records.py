@@ -178,7 +178,7 @@ def few_shot_prompt(items: DataFrame, subject: str, order: str, shots: int, lang
     support = ranked.where(F.col("_k") <= shots).groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("_k", "question", "answer"))).alias("_s"))
     shown = F.array_join(F.transform("_s", lambda s: F.concat(s["question"], s["answer"])), "")
     intro = filled_template(F.lit(PROMPTS[lang][0]), {"subject": F.col(subject)})
-    return ranked.where(F.col("_k") > shots).join(F.broadcast(support), subject).select(*items.columns, F.concat(intro, shown, "question").alias("prompt"))
+    return ranked.where(F.col("_k") > shots).join(support, subject).select(*items.columns, F.concat(intro, shown, "question").alias("prompt"))
 
 
 def output_name(length: Column, n: Column, source: Column, split: bool, day: Column) -> Column:
