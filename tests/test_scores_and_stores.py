@@ -144,3 +144,20 @@ def test_files_of_synced_folders_alone_change(spark, tmp_path):
     assert names(folder="/d/x", method="timer") == [("Timer_a.csv", "timer")]
     stores.sync_files(found("x/a.csv").limit(0), folders("x"), path)
     assert names() == [("d.csv", None)]
+
+
+def test_polynomial_residuals_equal_a_least_squares_fit(spark):
+    rng = np.random.default_rng(4)
+    series = {"a": np.sin(np.arange(500) / 60) * 9 + rng.normal(0, 0.1, 500), "b": 1000 + rng.normal(0, 3, 80)}
+    got = {(r.point, r.pos): r.residual for r in detect.polynomial_residual(table(spark, series)).collect()}
+    for p, y in series.items():
+        fit = np.polynomial.chebyshev.Chebyshev.fit(np.arange(len(y)), y, 12)
+        assert max(abs(got[p, i] - r) for i, r in enumerate(y - fit(np.arange(len(y))))) < 1e-6
+
+
+def test_summaries_equal_their_formulas(spark):
+    scores = {"a": [1.0, 5.0, 2.5], "b": [7.0]}
+    rows = spark.createDataFrame([(p, x) for p, s in scores.items() for x in s], "point string, score double")
+    got = {r.point: (r.score_avg, r.score_max, r.score_min, r.score_p50, r.segment_count) for r in score.score_summary(rows, "point").collect()}
+    for p, s in scores.items():
+        assert got[p] == pytest.approx((np.mean(np.array(s) ** 5) ** 0.2, max(s), min(s), np.median(s), len(s)))
