@@ -17,7 +17,7 @@ from tidegauge.operators import density as dn
 from tidegauge.operators import detect as dt
 from tidegauge.operators import features as ft
 from tidegauge.operators import split as sp
-from tidegauge.operators.core import bridged, expanded, first_by, mask_from_segments, split_runs
+from tidegauge.operators.core import bridged, dealt, expanded, first_by, mask_from_segments, split_runs
 from tidegauge.operators.reduce import m4
 from tidegauge.operators.smoothing import piecewise_residual, smooth
 from tidegauge.sources.scratch import settled
@@ -96,7 +96,7 @@ def residual_pipeline(
     trend, seasonal, residual, by sampled position) stand in for what is worked out otherwise. Of rows with equal times
     the first counts.
     """
-    series = first_by(series, ["point", "ts"], "pos")
+    series = first_by(dealt(series, series.count(), "point", "ts"), ["point", "ts"], "pos")
     sampled = settled(m4(series, n_out).select("point", F.col("ds_pos").alias("pos"), "orig_pos", "ts", "value"), "sample")
     values = sampled.select("point", "pos", "ts", "value")
     steps = ft.step_signal(series).where("is_step") if steps is None else steps

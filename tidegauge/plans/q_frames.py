@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidegauge.operators import detect as dt
 from tidegauge.operators import features as ft
 from tidegauge.operators import residual as rs
-from tidegauge.operators.core import with_positions_by_bucket
 from tidegauge.operators.smoothing import smooth
 from tidegauge.plans import fixtures as fx
 from tidegauge.plans.q_features import rounded
@@ -18,10 +17,8 @@ GAPPY = fx.QUANTITY + """, gappy AS (SELECT point, pos, ts, CASE WHEN pos % 97 >
 
 
 def gappy_series(spark, d):
-    """The quantities of return flags with unknown values, numbered by month so that no task sorts a point."""
-    x = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("point"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"), "l_orderkey", "l_linenumber", "l_partkey")
-    s = with_positions_by_bucket(x, "l_orderkey", "l_linenumber", "l_partkey", "value", bucket="month")
-    return s.select("point", "pos", "ts", F.when(F.col("pos") % 97 >= 3, F.col("value")).alias("value"))
+    """The quantities of return flags with unknown values."""
+    return fx.quantity_series(spark, d).select("point", "pos", "ts", F.when(F.col("pos") % 97 >= 3, F.col("value")).alias("value"))
 
 
 def _drift_sql(i: int, left: int, right: int) -> str:
