@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -58,17 +61,23 @@ def bleu(pairs: DataFrame, key: str, prediction: str, label: str, orders: int =
 
     Precisions are clipped counts over the prediction's n-grams (at least 1); the k-th precision of zero counts as 1 over
     2**k of those; a prediction shorter than its label is scaled by exp(1 - label / prediction). A pair without a common
-    character, or with a null or empty text, scores 0."""
-
-    def grams(c: str) -> DataFrame:
-        text = pairs.select(key, F.coalesce(c, F.lit("")).alias("t")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(orders)))).where(F.length("t") >= F.col("n"))
-        g = text.select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring("t", i, F.col("n")))).alias("g"))
-        return g.groupBy(key, "n", "g").agg(F.count("*").alias("c"))
+    character, or with a null or empty text, scores 0. Grams are counted row by row and never leave their pair."""
+
+    @F.pandas_udf("array<long>")
+    def common(prediction: pd.Series, label: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(prediction, label):
+            a, b = a or "", b or ""
+            row = []
+            for n in range(1, orders + 1):
+                x, y = (Counter([c[i : i + n] for i in range(len(c) - n + 1)]) for c in (a, b))
+                row.append(sum(min(k, y[g]) for g, k in x.items() if g in y))
+            out.append(row)
+        return pd.Series(out, index=prediction.index, dtype=object)
 
-    common = grams(prediction).join(grams(label).withColumnRenamed("c", "c2"), [key, "n", "g"]).groupBy(key, "n").agg(F.sum(F.least("c", "c2")).alias("m"))
-    hits = common.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"m{n}") for n in range(1, orders + 1)])
     p, t = F.length(F.coalesce(prediction, F.lit(""))), F.length(F.coalesce(label, F.lit("")))
-    d = pairs.select(key, p.alias("p"), t.alias("t")).join(hits, key, "left").fillna(0, [f"m{n}" for n in range(1, orders + 1)])
+    d = pairs.select(key, p.alias("p"), t.alias("t"), common(F.col(prediction), F.col(label)).alias("m"))
+    d = d.select(key, "p", "t", *[F.col("m")[n - 1].alias(f"m{n}") for n in range(1, orders + 1)])
     logs, zeros = F.lit(0.0), F.lit(0)
     for n in range(1, orders + 1):
         size, none = F.greatest(F.col("p") - n + 1, F.lit(1)), F.col(f"m{n}") == 0
