@@ -1,7 +1,8 @@
 """Files for points by name: substring candidates, and the ranking of them.
 
-A point may stand anywhere in a file name. Names are indexed by their grams of up to GRAM characters; a point is routed by
-its rarest gram alone, and `contains` decides, so points never meet all names and none that fits is lost.
+A point may stand anywhere in a file name. Where a name holds the first GRAM characters of some points, its parts of
+these points' lengths are cut out from there, and a part meets the point that it equals. So points never meet all names,
+none that fits is lost, and the work grows with the names and the different lengths of points.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.sources.scratch import settled
+
 GRAM = 3
 #: Prefixes of generated files, in the order in which a name's own is looked for.
 NAME_PREFIXES = ("_chatts_", "_qwen_", "global_chatts_", "chatts_", "qwen_", "timer_")
@@ -16,23 +19,21 @@ NAME_PREFIXES = ("_chatts_", "_qwen_", "global_chatts_", "chatts_", "qwen_", "ti
 STARTS, PART, INSIDE, HINT, HIDDEN, MODEL = 100, 60, 30, 10, 3, 5
 
 
-def _grams(text: str, size: Column | int) -> Column:
-    """All substrings of a length."""
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size) if isinstance(size, int) else size)))
+#: Beginnings of points up to which they are broadcast.
+FEW = 100_000
 
 
 def substring_candidates(points: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (point, file_name) with the point inside the name; null and empty points have none."""
     names, points = names.select("file_name").distinct(), points.select("point").where("point <> ''").distinct()
-    size = F.least(F.length("point"), F.lit(GRAM))
-    wanted = points.select("point", F.explode(F.array_distinct(_grams("point", size))).alias("gram"))
-    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[_grams("file_name", k) for k in range(1, GRAM + 1)]))))
-    indexed = names.select("file_name", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    counts = indexed.groupBy("gram").agg(F.count("*").alias("n"))
-    # a gram that no name has leaves its point without a candidate
-    routes = wanted.join(counts, "gram", "left").groupBy("point").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return routes.join(indexed, "gram").where(F.contains("file_name", F.col("point"))).select("point", "file_name")
+    heads = settled(points.groupBy(F.substring("point", 1, GRAM).alias("head")).agg(F.collect_set(F.length("point")).alias("sizes")), "heads")
+    heads = F.broadcast(heads) if heads.count() <= FEW else heads.hint("merge")
+    # a head of fewer than GRAM characters is a whole point
+    at = names.where("file_name <> ''").select("file_name", F.explode(F.sequence(F.lit(1), F.length("file_name"))).alias("at"))
+    at = at.select("*", F.explode(F.array_distinct(F.array(*[F.substring("file_name", F.col("at"), F.lit(k)) for k in range(1, GRAM + 1)]))).alias("head"))
+    parts = at.join(heads, "head").select("file_name", "at", F.explode("sizes").alias("size"))
+    parts = parts.select(F.substring("file_name", F.col("at"), F.col("size")).alias("point"), "file_name").distinct()
+    return parts.join(points.hint("merge"), "point", "left_semi")
 
 
 def candidate_score(name: Column, point: Column, hint: Column) -> Column:
@@ -62,7 +63,7 @@ def best_file(points: DataFrame, inventory: DataFrame, *keys: str, extensions: t
     """
     hint = F.col("hint") if "hint" in points.columns else F.lit(None).cast("string")
     files = _files(inventory, extensions)
-    found = points.withColumn("hint", hint).join(substring_candidates(points, files), "point").join(files, "file_name")
+    found = points.withColumn("hint", hint).join(substring_candidates(points, files).hint("merge"), "point").join(files.hint("merge"), "file_name")
     score = candidate_score(F.col("file_name"), F.col("point"), F.col("hint"))
     hinted = F.coalesce(F.contains("file_name", F.col("hint")), F.lit(False)).cast("int")
     order = F.struct(-hinted, -F.round(score, 6), -F.coalesce(F.unix_micros(F.col("modified").cast("timestamp")), F.lit(0)), "file_name")
@@ -83,7 +84,7 @@ def repaired_names(records: DataFrame, inventory: DataFrame, extensions: tuple[s
     files = _files(inventory, extensions)
     exact = records.join(inventory.select(F.col("file_name").alias("name")).distinct(), "name", "left_semi").select("record", F.col("name").alias("file_name"), F.lit("unchanged").alias("outcome"))
     rest = records.join(exact.select("record"), "record", "left_anti")
-    found = rest.join(substring_candidates(rest, files), "point").join(files, "file_name")
+    found = rest.join(substring_candidates(rest, files).hint("merge"), "point").join(files.hint("merge"), "file_name")
     same = F.coalesce(F.contains("file_name", own_prefix(F.col("name"))), F.lit(False)).cast("int")
     order = F.struct(-same, -F.coalesce(F.unix_micros(F.col("modified").cast("timestamp")), F.lit(0)), F.length("file_name"), "file_name")
     near = found.groupBy("record").agg(F.min_by("file_name", order).alias("file_name")).select("record", "file_name", F.lit("changed").alias("outcome"))
