@@ -39,7 +39,8 @@ def s7_annotation_folder(spark, d):
     text = F.to_json(F.struct(F.concat("s_name", F.lit(".csv")).alias("filename"), spans.alias("annotations")))
     s = fx.table(spark, d, "supplier").withColumn("t", text)
     cut = F.when(F.col("s_suppkey") % 7 == 0, F.expr("substring(t, 1, length(t) - 5)")).otherwise(F.col("t"))
-    s.select(F.col("s_suppkey").alias("record"), cut.alias("text")).write.partitionBy("record").text(path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-s.count() // 2000))  # a file costs time, so no task writes many
+    s.select(F.col("s_suppkey").alias("record"), cut.alias("text")).repartition(tasks, "record").write.partitionBy("record").text(path)
     read = files.annotation_folder(spark, f"{path}/*", "filename string, annotations array<struct<start: long, end: long, label: string>>")
     good = F.col("_corrupt_record").isNull()
     n = F.when(good, F.coalesce(F.size("annotations"), F.lit(0))).otherwise(0).cast("long")
