@@ -74,11 +74,11 @@ def neighbour_distances(leveled: DataFrame, cells: DataFrame) -> DataFrame:
     """(point, x, y, m, d): distance of each place's segments to their k-th other neighbour."""
     own = ["point", "x", "y", "m", "k", "x0", "y0", "side"]
     # the smallest cell around a place that holds enough: what counts is no farther than its diagonal
-    full = leveled.join(cells.select(*_KEY, "n"), _KEY).where("n > k")
+    full = leveled.join(cells.select(*_KEY, "n").hint("merge"), _KEY).where("n > k")
     begin = full.groupBy(*own).agg(F.max(F.struct("level", "cx", "cy")).alias("c")).select(*own, "c.level", "c.cx", "c.cy")
     steps = F.sequence(F.lit(-2), F.lit(2))
     near = begin.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-    front = near.select(*own, "level", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy")).join(cells, _KEY)
+    front = near.select(*own, "level", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy")).join(cells.hint("merge"), _KEY)
     least, most = _gaps("cx", "cy")
     by_reach = W.partitionBy("point", "x", "y").orderBy("most", "cx", "cy", "level")
     place = W.partitionBy("point", "x", "y")
@@ -91,10 +91,10 @@ def neighbour_distances(leveled: DataFrame, cells: DataFrame) -> DataFrame:
             break
         part = F.explode(F.sequence(F.lit(0), F.lit(3)))  # two levels down
         down = front.where(deep).drop("n", "kinds").withColumn("i", part).withColumn("j", part)
-        down = down.select(*own, (F.col("level") + 2).alias("level"), (F.col("cx") * 4 + F.col("i")).alias("cx"), (F.col("cy") * 4 + F.col("j")).alias("cy")).join(cells, _KEY)
+        down = down.select(*own, (F.col("level") + 2).alias("level"), (F.col("cx") * 4 + F.col("i")).alias("cx"), (F.col("cy") * 4 + F.col("j")).alias("cy")).join(cells.hint("merge"), _KEY)
         front = front.where(~deep).select(*down.columns).union(down)
     other = leveled.select(*_KEY, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("m").alias("om"))
-    d = front.join(other, _KEY).withColumn("d", _distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
+    d = front.join(other.hint("merge"), _KEY).withColumn("d", _distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
     same = (F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy"))
     d = d.withColumn("om", F.when(same, F.col("m") - 1).otherwise(F.col("om"))).where("om > 0")
     d = d.withColumn("upto", F.sum("om").over(W.partitionBy("point", "x", "y").orderBy("d", "ox", "oy")))
@@ -113,10 +113,10 @@ def _links(nodes: DataFrame, leveled: DataFrame, cells: DataFrame) -> DataFrame:
     two = nodes.select("point", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("low").alias("b"))
     reach = F.sequence(F.lit(-3), F.lit(3))
     pairs = one.withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).where("i > 0 or i = 0 and j > 0")
-    pairs = pairs.select("*", (F.col("ax") + F.col("i")).alias("bx"), (F.col("ay") + F.col("j")).alias("by")).drop("i", "j").join(two, ["point", "bx", "by"])
+    pairs = pairs.select("*", (F.col("ax") + F.col("i")).alias("bx"), (F.col("ay") + F.col("j")).alias("by")).drop("i", "j").join(two.hint("merge"), ["point", "bx", "by"])
     sized = lambda s, n: cells.select("point", "level", F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"), F.col("kinds").alias(n))
     columns = ["point", "a", "b", "level", "side", "eps", "ax", "ay", "bx", "by"]
-    with_sizes = lambda p: p.select(*columns).join(sized("a", "na"), ["point", "level", "ax", "ay"]).join(sized("b", "nb"), ["point", "level", "bx", "by"])
+    with_sizes = lambda p: p.select(*columns).join(sized("a", "na").hint("merge"), ["point", "level", "ax", "ay"]).join(sized("b", "nb").hint("merge"), ["point", "level", "bx", "by"])
     front, found = with_sizes(pairs), None
     deep = (F.greatest("na", "nb") > LEAF) & (F.col("level") < DEPTH)
     quarter = F.explode(F.sequence(F.lit(0), F.lit(1)))
@@ -124,7 +124,7 @@ def _links(nodes: DataFrame, leveled: DataFrame, cells: DataFrame) -> DataFrame:
         front = settled(front.where(least <= eps + SPARE).withColumn("sure", most <= eps - SPARE), "pairs")
         new = front.where("sure").select("point", "a", "b").distinct()
         found = settled(new if found is None else found.union(new), "found")
-        front = front.where("not sure").drop("sure").join(found, ["point", "a", "b"], "left_anti")
+        front = front.where("not sure").drop("sure").join(found.hint("merge"), ["point", "a", "b"], "left_anti")
         if front.where(deep).isEmpty():
             break
         down = front.where(deep)
@@ -133,7 +133,7 @@ def _links(nodes: DataFrame, leveled: DataFrame, cells: DataFrame) -> DataFrame:
         down = with_sizes(down.withColumn("level", F.col("level") + 1))
         front = front.where(~deep).select(*down.columns).union(down)
     at = lambda s: leveled.select("point", "level", F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"))
-    exact = front.join(at("a"), ["point", "level", "ax", "ay"]).join(at("b"), ["point", "level", "bx", "by"])
+    exact = front.join(at("a").hint("merge"), ["point", "level", "ax", "ay"]).join(at("b").hint("merge"), ["point", "level", "bx", "by"])
     close = exact.where(_distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= eps)
     return found.union(close.select("point", "a", "b")).distinct()
 
@@ -145,10 +145,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("point", "b", "a"))
         low = both.groupBy("point", "a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, ["point", "a"]).select("point", F.col("b").alias("a"), F.col("low").alias("b"))
+        large = both.where("b > a").join(low.hint("merge"), ["point", "a"]).select("point", F.col("b").alias("a"), F.col("low").alias("b"))
         large = settled(large.where("a <> b").distinct(), "stars")
         low = large.groupBy("point", "a").agg(F.min("b").alias("low"))
-        small = large.join(low, ["point", "a"]).select("point", F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e"))
+        small = large.join(low.hint("merge"), ["point", "a"]).select("point", F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e"))
         after = settled(small.select("point", F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).where("a <> b").distinct(), "stars")
         moved = not after.exceptAll(edges).isEmpty() or after.count() != edges.count()
         edges = after
@@ -174,11 +174,11 @@ def density_components(features: DataFrame) -> DataFrame:
     shared = dealt.where((F.col("eps") > 0) & (F.col("level") <= DEPTH))
     nodes = shared.groupBy("point", "level", "side", "eps", "cx", "cy").agg(F.min("low").alias("low"))
     roots = connected(_links(nodes, leveled, cells)).withColumnRenamed("node", "low")
-    whole = nodes.join(roots, ["point", "low"], "left").select("point", "cx", "cy", F.coalesce("root", "low").alias("component"))
-    grouped = shared.join(whole, ["point", "cx", "cy"]).select("point", "x", "y", "component")
+    whole = nodes.join(roots.hint("merge"), ["point", "low"], "left").select("point", "cx", "cy", F.coalesce("root", "low").alias("component"))
+    grouped = shared.join(whole.hint("merge"), ["point", "cx", "cy"]).select("point", "x", "y", "component")
     alone = places.join(grouped.select("point").distinct(), "point", "left_anti").select("point", "x", "y", F.col("low").alias("component"))
     at = grouped.union(alone)
-    return standardised(features).join(at, ["point", "x", "y"]).select("point", "seg_id", "component")
+    return standardised(features).join(at.hint("merge"), ["point", "x", "y"]).select("point", "seg_id", "component")
 
 
 def split_by_density(features: DataFrame) -> DataFrame:
