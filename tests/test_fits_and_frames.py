@@ -157,3 +157,31 @@ def test_wavelet_energy_equals_a_plain_transform(spark):
             pairs = [(sum(at(2 * k + 1 - t) * lo[t] for t in range(8)), sum(at(2 * k + 1 - t) * hi[t] for t in range(8))) for k in range(size)]
             x, detail = np.array([a for a, _ in pairs]), detail + sum(b * b for _, b in pairs)
         assert got[p] == pytest.approx(detail / (detail + (x * x).sum()))
+
+
+def added(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+@pytest.mark.parametrize("block", [17, 65_536])
+def test_trimmed_means_add_from_the_last_row(spark, monkeypatch, block):
+    monkeypatch.setattr(features, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    y = {p: np.round(rng.exponential(30, 400), 2) for p in "abcdef"}
+    got = {r.point: (r.trimmed_mean, r.trimmed_median) for r in features.trimmed(table(spark, y), "point").collect()}
+    for p, x in y.items():
+        low, high = np.quantile(x, (0.05, 0.95))
+        keep = np.flatnonzero((x > low) & (x < high))[::-1]
+        parts = [added(x[[i for i in keep if (399 - i) // block == b]].tolist()) for b in range(399 // block + 1)]
+        assert got[p] == (added(parts) / len(keep), pytest.approx(np.median(x[keep])))
+
+
+def test_rounding_is_that_of_the_shifted_value(spark):
+    from tidegauge.plans.q_features import rounded
+
+    x = [1.005, 1.115, -1.005, -2.5, 0.0, 1e300, 1e308, float("inf"), None]
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in x], "v double").coalesce(1), 2, "v").collect()]
+    assert got == [1.0, 1.12, -1.0, -2.5, 0.0, pytest.approx(1e300), 1e308, float("inf"), None]
