@@ -116,6 +116,17 @@ def test_every_method_goes_through_the_pipeline(kinds, method, th):
     assert out.where("outlier_mask > 0 and global_mask + local_mask = 0 or outlier_mask = 0 and local_mask = 1").count() == 0
 
 
+def test_a_slow_wave_is_no_noise_however_few_rows_are_sampled(spark):
+    rng = np.random.default_rng(12)
+    at = np.arange(20_000)
+    shapes = {"wave": 100 + 10 * np.sin(at / 38) + rng.random(20_000) / 10 - np.where(at == 7_000, 25, 0), "noise": rng.normal(0, 1, 20_000)}
+    rows = [(p, i, float(v)) for p, y in shapes.items() for i, v in enumerate(y)]
+    series = spark.createDataFrame(rows, "point string, pos long, value double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 60))
+    out = residual.residual_pipeline(series.select("point", "pos", "ts", "value"), n_out=100, th=1.0, components=None)
+    hits = {r.point: r.s for r in out.groupBy("point").agg(F.sum("outlier_mask").alias("s")).collect()}
+    assert hits["noise"] == 0 and hits["wave"] > 0
+
+
 def test_pipeline_of_nothing(kinds):
     assert residual.residual_pipeline(kinds.limit(0), 100, components=None).count() == 0
 

@@ -17,7 +17,7 @@ from tidegauge.operators import density as dn
 from tidegauge.operators import detect as dt
 from tidegauge.operators import features as ft
 from tidegauge.operators import split as sp
-from tidegauge.operators.core import bridged, dealt, expanded, first_by, mask_from_segments, split_runs
+from tidegauge.operators.core import bridged, dealt, expanded, first_by, mask_from_segments, split_runs, with_positions_by_bucket
 from tidegauge.operators.reduce import m4
 from tidegauge.operators.smoothing import piecewise_residual, smooth
 from tidegauge.sources.scratch import settled
@@ -92,7 +92,8 @@ def residual_pipeline(
     """Sampled rows (point, pos, orig_pos, ts, value) with the columns of MASKS.
 
     `components` are those of seasonal_trend, or None for the values themselves. `post_filter` widens the global mask by
-    groups that deviate that much (see deviating_groups). `steps` and `noise` (point) and `decomposed` (point, pos,
+    groups that deviate that much (see deviating_groups). Steps and noise are judged on all rows: extremes that are sampled
+    from a slow wave, at less than a few buckets a period, look like noise. `steps` and `noise` (point) and `decomposed` (point, pos,
     trend, seasonal, residual, by sampled position) stand in for what is worked out otherwise. Of rows with equal times
     the first counts.
     """
@@ -100,7 +101,9 @@ def residual_pipeline(
     sampled = settled(m4(series, n_out).select("point", F.col("ds_pos").alias("pos"), "orig_pos", "ts", "value"), "sample")
     values = sampled.select("point", "pos", "ts", "value")
     steps = ft.step_signal(series).where("is_step") if steps is None else steps
-    noise = ft.noisy(values).where("is_noisy") if noise is None else noise
+    if noise is None:
+        whole = settled(with_positions_by_bucket(series, "pos").select("point", "pos", "value"), "whole")
+        noise = ft.noisy(whole).where("is_noisy")
     gated = settled(steps.select("point").union(noise.select("point")).distinct(), "gated")
     open_ = values.join(gated, "point", "left_anti")
     if components is None:
