@@ -124,6 +124,33 @@ def test_hot_buckets_and_hubs_equal_brute_force(spark, monkeypatch, bound):
     assert all(got.get(int(x), int(x)) == int(fp[label[k]]) for k, x in enumerate(fp))
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_every_row_of_a_component_has_its_smallest_id(spark, monkeypatch, bound):
+    from tidegauge.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(20):  # copies of a long text, and copies of it with one word changed
+        base = [f"f{family}w{i}" for i in rng.integers(0, 300, 500)]
+        for k in range(6):
+            text = base.copy()
+            text[60 * k + 7] = f"x{k}"
+            rows += [(0, " ".join(text))] * int(rng.integers(1, 5))
+    rows = [(int(i), t) for i, (_, t) in zip(rng.permutation(len(rows)), rows)]
+    fp = np.array([simhash(t) for _, t in rows], np.uint64)
+    label = np.arange(len(rows))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4):
+            label[label == label[j]] = label[i]
+    low = {c: min(i for (i, _), at in zip(rows, label) if at == c) for c in set(label)}
+    assert any(len(set(fp[label == c])) > 2 for c in low)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_duplicates(table).collect()}
+    assert got == {i: low[c] for (i, _), c in zip(rows, label)}
+
+
 def test_layouts_lose_nothing():
     from tidegauge.llm import near_dedup
 
